@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,3 +72,27 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
                 yield from fn(batch)
 
     return df.mapInArrow(run, schema)
+
+
+_WORDS: dict[bytes, int] = {}
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` (as bytes.split() finds them) with A-Z
+    lower-cased. Hashes of words seen are remembered, up to a bound."""
+    if len(_WORDS) > 300_000:
+        _WORDS.clear()
+    get, codes = _WORDS.get, []
+    for w in ascii_lower_bytes(text).split():
+        c = get(w)
+        if c is None:
+            c = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
+        codes.append(c)
+    return np.array(codes, np.uint64)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Bijective scrambling of 64-bit values."""
+    h = h ^ (h >> np.uint64(29))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, linededup, maxent, neardup, quality, urlfilter
+from lodestone.llm import bpe, decontam, langid, linededup, maxent, neardup, quality, suffixdedup, urlfilter
 from lodestone.llm.base import table
 
 #: Vocabulary for op8 and the pipeline; any file of ranks will do.
@@ -36,6 +36,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     model = langid.fit(docs.where(~F.col("held_out")))
@@ -55,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op4_line_dedup, op5_url_filters, op7_language_id, op8_byte_bpe, op9_near_duplicates, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op4_line_dedup, op5_url_filters, op6_repeated_bytes, op7_language_id, op8_byte_bpe, op9_near_duplicates, op10_quality_rules)}
 
 _WS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 ORACLE = {

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, decontam, langid, linededup, maxent, neardup, quality, suffixdedup, urlfilter
+from lodestone.llm import bpe, decontam, langid, linededup, maxent, neardup, quality, suffixdedup, tokencount, urlfilter
 from lodestone.llm.base import table
 
 #: Vocabulary for op8 and the pipeline; any file of ranks will do.
@@ -23,6 +23,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.score(docs, model, counts, ["held_out"])
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_after_edits(table(spark, sf_dir, "documents"), VOCABULARY, PATTERN)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -59,7 +63,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op2_lm_scoring, op4_line_dedup, op5_url_filters, op6_repeated_bytes, op7_language_id, op8_byte_bpe, op9_near_duplicates, op10_quality_rules)}
+_ALL = (
+    op1_decontamination, op2_lm_scoring, op3_token_counts, op4_line_dedup, op5_url_filters,
+    op6_repeated_bytes, op7_language_id, op8_byte_bpe, op9_near_duplicates, op10_quality_rules,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _WS = "' '||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
 ORACLE = {

@@ -25,6 +25,9 @@ from lodestone.llm.components import components
 N_HASHES = 128
 #: A cluster of more documents is confirmed as pairs of blocks of this size.
 BLOCK_DOCS = 2048
+#: Up to so many clustered rows (about 40 bytes each) the texts stay where they are and the rows
+#: go to every worker; beyond it both are shuffled by doc_id.
+BROADCAST_ROWS = 1_000_000
 #: Slack of the signature estimate: 4.2 standard deviations at N_HASHES.
 SLACK = 0.135
 _RNG = np.random.default_rng(20240229)
@@ -221,8 +224,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8", text: s
     tasks = member.select(F.col("node").alias("doc_id"), F.col("component").alias("t1"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     # one number for the pair of blocks, whichever of the two a document is in
     tasks = tasks.select("doc_id", "t1", (F.greatest("own", "other") * 65536 + F.least("own", "other")).cast("long").alias("t2"))
+    tasks = cut(tasks, "minhash-tasks")
+    if tasks.count() <= BROADCAST_ROWS:
+        tasks = F.broadcast(tasks)
     texts = docs.select("doc_id", text_of(docs, text).alias("text"))
-    linked = confirmed_edges(tasks.join(texts, "doc_id").select("t1", "t2", "doc_id", "text"), k, share)
+    linked = confirmed_edges(texts.join(tasks, "doc_id").select("t1", "t2", "doc_id", "text"), k, share)
     roots = components(cut(linked, "minhash-links"), "a", "b").withColumnsRenamed({"node": "rep", "component": "root"})
     by_set = sets.join(roots, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     out = feats.select("doc_id", "n", "d1", "d2").join(by_set, ["d1", "d2"], "left")

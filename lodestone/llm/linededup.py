@@ -23,6 +23,8 @@ MIN_CHARS, MIN_DOCS = 20, 3
 #: every worker. Beyond it the exact join alone decides, with the same result.
 SHARD_KEYS, FILTER_BYTES = 500_000, 24 << 20
 SLOTS = 4
+#: Up to so many dropped lines the drops go to every worker and the texts stay where they are.
+BROADCAST_LINES = 1_000_000
 
 
 def line_key(line: bytes) -> bytes:
@@ -186,7 +188,9 @@ def dedup_lines(docs: DataFrame, counts: DataFrame | None = None, least: int = M
     largest that holds it. Null and empty texts are one empty line and stay empty (null becomes
     empty). Every row counts as a document; rows with equal doc_id are treated alike. Other
     columns pass; own columns of those names are replaced."""
-    gone = drops(docs, counts, least, min_docs).withColumnsRenamed({"doc_id": "_id", "dropped": "_dropped"})
+    gone = cut(drops(docs, counts, least, min_docs).withColumnsRenamed({"doc_id": "_id", "dropped": "_dropped"}), "line-drops")
+    if (gone.agg(F.sum(F.size("_dropped"))).first()[0] or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
     out = docs.withColumn("text", text_of(docs)).join(gone, F.col("doc_id") == F.col("_id"), "left")
     out = out.withColumn("_lines", F.split("text", "\n", -1))
     kept = F.filter("_lines", lambda x, i: ~F.array_contains(F.col("_dropped"), i))

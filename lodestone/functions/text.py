@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Tags whose content goes, and tags that end a line.
 DROPPED_TAGS = ("script", "style", "nav", "header", "footer")
@@ -81,12 +82,12 @@ def term_frequency(text: Column, term: Column | str) -> Column:
     return F.when(F.length(t) > 0, (F.length(text) - F.length(F.replace(text, t, F.lit("")))) / F.length(t)).otherwise(0).cast("bigint")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(s: pd.Series) -> pd.Series:
     """All html entities; the built-in chain above knows the common ones."""
     return s.map(lambda x: None if x is None else html.unescape(x))

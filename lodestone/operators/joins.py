@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Up to this many bytes a side whose rows are bounded by the vocabulary is sent to all workers.
 SMALL_ROWS = 10_000
@@ -92,7 +93,7 @@ def unique_suffix(names: DataFrame, files: DataFrame) -> DataFrame:
     return out.select("name", F.coalesce("hits", F.lit(0)).cast("long").alias("hits"), F.when(F.col("hits") == 1, F.col("file")).alias("file"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two texts."""
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)

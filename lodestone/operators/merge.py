@@ -39,7 +39,8 @@ def merge_records(records: DataFrame, key: str, order: Sequence[str], name: str,
     out = out.withColumn("conflicts", F.array_distinct(F.filter("_statements", lambda x: x.isNotNull() & (x != F.col("statement")))))
     for c in scalars:
         have = F.array_compact(F.col(f"_{c}"))
-        out = out.withColumn(c, F.get(have, 0)).withColumn(f"{c}_conflicts", F.array_distinct(F.filter(have, lambda x, c=c: x != F.col(c))))
+        first = F.get(have, 0)
+        out = out.withColumns({c: first, f"{c}_conflicts": F.array_distinct(F.filter(have, lambda x: x != first))})
     for c in multis:
         out = out.withColumn(c, F.array_distinct(F.flatten(F.transform(f"_{c}", lambda x: F.coalesce(x, F.array().cast("array<string>"))))))
     for c in appends:
@@ -62,7 +63,8 @@ def merge_edges(edges: DataFrame, keys: Sequence[str], order: Sequence[str], sca
     out = edges.groupBy(*keys).agg(*aggs)
     for c in scalars:
         have = F.array_compact(F.col(f"_{c}"))
-        out = out.withColumn(c, F.get(have, 0)).withColumn(f"{c}_conflicts", F.size(F.array_distinct(F.filter(have, lambda x, c=c: x != F.col(c)))).cast("long"))
+        first = F.get(have, 0)
+        out = out.withColumns({c: first, f"{c}_conflicts": F.size(F.array_distinct(F.filter(have, lambda x: x != first))).cast("long")})
     if notes:
         out = out.withColumn(notes, F.concat_ws("\n", F.array_distinct(F.array_compact(F.col("_notes")))))
     return out.drop("_notes", *(f"_{c}" for c in scalars))

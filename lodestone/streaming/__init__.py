@@ -1 +1 @@
-"""Part of lodestone."""
+"""Structured Streaming pieces."""

@@ -68,7 +68,7 @@ class Model:
 
     def log2p(self, h: list[np.ndarray], ctx: list[np.ndarray]) -> np.ndarray:
         """[positions, languages] for grams h[n] with contexts ctx[n] (their first n-1 symbols)."""
-        p = np.full((len(h[1]), len(self.langs)), 1e-6)
+        p = np.full((len(h[1]), len(self.langs)), 1.0 / (len(self.grams[1]) + 1))  # known symbols and one for the rest
         for n in range(1, ORDER + 1):
             p *= _look(self.contexts[n], self.b[n], ctx[n], 1.0)
             p += _look(self.grams[n], self.a[n], h[n], 0.0)

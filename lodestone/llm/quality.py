@@ -1,7 +1,8 @@
 """Quality rules on document statistics and on divergence from language references.
 
 Only DataFrame functions: every statistic is an expression of one row, so scoring has no shuffle.
-The references are sums over all documents of each language, a few rows of fixed width.
+The references are medians and sums over all documents of each language, a few rows of fixed
+width; medians keep junk in the corpus out of the character classes.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ SYMBOLS = "[#*$%&|<>]"
 #: A language needs this share of the documents, and this many, to be a reference.
 MIN_SHARE, MIN_DOCS, MAX_LANGS = 0.005, 5, 64
 #: Guards: shorter texts are not judged by that histogram.
-MIN_CHARS, MIN_COMMON_WORDS = 200, 80
+MIN_CHARS, MIN_COMMON_WORDS, MIN_MARKS = 200, 80, 10
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) to the nearest reference.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 0.30, 0.75
+MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MAX_MARK_DISTANCE = 0.35, 0.75, 0.50
 #: Base rules of the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 CLASSES = ("lower", "upper", "digit", "space", "symbol", "other", "beyond_ascii")
+#: Classes of the histogram of marks: symbols and other punctuation.
+MARKS = (CLASSES.index("symbol"), CLASSES.index("other"))
 
 
 def _without(col: Column, what: str) -> Column:
@@ -94,19 +97,25 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", F.when(F.col("_row") >= 0, base)).drop("_row", "_t", "_bare", "_black", "_plain", "_odd", "_lines", "_win", "_sorted", "_common", "_words")
 
 
-def language_references(stats: DataFrame, lang: str = "lang") -> list[tuple[str, list[float], list[float]]]:
-    """Histograms of each language: sums over all its documents that pass the base rules.
-    At most MAX_LANGS rows of fixed width reach the driver; rarer and null languages are none."""
-    sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, k in (("_classes", len(CLASSES)), ("_counts", len(COMMON_WORDS) + 1)) for i in range(k)]
-    rows = stats.where(~F.col("base_failed") & F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n"), *sums)
+def language_references(stats: DataFrame, lang: str = "lang") -> list[tuple[str, list[float], list[float], list[float]]]:
+    """Histograms of each language over all its documents that pass the base rules: medians
+    of class shares and mark shares, sums of common words. At most MAX_LANGS rows of fixed width reach the driver; rarer and null languages are none."""
+    n_words = len(COMMON_WORDS) + 1
+    total = F.aggregate("_classes", F.lit(0.0), lambda a, x: a + x)
+    stats = stats.withColumn("_total", total)
+    marks = F.col("_classes")[MARKS[0]] + F.col("_classes")[MARKS[1]]
+    aggs = [F.percentile_approx(F.when(F.col("_total") > 0, F.col("_classes")[i] / F.col("_total")), 0.5, 1000).alias(f"c{i}") for i in range(len(CLASSES))]
+    aggs += [F.percentile_approx(F.when(marks >= MIN_MARKS, F.col("_classes")[k] / marks), 0.5, 1000).alias(f"m{i}") for i, k in enumerate(MARKS)]
+    aggs += [F.sum(F.col("_counts")[i]).alias(f"w{i}") for i in range(n_words)]
+    rows = stats.where(~F.col("base_failed") & F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n"), *aggs)
     rows = rows.orderBy(F.desc("n"), lang).limit(MAX_LANGS).collect()
-    total = sum(r["n"] for r in rows)
+    every = sum(r["n"] for r in rows)
 
     def shares(r, c: str, k: int) -> list[float]:
         v = [r[f"{c}{i}"] or 0.0 for i in range(k)]
         return [x / (sum(v) or 1.0) for x in v]
 
-    return [(r[lang], shares(r, "_classes", len(CLASSES)), shares(r, "_counts", len(COMMON_WORDS) + 1)) for r in rows if r["n"] >= max(MIN_DOCS, MIN_SHARE * total)]
+    return [(r[lang], shares(r, "c", len(CLASSES)), shares(r, "w", n_words), shares(r, "m", 2)) for r in rows if r["n"] >= max(MIN_DOCS, MIN_SHARE * every)]
 
 
 def js_distance(shares: Column, reference: list[float]) -> Column:
@@ -117,25 +126,28 @@ def js_distance(shares: Column, reference: list[float]) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
     parts = F.zip_with(shares, F.array(*map(F.lit, reference)), lambda p, q: half(p, (p + q) / 2) + half(q, (p + q) / 2))
-    return F.coalesce(F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2)), F.lit(1.0))
+    bits = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2
+    return F.when(shares.isNull(), 1.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), bits)))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Each row of ``docs`` with the base statistics, ``base_failed``, ``class_distance``,
-    ``word_distance`` (to the nearest reference) and ``kept``.
+    ``word_distance``, ``mark_distance`` (to the nearest reference) and ``kept``.
 
     Without any reference (empty table, no languages) only the base rules decide. Texts under
-    MIN_CHARS characters or MIN_COMMON_WORDS words skip the matching histogram. Extra columns are
+    MIN_CHARS characters, MIN_COMMON_WORDS words or MIN_MARKS marks skip that histogram. Extra columns are
     kept; names that begin with an underscore or equal an added column are replaced."""
     stats = with_statistics(docs, text)
     refs = language_references(stats, lang)
-    for c in ("_classes", "_counts"):
+    stats = stats.withColumn("_marks", F.array(*(F.col("_classes")[k] for k in MARKS)))
+    for c in ("_classes", "_counts", "_marks"):
         stats = stats.withColumn(f"{c}_sum", F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
-    for c in ("_classes", "_counts"):
+    for c in ("_classes", "_counts", "_marks"):
         total = F.col(f"{c}_sum")
         stats = stats.withColumn(c, F.when(total > 0, F.transform(c, lambda x: x / total)))
     least = lambda col, at: F.array_min(F.array(*(js_distance(F.col(col), r[at]) for r in refs))) if refs else F.lit(0.0)
-    out = stats.withColumn("class_distance", least("_classes", 1)).withColumn("word_distance", least("_counts", 2))
+    out = stats.withColumn("class_distance", least("_classes", 1)).withColumn("word_distance", least("_counts", 2)).withColumn("mark_distance", least("_marks", 3))
     chars = F.col("word_chars")
-    bad = ((chars >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | ((F.col("n_words") >= MIN_COMMON_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
-    return out.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_classes", "_counts", "_classes_sum", "_counts_sum")
+    marked = (F.col("_marks_sum") >= MIN_MARKS) & (F.col("mark_distance") > MAX_MARK_DISTANCE)
+    bad = marked | ((chars >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | ((F.col("n_words") >= MIN_COMMON_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
+    return out.withColumn("kept", ~F.col("base_failed") & ~bad).drop(*(f"{c}{x}" for c in ("_classes", "_counts", "_marks") for x in ("", "_sum")))

@@ -57,12 +57,6 @@ def ascii_lower_bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass").lower()
 
 
-def partitions_for(spark: SparkSession, size_bytes: int, target: int) -> int:
-    """As many partitions as keep each near ``target`` bytes, at least the session's number."""
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-size_bytes // target))
-
-
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow for a function of one batch."""
 

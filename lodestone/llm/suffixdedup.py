@@ -19,13 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import cut, map_batches, mix, partitions_for, python_batches, text_of
+from lodestone.llm.base import cut, map_batches, mix, python_batches, text_of
 
 WIDTH, GRAM = 50, 28
 #: Bytes of a document handled at once. A chunk's edge only splits a segment in two.
 CHUNK = 1 << 20
-#: Bytes of text for each reducer.
-PART_BYTES = 24 << 20
+#: Bytes of text for each reducer, and the least number of reducers. Only the input's size counts:
+#: answers are a row for each document and reducer.
+PART_BYTES, MIN_PARTS = 24 << 20, 8
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
@@ -252,7 +253,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     python_batches(spark)
     rows = docs.select("doc_id", text_of(docs, text).alias("text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
-    parts = partitions_for(spark, size, PART_BYTES)
+    parts = max(MIN_PARTS, -(-size // PART_BYTES))
     packed = _segment_rows(rows, parts).repartition(parts, "part")
     settled = packed.mapInArrow(_settle, "doc_id long, covered binary, need binary")
     answers = settled.groupBy("doc_id").agg(

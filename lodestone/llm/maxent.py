@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 from lodestone.llm.base import cut, map_batches, mix, python_batches, text_of, word_hashes
 
 #: Frequent words (with the end) that are modelled one by one, classes, weight buckets, rounds.
-WORDS, CLASSES, BUCKETS, ROUNDS = 1024, 32, 1 << 14, 10
+WORDS, CLASSES, BUCKETS, ROUNDS = 1024, 32, 1 << 13, 8
 #: Frequent words whose counts every worker has (16 bytes each); others are joined.
 HEAD = 1 << 17
 #: The end is a token of its own; no word hashes to it in practice.
 END = np.uint64(0)
+#: Partitions that send gradients, of 2 MB each, to the driver.
+GRADIENT_PARTS = 4
 #: Tokens gathered before counts are passed on.
 FLUSH = 2_000_000
 TAIL_CLASS, BEGIN = 0, CLASSES  # BEGIN: the class before the first word
@@ -171,7 +173,7 @@ def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     counts = cut(token_counts(train), "lm-tokens")
     vocab = vocabulary(counts)
     cells = cut(context_counts(train, vocab), "lm-cells")
-    cells = cut(cells.repartition(8), "lm-cells8")  # their number is bounded by the symbols and classes
+    cells = cut(cells.repartition(GRADIENT_PARTS), "lm-cells-even")  # as many as symbols and classes allow
     model = Model(vocab, np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((CLASSES + 2, WORDS + 1), np.float32))
     # start at the frequencies, so the rounds only have the contexts to learn
     size = np.zeros(WORDS + 1)
@@ -222,6 +224,8 @@ def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
 
         parts = cells.mapInArrow(run, "a binary, b binary, c binary, d binary").collect()
         total = [sum(np.frombuffer(p[k], np.float32).reshape(s).astype(np.float64) for p in parts) for k, s in enumerate((shape_w, shape_w, shape_u, shape_u))]
+        del parts
+        now.destroy()
         # each position moves four rows of w and two of u at once: smaller steps keep the sum stable
         model = Model(vocab, *(np.clip(old + rate * np.clip(a / (b + 1.0), -3, 3), -30, 30).astype(np.float32) for old, a, b, rate in ((model.w, *total[:2], 0.28), (model.u, *total[2:], 0.5))))
     return model, counts

@@ -98,7 +98,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def language_references(stats: DataFrame, lang: str = "lang") -> list[tuple[str, list[float], list[float], list[float]]]:
-    """Histograms of each language over all its documents that pass the base rules: medians
+    """Histograms of each language over all its documents of MIN_WORDS words or more: medians
     of class shares and mark shares, sums of common words. At most MAX_LANGS rows of fixed width reach the driver; rarer and null languages are none."""
     n_words = len(COMMON_WORDS) + 1
     total = F.aggregate("_classes", F.lit(0.0), lambda a, x: a + x)
@@ -107,7 +107,8 @@ def language_references(stats: DataFrame, lang: str = "lang") -> list[tuple[str,
     aggs = [F.percentile_approx(F.when(F.col("_total") > 0, F.col("_classes")[i] / F.col("_total")), 0.5, 1000).alias(f"c{i}") for i in range(len(CLASSES))]
     aggs += [F.percentile_approx(F.when(marks >= MIN_MARKS, F.col("_classes")[k] / marks), 0.5, 1000).alias(f"m{i}") for i, k in enumerate(MARKS)]
     aggs += [F.sum(F.col("_counts")[i]).alias(f"w{i}") for i in range(n_words)]
-    rows = stats.where(~F.col("base_failed") & F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n"), *aggs)
+    # medians stand some junk: texts need only be long enough, so windows are not looked at here
+    rows = stats.where((F.col("n_words") >= MIN_WORDS) & F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n"), *aggs)
     rows = rows.orderBy(F.desc("n"), lang).limit(MAX_LANGS).collect()
     every = sum(r["n"] for r in rows)
 

@@ -91,10 +91,13 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     found, total = F.size("_common"), F.greatest(F.col("n_words"), F.size("_common"))
-    counts = F.transform(F.array(*map(F.lit, COMMON_WORDS)), lambda w: (found - F.size(F.array_remove("_common", w))).cast("double"))
+    # each found word stands between spaces of its own, so removing one word shows its count
+    df = df.withColumn("_found", F.concat(F.lit(" "), F.array_join("_common", "  "), F.lit(" ")))
+    gone = lambda w: F.octet_length("_found") - F.octet_length(F.replace(F.col("_found"), F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))
+    counts = F.array(*((gone(F.lit(w)) / (len(w.encode()) + 2)).cast("double") for w in COMMON_WORDS))
     df = df.withColumn("_counts", F.concat(counts, F.array((total - found).cast("double"))))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", F.when(F.col("_row") >= 0, base)).drop("_row", "_t", "_bare", "_black", "_plain", "_odd", "_lines", "_win", "_sorted", "_common", "_words")
+    return df.withColumn("base_failed", F.when(F.col("_row") >= 0, base)).drop("_row", "_t", "_bare", "_black", "_plain", "_odd", "_lines", "_win", "_sorted", "_common", "_found", "_words")
 
 
 def language_references(stats: DataFrame, lang: str = "lang") -> list[tuple[str, list[float], list[float], list[float]]]:

@@ -1,15 +1,16 @@
 """Benchmark decontamination: BM25 over the test items with block-max WAND, then overlap checks.
 
 The index holds the items; the queries are passages of the documents. Scores are divided by the
-item's score for its own text, so one threshold serves all items. Before a document's passages are
-searched, the summed impacts of its terms must reach the threshold for some item.
+item's score for its own text, so one threshold serves all items. A document's passages are searched
+in the part of the index that holds the items for which its summed impacts reach the threshold.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,43 +45,17 @@ def shingle_set(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
 
 
-class ItemIndex:
-    """Inverted index of one shard of items with impacts relative to each item's own score."""
-
-    def __init__(self, items: list[tuple[int, str]]) -> None:
-        kept = [(i, words_of(t)) for i, t in items]
-        self.ids = [i for i, w in kept if w]
-        texts = dict(items)
-        bags = [Counter(w) for _, w in kept if w]
-        self.parts = [tuple(map(shingle_set, question_and_answer(texts[i]))) for i in self.ids]
-        self.whole = [shingle_set(words_of(texts[i])) for i in self.ids]
-        n = len(bags)
-        df = Counter(t for bag in bags for t in bag)
-        mean = sum(sum(b.values()) for b in bags) / max(1, n)
-        self.term = {t: k for k, t in enumerate(sorted(df))}
-        postings: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for d, bag in enumerate(bags):
-            size = sum(bag.values())
-            impact = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in bag.items()}
-            own = sum(impact.values())
-            for t, x in impact.items():
-                postings[self.term[t]].append((d, x / own))
-        self.docs = [np.array([d for d, _ in postings[t]], np.int64) for t in range(len(df))]
-        self.impacts = [np.array([x for _, x in postings[t]]) for t in range(len(df))]
-        self.block_max = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.impacts]
-        self.top = np.array([x.max() for x in self.impacts]) if n else np.zeros(0)
-        self.flat_docs = np.concatenate(self.docs) if n else np.zeros(0, np.int64)
-        self.flat_impacts = np.concatenate(self.impacts) if n else np.zeros(0)
-        self.starts = np.r_[0, np.cumsum([len(x) for x in self.docs])].astype(np.int64)
-        self.passage = max(PASSAGE, 2 * max((sum(b.values()) for b in bags), default=0))
+class BlockIndex:
+    """Posting lists of terms 0..n-1, each with its largest impact and those of its blocks."""
 
-    def reachable(self, terms: np.ndarray) -> bool:
-        """Whether the distinct terms of a whole document reach the threshold for some item."""
-        t = np.unique(terms)
-        counts = self.starts[t + 1] - self.starts[t]
-        at = np.repeat(self.starts[t] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
-        mass = np.bincount(self.flat_docs[at], self.flat_impacts[at], len(self.ids))
-        return bool((mass >= MIN_SCORE - 1e-9).any())
+    def __init__(self, terms: np.ndarray, docs: np.ndarray, impacts: np.ndarray, n_terms: int) -> None:
+        """Postings sorted by term, then item; every term has one."""
+        self.flat_docs, self.flat_impacts = docs, impacts
+        self.starts = np.searchsorted(terms, np.arange(n_terms + 1))
+        cuts = self.starts[1:-1]
+        self.docs, self.impacts = np.split(docs, cuts), np.split(impacts, cuts)
+        self.block_max = [np.maximum.reduceat(x, np.arange(0, len(x), BLOCK)) for x in self.impacts if len(x)]
+        self.top = np.array([x.max() for x in self.block_max])
 
     def search(self, terms: list[int], least: float = MIN_SCORE) -> list[tuple[int, float]]:
         """All (item, score) of at least ``least``: WAND with block maxima."""
@@ -128,26 +103,81 @@ class ItemIndex:
         return out
 
 
+class ItemIndex(BlockIndex):
+    """Inverted index of one shard of items with impacts relative to each item's own score."""
+
+    def __init__(self, items: list[tuple[int, str]]) -> None:
+        kept = [(i, t, w) for i, t in items if (w := words_of(t))]
+        self.ids = [i for i, _, _ in kept]
+        self.parts = [tuple(map(shingle_set, question_and_answer(t))) for _, t, _ in kept]
+        self.whole = [shingle_set(w) for _, _, w in kept]
+        bags = [Counter(w) for _, _, w in kept]
+        n = len(bags)
+        df = Counter(t for bag in bags for t in bag)
+        mean = sum(sum(b.values()) for b in bags) / max(1, n)
+        self.words = sorted(df)
+        self.term = {t: k for k, t in enumerate(self.words)}
+        postings: list[tuple[int, int, float]] = []
+        for d, bag in enumerate(bags):
+            size = sum(bag.values())
+            impact = {t: np.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * size / mean)) for t, f in bag.items()}
+            own = sum(impact.values())
+            postings += [(self.term[t], d, x / own) for t, x in impact.items()]
+        postings.sort()
+        columns = list(zip(*postings, strict=True)) or [(), (), ()]
+        super().__init__(np.array(columns[0], np.int64), np.array(columns[1], np.int64), np.array(columns[2], float), len(df))
+        self.passage = max(PASSAGE, 2 * max((sum(b.values()) for b in bags), default=0))
+
+    def live(self, terms: np.ndarray) -> tuple[np.ndarray, BlockIndex] | None:
+        """The items that the distinct terms of a whole document reach the threshold for: their
+        terms and their part of the index. No passage of the document reaches any other item."""
+        counts = self.starts[terms + 1] - self.starts[terms]
+        at = np.repeat(self.starts[terms] - np.r_[0, np.cumsum(counts)[:-1]], counts) + np.arange(counts.sum())
+        docs, impacts = self.flat_docs[at], self.flat_impacts[at]
+        reached = np.bincount(docs, impacts, len(self.ids)) >= MIN_SCORE - 1e-9
+        keep = reached[docs]
+        if not keep.any():
+            return None
+        own, local = np.unique(np.repeat(terms, counts)[keep], return_inverse=True)
+        return own, BlockIndex(local, docs[keep], impacts[keep], len(own))
+
+
+def retrieved(words: list[str], index: ItemIndex) -> dict[int, tuple[float, int]]:
+    """The best score of each item that a passage reaches, and the passage's first word."""
+    get = index.term.get
+    terms = np.array(sorted(c for c in map(get, set(words)) if c is not None), np.int64)
+    found = index.live(terms) if len(terms) else None
+    if found is None:
+        return {}
+    own, part = found
+    local = {index.words[t]: k for k, t in enumerate(own.tolist())}
+    codes = np.fromiter(map(local.get, words, repeat(-1)), np.int64, len(words))
+    step = index.passage // 2
+    starts = range(0, max(1, len(words) - step), step)
+    # the summed maxima of each passage's terms: below the threshold WAND has no pivot in it
+    at = np.flatnonzero(codes >= 0)
+    halves = np.concatenate((at // step, at // step - 1))
+    inside = (halves >= 0) & (halves < len(starts))
+    pairs = np.unique(halves[inside] * len(own) + np.tile(codes[at], 2)[inside])
+    bounds = np.bincount(pairs // len(own), part.top[pairs % len(own)], len(starts))
+    best: dict[int, tuple[float, int]] = {}
+    for k in np.flatnonzero(bounds >= MIN_SCORE - 1e-9).tolist():
+        terms = codes[starts[k] : starts[k] + index.passage]
+        for item, score in part.search(terms[terms >= 0].tolist()):
+            if score > best.get(item, (0.0, 0))[0] + 1e-9:  # ties: the first passage
+                best[item] = (score, starts[k])
+    return best
+
+
 def find_leaks(text: str, index: ItemIndex) -> list[tuple[int, int, float, float, float, float]]:
     """(item id, first word of the best passage, score, overlap, of the question, of the answer)."""
     words = words_of(text)
-    get = index.term.get
-    codes = np.array([get(w, -1) for w in words], np.int64)
-    known = np.flatnonzero(codes >= 0)
-    if not len(known) or not index.reachable(codes[known]):
-        return []
-    best: dict[int, tuple[float, int]] = {}
-    step = index.passage // 2
-    for at in range(0, max(1, len(words) - step), step):
-        terms = codes[at : at + index.passage]
-        for item, score in index.search(terms[terms >= 0].tolist()):
-            if score > best.get(item, (0.0, 0))[0]:
-                best[item] = (score, at)
+    best = retrieved(words, index)
     if not best:
         return []
     out = []
     sizes = {len(s) for i in best for part in (*index.parts[i], index.whole[i]) for s in list(part)[:1]}
-    have = {n: {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} for n in sizes}
+    have = {n: set(zip(*(words[i:] for i in range(n)))) for n in sizes}
 
     def overlap(part: set) -> float:
         return sum(s in have[len(s)] for s in part) / len(part) if part else 0.0

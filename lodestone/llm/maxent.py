@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from lodestone.llm.base import cut, map_batches, mix, python_batches, text_of, word_hashes
 
 #: Frequent words (with the end) that are modelled one by one, classes, weight buckets, rounds.
-WORDS, CLASSES, BUCKETS, ROUNDS = 1024, 32, 1 << 13, 8
+WORDS, CLASSES, BUCKETS, ROUNDS = 1024, 32, 1 << 14, 10
 #: Frequent words whose counts every worker has (16 bytes each); others are joined.
 HEAD = 1 << 17
 #: The end is a token of its own; no word hashes to it in practice.
 END = np.uint64(0)
-#: Partitions that send gradients, of 2 MB each, to the driver.
+#: Partitions that make gradients, of 5 MB each; one executor adds them, so the driver gets one.
 GRADIENT_PARTS = 4
 #: Tokens gathered before counts are passed on.
 FLUSH = 2_000_000
@@ -165,6 +165,22 @@ class Model:
         return out
 
 
+def sum_arrays(parts: DataFrame) -> DataFrame:
+    """One row: each binary column as float32 arrays, added over all rows by one executor."""
+    names = parts.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: list[np.ndarray] = []
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = [np.frombuffer(c[k].as_py(), np.float32).astype(np.float64) for c in batch.columns]
+                total = [a + b for a, b in zip(total, row, strict=True)] if total else row
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()]) for x in total], names=names)
+
+    return parts.repartition(1).mapInArrow(run, ", ".join(f"{c} binary" for c in names))
+
+
 def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model and the table of token counts. Each round, partitions of the gathered cells give
     gradients and curvatures of fixed size; their sums move the weights."""
@@ -222,9 +238,8 @@ def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
                 g[3][0] += bend.sum(0)
             yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()]) for x in g], names=list("abcd"))
 
-        parts = cells.mapInArrow(run, "a binary, b binary, c binary, d binary").collect()
-        total = [sum(np.frombuffer(p[k], np.float32).reshape(s).astype(np.float64) for p in parts) for k, s in enumerate((shape_w, shape_w, shape_u, shape_u))]
-        del parts
+        row = sum_arrays(cells.mapInArrow(run, "a binary, b binary, c binary, d binary")).first()
+        total = [np.frombuffer(x, np.float32).reshape(s).astype(np.float64) for x, s in zip(row, (shape_w, shape_w, shape_u, shape_u), strict=True)]
         now.destroy()
         # each position moves four rows of w and two of u at once: smaller steps keep the sum stable
         model = Model(vocab, *(np.clip(old + rate * np.clip(a / (b + 1.0), -3, 3), -30, 30).astype(np.float32) for old, a, b, rate in ((model.w, *total[:2], 0.28), (model.u, *total[2:], 0.5))))

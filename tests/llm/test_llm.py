@@ -331,6 +331,14 @@ def test_lm_base_and_score(spark, none):
     assert maxent.score(none, model, counts).count() == 0
 
 
+def test_lm_rounds_and_gradient_sum(spark):
+    assert (maxent.ROUNDS, maxent.BUCKETS) == (10, 1 << 14)
+    x = np.arange(15, dtype=np.float32).reshape(5, 3)
+    parts = spark.createDataFrame([(r.tobytes(), (r * 2).tobytes()) for r in x], "a binary, b binary").repartition(3)
+    rows = maxent.sum_arrays(parts).collect()
+    assert len(rows) == 1 and [np.frombuffer(v, np.float32).tolist() for v in rows[0]] == [x.sum(0).tolist(), (2 * x).sum(0).tolist()]
+
+
 def test_language_id(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     model = langid.fit(docs.where("not held_out"), 60)

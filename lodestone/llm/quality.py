@@ -1,8 +1,8 @@
 """Quality rules on document statistics and on divergence from language references.
 
 Only DataFrame functions: every statistic is an expression of one row, so scoring has no shuffle.
-The references are medians and sums over all documents of each language, a few rows of fixed
-width; medians keep junk in the corpus out of the character classes.
+The references are medians and sums over all documents of each language, a table of one row of
+fixed width a language; medians keep junk in the corpus out of the character classes.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import WS, WS_RUN, text_of
+from lodestone.llm.base import WS, WS_RUN, cut, text_of
 
 #: Frequent function words of four languages.
 COMMON_WORDS = (
@@ -21,11 +21,13 @@ COMMON_WORDS = (
 ).split()
 #: Characters of the contract's n_symbols.
 SYMBOLS = "[#*$%&|<>]"
-#: A language needs this share of the documents, and this many, to be a reference.
-MIN_SHARE, MIN_DOCS, MAX_LANGS = 0.005, 5, 64
+#: A median of fewer documents is no reference: these are left to the base rules.
+MIN_DOCS = 5
+#: Up to so many references (about 1 KB each) go to every worker; beyond it they are joined by a shuffle.
+BROADCAST_LANGS = 10_000
 #: Guards: shorter texts are not judged by that histogram.
 MIN_CHARS, MIN_COMMON_WORDS, MIN_MARKS = 200, 80, 10
-#: Largest Jensen-Shannon distances (base 2, 0 to 1) to the nearest reference.
+#: Largest Jensen-Shannon distances (base 2, 0 to 1) to the reference of the language.
 MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MAX_MARK_DISTANCE = 0.35, 0.75, 0.50
 #: Base rules of the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -100,9 +102,10 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", F.when(F.col("_row") >= 0, base)).drop("_row", "_t", "_bare", "_black", "_plain", "_odd", "_lines", "_win", "_sorted", "_common", "_found", "_words")
 
 
-def language_references(stats: DataFrame, lang: str = "lang") -> list[tuple[str, list[float], list[float], list[float]]]:
-    """Histograms of each language over all its documents of MIN_WORDS words or more: medians
-    of class shares and mark shares, sums of common words. At most MAX_LANGS rows of fixed width reach the driver; rarer and null languages are none."""
+def language_references(stats: DataFrame, lang: str = "lang") -> DataFrame:
+    """_lang, _ref_classes, _ref_counts, _ref_marks: shares of each language over all its documents of MIN_WORDS
+    words or more: medians of class shares and mark shares, sums of common words. Null is no
+    language; every other one with MIN_DOCS such documents has a row."""
     n_words = len(COMMON_WORDS) + 1
     total = F.aggregate("_classes", F.lit(0.0), lambda a, x: a + x)
     stats = stats.withColumn("_total", total)
@@ -112,48 +115,52 @@ def language_references(stats: DataFrame, lang: str = "lang") -> list[tuple[str,
     aggs += [F.sum(F.col("_counts")[i]).alias(f"w{i}") for i in range(n_words)]
     # medians stand some junk: texts need only be long enough, so windows are not looked at here
     rows = stats.where((F.col("n_words") >= MIN_WORDS) & F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n"), *aggs)
-    rows = rows.orderBy(F.desc("n"), lang).limit(MAX_LANGS).collect()
-    every = sum(r["n"] for r in rows)
 
-    def shares(r, c: str, k: int) -> list[float]:
-        v = [r[f"{c}{i}"] or 0.0 for i in range(k)]
-        return [x / (sum(v) or 1.0) for x in v]
+    def shares(c: str, k: int) -> Column:
+        v = F.array(*(F.coalesce(F.col(f"{c}{i}"), F.lit(0.0)) for i in range(k)))
+        total = F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
+        return F.when(total > 0, F.transform(v, lambda x: x / total)).otherwise(v).alias({"c": "_ref_classes", "w": "_ref_counts", "m": "_ref_marks"}[c])
 
-    return [(r[lang], shares(r, "c", len(CLASSES)), shares(r, "w", n_words), shares(r, "m", 2)) for r in rows if r["n"] >= max(MIN_DOCS, MIN_SHARE * every)]
+    return rows.where(F.col("n") >= MIN_DOCS).select(F.col(lang).alias("_lang"), shares("c", len(CLASSES)), shares("w", n_words), shares("m", 2))
 
 
-def js_distance(shares: Column, reference: list[float]) -> Column:
+def js_distance(shares: Column, reference: list[float] | Column) -> Column:
     """Square root of the Jensen-Shannon divergence in bits between a column of shares and a
     reference. Shares are null for an empty histogram; the distance is then 1."""
 
     def half(p: Column, m: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
-    parts = F.zip_with(shares, F.array(*map(F.lit, reference)), lambda p, q: half(p, (p + q) / 2) + half(q, (p + q) / 2))
+    against = reference if isinstance(reference, Column) else F.array(*map(F.lit, reference))
+    parts = F.zip_with(shares, against, lambda p, q: half(p, (p + q) / 2) + half(q, (p + q) / 2))
     bits = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / 2
     return F.when(shares.isNull(), 1.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), bits)))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """Each row of ``docs`` with the base statistics, ``base_failed``, ``class_distance``,
-    ``word_distance``, ``mark_distance`` (to the nearest reference) and ``kept``.
+    ``word_distance``, ``mark_distance`` (to the reference of its language, 0 without one) and ``kept``.
 
-    Without any reference (empty table, no languages) only the base rules decide. Texts under
+    Documents whose language has no reference (null, MIN_DOCS not reached) are decided by the base rules alone. Texts under
     MIN_CHARS characters, MIN_COMMON_WORDS words or MIN_MARKS marks skip that histogram. Extra columns are
     kept; names that begin with an underscore or equal an added column are replaced."""
     stats = with_statistics(docs, text)
-    refs = language_references(stats, lang)
+    refs = cut(language_references(stats, lang), "quality-references")
+    if refs.count() <= BROADCAST_LANGS:
+        refs = F.broadcast(refs)
     stats = stats.withColumn("_marks", F.array(*(F.col("_classes")[k] for k in MARKS)))
     for c in ("_classes", "_counts", "_marks"):
         stats = stats.withColumn(f"{c}_sum", F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
     for c in ("_classes", "_counts", "_marks"):
         total = F.col(f"{c}_sum")
         stats = stats.withColumn(c, F.when(total > 0, F.transform(c, lambda x: x / total)))
-    least = lambda col, at: F.array_min(F.array(*(js_distance(F.col(col), r[at]) for r in refs))) if refs else F.lit(0.0)
-    out = stats.withColumn("class_distance", least("_classes", 1)).withColumn("word_distance", least("_counts", 2)).withColumn("mark_distance", least("_marks", 3))
+    out = stats.drop(*refs.columns).join(refs, F.col(lang) == F.col("_lang"), "left")
+    for name, c in (("class", "classes"), ("word", "counts"), ("mark", "marks")):
+        ref = F.col(f"_ref_{c}")
+        out = out.withColumn(f"{name}_distance", F.when(ref.isNull(), 0.0).otherwise(js_distance(F.col(f"_{c}"), ref)))
     chars = F.col("word_chars")
     marked = (F.col("_marks_sum") >= MIN_MARKS) & (F.col("mark_distance") > MAX_MARK_DISTANCE)
     bad = marked | ((chars >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | ((F.col("n_words") >= MIN_COMMON_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
     # not deterministic, so a filter on it is not pushed below, where it would repeat the distances
     verdict = F.when(F.monotonically_increasing_id() >= 0, ~F.col("base_failed") & ~bad).otherwise(F.lit(False))
-    return out.withColumn("kept", verdict).drop(*(f"{c}{x}" for c in ("_classes", "_counts", "_marks") for x in ("", "_sum")))
+    return out.withColumn("kept", verdict).drop(*(f"{c}{x}" for c in ("_classes", "_counts", "_marks") for x in ("", "_sum")), *refs.columns)

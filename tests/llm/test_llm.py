@@ -273,6 +273,20 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert by.get((1, False), 0) == 0 and by.get((0, True), 0) == 0
 
 
+def test_quality_rare_and_unknown_languages(spark):
+    rng = random.Random(3)
+    say = lambda words: " ".join(rng.choice(words) for _ in range(120))
+    latin = [f"{a}{b}{c}" for a in "bdfgklm" for b in "aeiou" for c in "nrst"]
+    cyrillic = [f"{a}{b}{c}" for a in "бдфгклм" for b in "аеиоу" for c in "нрст"]
+    rows = [(i, say(latin), "aa") for i in range(3000)] + [(5000 + i, say(cyrillic), "ru") for i in range(6)]
+    # too few for a reference, no language, and junk under a rare language's name
+    rows += [(6000, say(cyrillic), "uk"), (6001, say(cyrillic), None), (6002, say(latin), "ru")]
+    rows += [(7000 + 10 * k + i, say(latin), f"x{k}") for k in range(70) for i in range(5)]
+    got = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[5000 + i] for i in range(6)) and got[6000] and got[6001] and not got[6002] and len(got) == len(rows)
+    assert sum(not k for k in got.values()) == 1
+
+
 def test_leaks(spark, odd, none):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {r.item_id: decontam.shingle_set(decontam.words_of(r.text)) for r in items.collect()}

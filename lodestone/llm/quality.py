@@ -28,7 +28,11 @@ BROADCAST_LANGS = 10_000
 #: Guards: shorter texts are not judged by that histogram.
 MIN_CHARS, MIN_COMMON_WORDS, MIN_MARKS = 200, 80, 10
 #: Largest Jensen-Shannon distances (base 2, 0 to 1) to the reference of the language.
-MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE, MAX_MARK_DISTANCE = 0.35, 0.75, 0.50
+MAX_CLASS_DISTANCE, MAX_MARK_DISTANCE = 0.35, 0.50
+#: The largest distances of the common words (which ones, and their share of all words) come from
+#: the language's accepted documents: upper quartile plus so many quartile ranges, and at least
+#: what chance alone gives a text of MIN_COMMON_WORDS words.
+FENCE, LEAST_WORD_LIMIT, LEAST_SHARE_LIMIT = 6.0, 0.5, 0.15
 #: Base rules of the contract.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
@@ -103,8 +107,8 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def language_references(stats: DataFrame, lang: str = "lang") -> DataFrame:
-    """_lang, _ref_classes, _ref_counts, _ref_marks: shares of each language over all its documents of MIN_WORDS
-    words or more: medians of class shares and mark shares, sums of common words. Null is no
+    """_lang, _ref_classes, _ref_counts, _ref_marks: shares of each language over all its documents that pass
+    the base rules: medians of class shares and mark shares, sums of common words. Null is no
     language; every other one with MIN_DOCS such documents has a row."""
     n_words = len(COMMON_WORDS) + 1
     total = F.aggregate("_classes", F.lit(0.0), lambda a, x: a + x)
@@ -113,8 +117,7 @@ def language_references(stats: DataFrame, lang: str = "lang") -> DataFrame:
     aggs = [F.percentile_approx(F.when(F.col("_total") > 0, F.col("_classes")[i] / F.col("_total")), 0.5, 1000).alias(f"c{i}") for i in range(len(CLASSES))]
     aggs += [F.percentile_approx(F.when(marks >= MIN_MARKS, F.col("_classes")[k] / marks), 0.5, 1000).alias(f"m{i}") for i, k in enumerate(MARKS)]
     aggs += [F.sum(F.col("_counts")[i]).alias(f"w{i}") for i in range(n_words)]
-    # medians stand some junk: texts need only be long enough, so windows are not looked at here
-    rows = stats.where((F.col("n_words") >= MIN_WORDS) & F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n"), *aggs)
+    rows = stats.where(~F.col("base_failed") & F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n"), *aggs)
 
     def shares(c: str, k: int) -> Column:
         v = F.array(*(F.coalesce(F.col(f"{c}{i}"), F.lit(0.0)) for i in range(k)))
@@ -137,30 +140,56 @@ def js_distance(shares: Column, reference: list[float] | Column) -> Column:
     return F.when(shares.isNull(), 1.0).otherwise(F.sqrt(F.greatest(F.lit(0.0), bits)))
 
 
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Each row of ``docs`` with the base statistics, ``base_failed``, ``class_distance``,
-    ``word_distance``, ``mark_distance`` (to the reference of its language, 0 without one) and ``kept``.
+def word_limits(measured: DataFrame) -> DataFrame:
+    """_lang, _word_limit, _share_limit from the distances of each language's documents that pass
+    all other rules and are long enough for the histogram."""
+    quart = lambda c: F.percentile_approx(c, [0.25, 0.75], 1000).alias(c)
+    rows = measured.where("not base_failed and not _other_bad and _lang is not null").where(F.col("n_words") >= MIN_COMMON_WORDS)
+    rows = rows.groupBy("_lang").agg(quart("word_distance"), quart("share_distance"))
+    fence = lambda c, least: F.greatest(F.lit(least), F.col(c)[1] + FENCE * (F.col(c)[1] - F.col(c)[0]))
+    return rows.select("_lang", fence("word_distance", LEAST_WORD_LIMIT).alias("_word_limit"), fence("share_distance", LEAST_SHARE_LIMIT).alias("_share_limit"))
 
-    Documents whose language has no reference (null, MIN_DOCS not reached) are decided by the base rules alone. Texts under
-    MIN_CHARS characters, MIN_COMMON_WORDS words or MIN_MARKS marks skip that histogram. Extra columns are
+
+def _by_language(rows: DataFrame, table: DataFrame, on: Column, name: str) -> DataFrame:
+    """Left join with a table of one row a language."""
+    table = cut(table, name)
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_LANGS else table, on, "left")
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", columns: list[str] | None = None) -> DataFrame:
+    """Each row of ``docs`` (its ``columns``, by default all) with the base statistics,
+    ``base_failed``, ``class_distance``, ``word_distance``, ``share_distance``, ``mark_distance``
+    (to the reference of its language, 0 without one) and ``kept``.
+
+    Documents whose language has no reference (null, MIN_DOCS not reached) are decided by the base rules alone.
+    Texts under MIN_CHARS characters, MIN_COMMON_WORDS words or MIN_MARKS marks skip that histogram. The
+    statistics are computed once and written to the shared folder. Extra columns are
     kept; names that begin with an underscore or equal an added column are replaced."""
     stats = with_statistics(docs, text)
-    refs = cut(language_references(stats, lang), "quality-references")
-    if refs.count() <= BROADCAST_LANGS:
-        refs = F.broadcast(refs)
+    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "_classes", "_counts"]
+    columns = docs.columns if columns is None else columns
+    stats = stats.select(*(c for c in columns if not c.startswith("_") and c not in added), F.col(lang).alias("_of"), *added)
+    stats = cut(stats, "quality-statistics")
+    refs = language_references(stats, "_of")
     stats = stats.withColumn("_marks", F.array(*(F.col("_classes")[k] for k in MARKS)))
     for c in ("_classes", "_counts", "_marks"):
         stats = stats.withColumn(f"{c}_sum", F.aggregate(c, F.lit(0.0), lambda a, x: a + x))
     for c in ("_classes", "_counts", "_marks"):
         total = F.col(f"{c}_sum")
         stats = stats.withColumn(c, F.when(total > 0, F.transform(c, lambda x: x / total)))
-    out = stats.drop(*refs.columns).join(refs, F.col(lang) == F.col("_lang"), "left")
-    for name, c in (("class", "classes"), ("word", "counts"), ("mark", "marks")):
+    out = _by_language(stats, refs, F.col("_of") == F.col("_lang"), "quality-references")
+    known = lambda c: (1.0 - c[len(COMMON_WORDS)], c[len(COMMON_WORDS)])
+    out = out.withColumn("_share", F.when(F.col("_counts").isNotNull(), F.array(*known(F.col("_counts"))))).withColumn("_ref_share", F.array(*known(F.col("_ref_counts"))))
+    for name, c in (("class", "classes"), ("word", "counts"), ("share", "share"), ("mark", "marks")):
         ref = F.col(f"_ref_{c}")
-        out = out.withColumn(f"{name}_distance", F.when(ref.isNull(), 0.0).otherwise(js_distance(F.col(f"_{c}"), ref)))
-    chars = F.col("word_chars")
+        out = out.withColumn(f"{name}_distance", F.when(F.col("_lang").isNull(), 0.0).otherwise(js_distance(F.col(f"_{c}"), ref)))
     marked = (F.col("_marks_sum") >= MIN_MARKS) & (F.col("mark_distance") > MAX_MARK_DISTANCE)
-    bad = marked | ((chars >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | ((F.col("n_words") >= MIN_COMMON_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE))
+    out = out.withColumn("_other_bad", marked | ((F.col("word_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)))
+    limits = word_limits(out).withColumnRenamed("_lang", "_limit_of")
+    out = _by_language(out, limits, F.col("_lang") == F.col("_limit_of"), "quality-limits")
+    far = (F.col("word_distance") > F.coalesce("_word_limit", F.lit(1.0))) | (F.col("share_distance") > F.coalesce("_share_limit", F.lit(1.0)))
+    bad = F.col("_other_bad") | ((F.col("n_words") >= MIN_COMMON_WORDS) & far)
     # not deterministic, so a filter on it is not pushed below, where it would repeat the distances
     verdict = F.when(F.monotonically_increasing_id() >= 0, ~F.col("base_failed") & ~bad).otherwise(F.lit(False))
-    return out.withColumn("kept", verdict).drop(*(f"{c}{x}" for c in ("_classes", "_counts", "_marks") for x in ("", "_sum")), *refs.columns)
+    out = out.withColumn("kept", verdict)
+    return out.select(*(c for c in out.columns if not c.startswith("_")))

@@ -287,6 +287,16 @@ def test_quality_rare_and_unknown_languages(spark):
     assert sum(not k for k in got.values()) == 1
 
 
+def test_quality_drops_text_without_function_words(spark):
+    rng = random.Random(8)
+    content = [f"{a}{b}{c}{d}" for a in "bdfgklm" for b in "aeiou" for c in "nrst" for d in ("", "el", "ing")]
+    common = quality.COMMON_WORDS[:23]
+    clean = lambda n: " ".join(rng.choice(common) if rng.random() < 0.28 else rng.choice(content) for _ in range(n))
+    rows = [(i, clean(rng.randint(80, 600)), "en") for i in range(300)] + [(1000 + i, " ".join(rng.choice(content) for _ in range(150)), "en") for i in range(6)]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i] == (False, True) for i in range(300)) and all(got[1000 + i] == (False, False) for i in range(6))
+
+
 def test_leaks(spark, odd, none):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = {r.item_id: decontam.shingle_set(decontam.words_of(r.text)) for r in items.collect()}

@@ -11,6 +11,7 @@ edges are then confirmed on the full shingle sets in the same way, large cluster
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from fractions import Fraction
 
@@ -28,8 +29,8 @@ BLOCK_DOCS = 2048
 #: Up to so many clustered rows (about 40 bytes each) the texts stay where they are and the rows
 #: go to every worker; beyond it both are shuffled by doc_id.
 BROADCAST_ROWS = 1_000_000
-#: Slack of the signature estimate: 4.2 standard deviations at N_HASHES.
-SLACK = 0.135
+#: Chance to lose a pair at the threshold, by the bands and by the signature together.
+MISS = 1e-6
 _RNG = np.random.default_rng(20240229)
 _MUL = (_RNG.integers(0, 1 << 63, N_HASHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, N_HASHES, dtype=np.uint64)
@@ -41,11 +42,26 @@ def depth_and_trees(threshold: float) -> tuple[int, int]:
     best = (1, N_HASHES)
     for depth in range(1, 17):
         trees = N_HASHES // depth
-        if (1 - threshold**depth) ** trees <= 1e-6:
+        if (1 - threshold**depth) ** trees <= MISS / 2:
             best = (depth, trees)
     return best
 
 
+def least_agreement(threshold: float) -> int:
+    """The most hashes that a pair must agree in, such that a pair at the threshold is lost by the
+    bands or by this with a chance of at most MISS. Low bytes of different minima agree by 1/256."""
+    depth, trees = depth_and_trees(threshold)
+    left = MISS - (1 - threshold**depth) ** trees
+    p = threshold + (1 - threshold) / 256
+    lost, need = 0.0, 0
+    while need < N_HASHES:
+        lost += math.comb(N_HASHES, need) * p**need * (1 - p) ** (N_HASHES - need)
+        if lost > left:
+            break
+        need += 1
+    return need
+
+
 def shingles(text: str, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; fewer words: the sequence as one."""
     x = word_hashes(text)
@@ -152,11 +168,11 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def region_edges(feats: DataFrame, threshold: float) -> DataFrame:
     """a, b: spanning edges, for each region of the forest, of pairs whose signatures agree in
-    ``threshold - SLACK`` of the hashes. Regions of one document are counted away first."""
+    ``least_agreement(threshold)`` hashes. Regions of one document are counted away first."""
     entries = feats.select("doc_id", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     members = entries.join(shared, "key").join(feats.select("doc_id", "sig"), "doc_id")
-    need = (threshold - SLACK) * N_HASHES
+    need = least_agreement(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
@@ -176,7 +192,7 @@ def region_edges(feats: DataFrame, threshold: float) -> DataFrame:
 def confirmed_edges(clustered: DataFrame, k: int, share: Fraction) -> DataFrame:
     """a, b: spanning edges on full sets. ``clustered``: t1, t2 (the task), doc_id, text."""
     num, den = share.numerator, share.denominator
-    need = (float(share) - SLACK) * N_HASHES
+    need = least_agreement(float(share))  # the same signatures, so nothing more is lost
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, ids, texts in _groups(batches, 2):

@@ -242,6 +242,15 @@ def test_suffix_dedup(spark, odd, none, monkeypatch):
     assert suffixdedup.digests(none).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.7, 0.8, 0.85, 0.9])
+def test_chance_of_missing_a_pair(threshold):
+    depth, trees = neardup.depth_and_trees(threshold)
+    need, p = neardup.least_agreement(threshold), threshold + (1 - threshold) / 256
+    below = lambda m: sum(math.comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(m))
+    bands = (1 - threshold**depth) ** trees
+    assert bands + below(need) <= 1e-6 < bands + below(need + 1)
+
+
 def test_quality_statistics(odd, none):
     got = {}
     for r in quality.judge(odd).collect():

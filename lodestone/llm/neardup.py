@@ -1,11 +1,12 @@
-"""Near-duplicate documents by an LSH forest over MinHash signatures.
-
-Documents with equal shingle sets are folded first. Each tree of the forest sorts the signatures
-in another order of hash functions; documents whose longest common prefix reaches the region depth
-are neighbours. Within a region neighbours are followed adaptively: a pivot is compared with all
-members at once, and only members outside the largest connected part become pivots, so a dense
-region costs few passes and no pair list. Regions yield spanning edges only. Clusters of such
-edges are then confirmed on the full shingle sets in the same way, large clusters in blocks.
+"""Near-duplicate documents by banded LSH over MinHash signatures.
+
+Documents with equal shingle sets are folded first. The signature is cut into bands of one depth;
+documents with an equal band are one region. Bands take the place of an LSH forest: signatures are
+not sorted, prefixes are not compared, and a crowded region gets no deeper. Within a region
+neighbours are followed adaptively: a pivot is compared with all members at once, and only members
+outside the largest connected part become pivots, so a dense region costs few passes and no pair
+list. Regions yield spanning edges only. Clusters of such edges are then confirmed on the full
+shingle sets in the same way, large clusters in blocks.
 """
 
 from __future__ import annotations

@@ -87,7 +87,7 @@ def chunks(t, spark):
 @query()
 def query_normal_form(t, spark):
     """First turns of conversations as search queries (compatibility forms have no SQL)."""
-    d = t("conversations").where("turn = 0").select("conv_id", F.substring("text", 1, 300).alias("q"))
+    d = t("conversations").where("turn = 0").select("conv_id", F.col("text").alias("q"))
     return d.select("conv_id", text.normalize_query(F.col("q")).alias("query"))
 
 

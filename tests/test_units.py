@@ -1,4 +1,5 @@
 import random
+import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
@@ -94,6 +95,17 @@ def test_text_functions(spark):
     assert tuple(r) == ("ab c x", "a b+c", "50%", 2, "a_b__c", True)
 
 
+def test_query_normal_form_whole_texts(spark, tmp_path):
+    from lodestone.queries import QUERIES
+
+    texts = {1: "Ａb" * 100 + " tail", 2: "word " * 70, 3: "word " * 150, 4: "a" * 512, 5: "a" * 513, 6: "", 7: None}
+    rows = [(i, 0, "user", x) for i, x in texts.items()] + [(8, 1, "user", "no first turn")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    whole = {i: " ".join(unicodedata.normalize("NFKC", x or "").lower().split()) for i, x in texts.items()}
+    want = {i: x if 0 < len(x) <= 512 else None for i, x in whole.items()}
+    assert {r.conv_id: r["query"] for r in QUERIES["query_normal_form"](spark, str(tmp_path)).collect()} == want
+
+
 def test_readers(spark, tmp_path):
     files = {
         "a.csv": b"a;b\r\n1;\"x\r\ny\"\r\n\r\n2\r\n3;z\r\n4;z\r\n5;w\r\n",

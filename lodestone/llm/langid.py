@@ -20,8 +20,8 @@ from lodestone.llm.base import map_batches, mix, python_batches, text_of
 
 ORDER, DISCOUNT = 4, 0.75
 #: Bounds of the model: labelled documents for each language (in expectation, by a hash of
-#: doc_id), languages, and n-grams of a language and order (the most frequent).
-SAMPLE_DOCS, MAX_LANGS, MAX_GRAMS = 1500, 64, 100_000
+#: doc_id), and n-grams of a language and order (the most frequent). Every language has a model.
+SAMPLE_DOCS, MAX_GRAMS = 1500, 100_000
 #: Rejection: above this quantile of the language's own sample, plus a margin, in bits.
 REJECT_QUANTILE, REJECT_MARGIN = 0.999, 0.5
 
@@ -108,15 +108,14 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     Rows with null lang are no examples. The driver holds only the bounded model."""
     python_batches(labelled.sparkSession)
     labelled = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    n_docs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    n_docs = labelled.groupBy("lang").count().orderBy("lang").collect()
     if not n_docs:
         return None
     # salt keeps this choice apart from others by doc_id
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30))
-    keep = F.lit(False)
-    for r in n_docs:
-        keep = keep | ((F.col("lang") == r["lang"]) & (draw < int((1 << 30) * min(1.0, sample_docs / r["count"]))))
-    sample = labelled.where(keep)
+    rows = [(r["lang"], int((1 << 30) * min(1.0, sample_docs / r["count"]))) for r in n_docs]
+    below = labelled.sparkSession.createDataFrame(rows, "lang string, _below long")
+    sample = labelled.join(F.broadcast(below), "lang").where(draw < F.col("_below")).select("doc_id", "text", "lang")
     counts = gram_counts(sample)
     langs = sorted(r["lang"] for r in n_docs)
     pdf = counts.toPandas()

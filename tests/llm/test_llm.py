@@ -382,6 +382,15 @@ def test_language_id(spark, odd, none):
     assert langid.fit(none) is None and langid.identify(odd, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_every_language_has_a_model(spark):
+    rng = random.Random(4)
+    say = lambda k: " ".join("".join(chr(0x4E00 + 30 * k + rng.randrange(30)) for _ in range(4)) for _ in range(60))
+    rows = [(10 * k + i, say(k), f"l{k:02}") for k in range(70) for i in range(1 if k >= 64 else 2)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    new = spark.createDataFrame([(k, say(k)) for k in range(70)], "doc_id long, text string")
+    assert len(model.langs) == 70 and all(r.lang_pred == f"l{r.doc_id:02}" for r in langid.identify(new, model).collect())
+
+
 def test_kneser_ney_sums_to_one(spark):
     df = spark.createDataFrame([(1, "abcabcabdcab acbd", "x")], "doc_id long, text string, lang string")
     model = langid.fit(df)

@@ -26,8 +26,9 @@ from lodestone.llm.base import map_batches, python_batches, text_of
 
 #: Pieces of up to so many bytes are leaves: their merges are applied directly, and remembered.
 LEAF_BYTES = 6
-#: Distinct short pieces that a worker remembers; emptied when full, so memory is bounded.
-CACHE_PIECES = 300_000
+#: Distinct short pieces, and leaves and seams, that a worker remembers; emptied when full, so a
+#: worker's memory is bounded (about 60 MB in all).
+CACHE_PIECES, CACHE_PARTS = 120_000, 60_000
 
 
 class _Pieces(dict):
@@ -54,7 +55,7 @@ class _Memo(dict):
         self.fn = fn
 
     def __missing__(self, key):
-        if len(self) >= CACHE_PIECES:
+        if len(self) >= CACHE_PARTS:
             self.clear()
         out = self[key] = self.fn(key)
         return out
@@ -153,11 +154,25 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def load_codec(path: str, pattern: str, leaf: int = LEAF_BYTES) -> Codec:
-    """One codec per worker process. Its many small tuples hold no cycles: no need to trace them."""
-    gc.disable()
+    """One codec per worker process. Its tables live as long as the worker: they are set apart, so
+    the collector does not trace them again and again."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
-    return Codec(ranks, pattern, leaf)
+    codec = Codec(ranks, pattern, leaf)
+    gc.freeze()
+    return codec
+
+
+def _encoded(codec: Codec, texts: pa.Array) -> pa.ListArray:
+    lists = [np.array(codec.encode(t.as_py()), dtype=np.int32) for t in texts]
+    ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
+
+
+def _decoded(codec: Codec, ids: pa.ListArray) -> pa.Array:
+    """Bytes of each list; an array that was cut from a longer one keeps its offsets."""
+    flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    return pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
 
 
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,11 +181,7 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     python_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codec = load_codec(path, pattern)
-        lists = [np.array(codec.encode(t.as_py()), dtype=np.int32) for t in batch.column(1)]
-        ends = np.cumsum([0, *map(len, lists)], dtype=np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int32)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=[key, "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), _encoded(load_codec(path, pattern), batch.column(1))], names=[key, "ids"])
 
     kind = docs.schema[key].dataType.simpleString()
     return map_batches(docs.select(F.col(key), text_of(docs, text).alias("text")), run, f"`{key}` {kind}, ids array<int>")
@@ -180,20 +191,30 @@ def decode(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id") ->
     """``key, ids, bytes`` for each row of ``encode``."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        codec = load_codec(path, pattern)
         ids = batch.column(1)
-        flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
-        out = pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), ids, out], names=[key, "ids", "bytes"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, _decoded(load_codec(path, pattern), ids)], names=[key, "ids", "bytes"])
 
     kind = encoded.schema[key].dataType.simpleString()
     return map_batches(encoded.select(key, "ids"), run, f"`{key}` {kind}, ids array<int>, bytes binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``key, ids, bytes`` for each row: ``decode(encode(docs))`` in one Python stage, so a task has
+    one worker with one codec."""
+    python_batches(docs.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        codec = load_codec(path, pattern)
+        ids = _encoded(codec, batch.column(1))
+        yield pa.RecordBatch.from_arrays([batch.column(0), ids, _decoded(codec, ids)], names=[key, "ids", "bytes"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return map_batches(docs.select(F.col(key), text_of(docs, text).alias("text")), run, f"`{key}` {kind}, ids array<int>, bytes binary")
+
+
 def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode, decode, and digest both: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    done = decode(encode(docs, path, pattern), path, pattern)
-    return done.select(
+    return round_trip(docs, path, pattern).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

@@ -2,12 +2,15 @@
 
 Every window of WIDTH bytes belongs to its minimizer, the gram of least hash in it; a maximal run
 of windows with one minimizer is a segment. Equal windows have equal minimizers, so:
-1. segments (hashes only) meet by minimizer hash: equal segments settle all their windows at once;
+1. segments (hashes only) meet by minimizer hash: equal segments settle all their windows at once.
+   Of equal segments in one batch only that of the smallest doc_id goes on, so a string that a
+   third of all documents hold is a few rows; the others of the batch are settled there;
 2. segments that share a minimizer with a different segment send their bytes, once for each
    distinct content, and their windows are sorted by fingerprint, runs of equal strings compared
    byte by byte, and given the smallest doc_id;
 3. each document gets the answers and cuts the covered bytes.
-Reducers keep a segment's smallest doc_id only; documents of any length are read in chunks.
+Reducers keep a segment's smallest doc_id only, and answer with one row a covered segment, so
+their rows follow the repeated bytes. Documents of any length are read in chunks.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from lodestone.llm.base import cut, map_batches, mix, python_batches, text_of
 WIDTH, GRAM = 50, 28
 #: Bytes of a document handled at once. A chunk's edge only splits a segment in two.
 CHUNK = 1 << 20
-#: Bytes of text for each reducer, and the least number of reducers. Only the input's size counts:
-#: answers are a row for each document and reducer.
+#: Bytes of text for each reducer, and the least number of reducers.
 PART_BYTES, MIN_PARTS = 24 << 20, 8
+#: Stands for a null doc_id: later than every other, and never covering another null one.
+NO_ID = (1 << 63) - 1
 _RNG = np.random.default_rng(7)
 _BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
@@ -89,7 +93,9 @@ def _bytes_of(text: str) -> np.ndarray:
 
 
 def _segment_rows(rows: DataFrame, parts: int) -> DataFrame:
-    """part, docs (ids), lens, mini (u32), low (u32), high (u16): packed segments of a batch."""
+    """part, docs (ids), lens, mini (u32), low (u32), high (u16): packed segments of a batch, each
+    content once, for its smallest doc_id. Rows with a negative part are answers: segments of
+    ``docs`` that a smaller document of the same batch holds too."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         minis, hashes, at = [], [], []
@@ -100,37 +106,55 @@ def _segment_rows(rows: DataFrame, parts: int) -> DataFrame:
             hashes.append(h)
             at.append(np.full(len(h), k, np.int32))
         m, h, k = (np.concatenate(x) for x in (minis, hashes, at))
-        part = (m % np.uint64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
         ids = batch.column(0).to_numpy().astype(np.int64)
+        rank = np.unique(ids, return_inverse=True)[1][k]
+        order = np.lexsort((rank, h))
+        m, h, k, rank = m[order], h[order], k[order], rank[order]
+        first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (m[1:] != m[:-1])]) if len(h) else np.zeros(0, np.int64)
+        lead = np.repeat(first, np.diff(np.r_[first, len(h)]))
+        over = rank > rank[lead]
         out = []
-        for p in range(parts):
-            own = order[cuts[p] : cuts[p + 1]]
-            if len(own):
-                docs, lens = np.unique(k[own], return_counts=True)
-                x = h[own]
-                out.append((p, ids[docs].tobytes(), lens.astype(np.int32).tobytes(), (m[own] >> np.uint64(32)).astype(np.uint32).tobytes(), x.astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint16).tobytes()))
+
+        def pack(p: int, own: np.ndarray) -> None:
+            docs, lens = np.unique(k[own], return_counts=True)
+            own = own[np.argsort(k[own], kind="stable")]
+            x = h[own]
+            out.append((p, ids[docs].tobytes(), lens.astype(np.int32).tobytes(), (m[own] >> np.uint64(32)).astype(np.uint32).tobytes(), x.astype(np.uint32).tobytes(), (x >> np.uint64(32)).astype(np.uint16).tobytes()))
+
+        if over.any():
+            pack(-1 - int(h[0] % np.uint64(1 << 30)), np.flatnonzero(over))
+        part = (m[first] % np.uint64(parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        for p in np.flatnonzero(np.diff(cuts)).tolist():
+            pack(p, first[order[cuts[p] : cuts[p + 1]]])
         cols = [pa.array([r[0] for r in out], pa.int32()), *(pa.array([r[c] for r in out], pa.binary()) for c in range(1, 6))]
         yield pa.RecordBatch.from_arrays(cols, names=["part", "docs", "lens", "mini", "low", "high"])
 
     return map_batches(rows, run, "part int, docs binary, lens binary, mini binary, low binary, high binary")
 
 
-def _lists(doc: np.ndarray, h: np.ndarray) -> dict[int, bytes]:
-    order = np.argsort(doc, kind="stable")
-    ids, first = np.unique(doc[order], return_index=True)
-    return {int(i): x.astype(np.int64).tobytes() for i, x in zip(ids, np.split(h[order], first[1:]), strict=True)} if len(ids) else {}
+def _answers(doc: np.ndarray, h: np.ndarray, full: bool) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(doc), 200_000):
+        own = slice(at, at + 200_000)
+        d, x = doc[own], h[own].astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(x), pa.array(np.full(len(d), full))], names=["doc_id", "h", "full"])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, covered, need (packed content hashes) from the segments of one reducer."""
+    """doc_id, h, full: a row for each segment that is covered (full) or needs a look at its bytes,
+    from the segments of one reducer."""
     docs, minis, hashes = [], [], []
     for batch in batches:
-        for _, d, n, m, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            docs.append(np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32)))
+        for p, d, n, m, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            d = np.repeat(np.frombuffer(d, np.int64), np.frombuffer(n, np.int32))
+            h = np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32))
+            if p < 0:
+                yield from _answers(d, h, True)
+                continue
+            docs.append(d)
             minis.append(np.frombuffer(m, np.uint32))
-            hashes.append(np.frombuffer(low, np.uint32).astype(np.uint64) | (np.frombuffer(high, np.uint16).astype(np.uint64) << np.uint64(32)))
+            hashes.append(h)
     if not docs:
         return
     d, m, h = (np.concatenate(x) for x in (docs, minis, hashes))
@@ -140,7 +164,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (m[1:] != m[:-1])])
     least = np.minimum.reduceat(d, first)
     over = d > np.repeat(least, np.diff(np.r_[first, len(d)]))
-    covered = _lists(d[over], h[over])
+    yield from _answers(d[over], h[over], True)
     # minimizers of different segments that are in different documents
     gm, gh = m[first], h[first]
     order = np.argsort(gm, kind="stable")
@@ -149,24 +173,23 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.r_[start, len(gm)])
     mixed = (size > 1) & (np.minimum.reduceat(gd, start) < np.maximum.reduceat(gd, start))
     pick = np.repeat(mixed, size)
-    need = _lists(gd[pick], gh[pick])
-    ids = sorted(covered.keys() | need.keys())
-    for at in range(0, len(ids), 20_000):
-        own = ids[at : at + 20_000]
-        cols = [pa.array(own, pa.int64()), pa.array([covered.get(i, b"") for i in own], pa.binary()), pa.array([need.get(i, b"") for i in own], pa.binary())]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "covered", "need"])
+    yield from _answers(gd[pick], gh[pick], False)
 
 
-def _joined(parts: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(parts or []), np.int64)).view(np.uint64)
+def _sets(column: pa.Array) -> list[np.ndarray | None]:
+    """The numbers of each list, sorted and distinct; null for an empty or null one."""
+    out: list[np.ndarray | None] = []
+    for x in column:
+        v = x.values if x.is_valid else None
+        out.append(np.unique(v.to_numpy()).view(np.uint64) if v is not None and len(v) else None)
+    return out
 
 
 def _wanted(batch: pa.RecordBatch, parts: int) -> Iterator[pa.RecordBatch]:
     """part, mini, doc_id, h, data: bytes of the segments that need a look."""
     out = []
-    for i, t, need in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-        want = _joined(need)
-        if not len(want):
+    for i, t, want in zip(batch.column(0).to_pylist(), batch.column(1), _sets(batch.column(2)), strict=True):
+        if want is None:
             continue
         data = _bytes_of(t.as_py())
         s, e, m, h = segments(data)
@@ -221,12 +244,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _cut_text(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     n_bytes, spans, kept = [], [], []
-    for t, cover, partial in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+    for t, cover, partial in zip(batch.column(1), _sets(batch.column(2)), batch.column(3).to_pylist(), strict=True):
         data = _bytes_of(t.as_py())
         gone = np.zeros(len(data) + 1, np.int32)
-        if cover or partial:
+        if cover is not None or partial:
             s, e, _, h = segments(data)
-            full = np.isin(h, _joined(cover))
+            full = np.isin(h, cover) if cover is not None else np.zeros(len(h), bool)
             np.add.at(gone, s[full], 1)
             np.add.at(gone, e[full], -1)
             masks = {r["h"]: r["mask"] for r in partial or []}
@@ -248,25 +271,25 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (start, end) removed, kept bytes, for each row.
 
     Null text is empty; texts under WIDTH bytes keep all. Rows with equal doc_id never cover each
-    other and share their answers."""
+    other and share their answers. Rows with null doc_id come after all others. Other columns are
+    ignored."""
     spark = docs.sparkSession
     python_batches(spark)
-    rows = docs.select("doc_id", text_of(docs, text).alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), text_of(docs, text).alias("text"))
     size = docs.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
     parts = max(MIN_PARTS, -(-size // PART_BYTES))
     packed = _segment_rows(rows, parts).repartition(parts, "part")
-    settled = packed.mapInArrow(_settle, "doc_id long, covered binary, need binary")
-    answers = settled.groupBy("doc_id").agg(
-        F.filter(F.collect_list("covered"), lambda x: F.octet_length(x) > 0).alias("covered"), F.filter(F.collect_list("need"), lambda x: F.octet_length(x) > 0).alias("need")
-    )
-    answers = cut(answers, "repeat-segments")
+    settled = packed.mapInArrow(_settle, "doc_id long, h long, full boolean")
+    listed = lambda want, name: F.collect_list(F.when(want, F.col("h"))).alias(name)
+    answers = cut(settled.groupBy("doc_id").agg(listed(F.col("full"), "covered"), listed(~F.col("full"), "need")), "repeat-segments")
     asked = rows.join(answers.where(F.size("need") > 0).select("doc_id", "need"), "doc_id")
     wanted = map_batches(asked, lambda b: _wanted(b, parts), "part int, doc_id long, h long, data binary")
     masks = wanted.repartition(parts, "part").mapInArrow(_compare, "doc_id long, h long, mask binary")
     # rows of equal doc_id may ask for the same segment
     masks = cut(masks.groupBy("doc_id").agg(F.collect_set(F.struct("h", "mask")).alias("partial")), "repeat-windows")
     known = answers.where(F.size("covered") > 0).select("doc_id", "covered").join(masks, "doc_id", "full")
-    return map_batches(rows.join(known, "doc_id", "left").select("doc_id", "text", "covered", "partial"), _cut_text, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    out = map_batches(rows.join(known, "doc_id", "left").select("doc_id", "text", "covered", "partial"), _cut_text, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return out.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def digests(docs: DataFrame) -> DataFrame:

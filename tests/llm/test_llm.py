@@ -123,19 +123,46 @@ def test_line_dedup(odd, none):
     assert linededup.dedup_lines(none).count() == 0
 
 
-def test_line_dedup_without_filters(odd, monkeypatch):
+@pytest.mark.parametrize("keys", [0, 3])
+def test_line_dedup_at_other_sizes(odd, monkeypatch, keys):
+    """Filters that meet the lines shard by shard, keys and drops that are not sent about."""
     monkeypatch.setattr(linededup, "FILTER_BYTES", -1)
+    monkeypatch.setattr(linededup, "SHARD_KEYS", 1)
+    monkeypatch.setattr(linededup, "BROADCAST_KEYS", keys)
     monkeypatch.setattr(linededup, "BROADCAST_LINES", -1)
     assert sorted((r.doc_id, r.n_lines, r.text) for r in linededup.dedup_lines(odd).collect()) == line_dedup([(r[0], r[1]) for r in odd_rows()])
 
 
+def test_line_dedup_counts_documents(spark):
+    """Rows of one doc_id are one document, null ids are none; columns may have any name."""
+    line, other = "a line of more than twenty letters", "another line of more than twenty letters"
+    rows = [(1, line), (1, line), (2, line), (3, other), (4, other), (4, other), (5, other), (None, other), (None, line)]
+    df = spark.createDataFrame([(i, t, 0, 1, 2, 3) for i, t in rows], "doc_id long, text string, _id int, _dropped int, ident int, kept int")
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns, "n_lines", "n_dropped"]
+    got = sorted(((r.doc_id, r.text, r.n_dropped) for r in out.collect()), key=str)
+    want = [(1, line, 0), (1, line, 0), (2, line, 0), (3, "", 1), (4, "", 1), (4, "", 1), (5, other, 0), (None, other, 0), (None, line, 0)]
+    assert got == sorted(want, key=str)
+
+
 def test_line_index_is_reversible(spark, odd, tmp_path):
-    index = linededup.LineIndex(spark, f"file://{tmp_path}/index")
+    index = linededup.LineIndex(spark, f"file://{tmp_path}/index", shards=3)
+    held = lambda: sorted(map(tuple, index.counts().collect()))
     index.insert(odd.where("doc_id < 7").dropDuplicates(["doc_id"]))
-    before = sorted(map(tuple, index.counts().collect()))
+    before = held()
     index.insert(odd.where("doc_id >= 7"))
+    index.insert(odd.where("doc_id in (8, 9)"))  # once more: nothing changes
+    assert held() == sorted(map(tuple, linededup.document_counts(odd).collect()))
+    every = linededup.postings(odd).select("h1", "h2").distinct()
+    assert index.known(every).count() == every.count()
     index.delete(odd.where("doc_id >= 7").select("doc_id"))
-    assert sorted(map(tuple, index.counts().collect())) == before
+    assert held() == before
+    now = linededup.postings(odd.where("doc_id < 7")).select("h1", "h2").distinct()
+    assert sorted(index.known(every).collect()) == sorted(now.collect())
+    # the filters follow: as many fingerprints as live keys
+    assert sum(int((np.frombuffer(r.slots, np.uint16) > 0).sum()) for r in index.filters().collect()) == now.count()
+    index.delete(odd.select("doc_id"))
+    assert held() == [] and not any(np.frombuffer(r.slots, np.uint16).any() for r in index.filters().collect())
 
 
 def test_cuckoo_filter():

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from urllib.parse import urljoin
 
 import numpy as np
 import public_tokenizers
@@ -435,7 +436,7 @@ def test_kneser_ney_sums_to_one(spark):
 def test_url_rules(spark, none):
     pages = [
         (1, "http://a.example.com/en/7x", None), (2, "https://Example.NET/de/81?q", ""), (3, "https://example.net/de/9", ""), (4, "http://x.org/es/1", ""), (5, None, "x"), (6, "no scheme", ""),
-        (7, "http://free.io/p", '<link rel="canonical" href="http://x.org/es/1">'), (8, "https://www.free.io/p/", ""), (9, "http://other.io/q", '<meta http-equiv="refresh" content="0; url=http://free.io/p">'),
+        (7, "http://free.io/p", '<link rel="canonical" href="http://x.org/es/1">'), (8, "https://free.io/p?utm_source=feed&id=", ""), (14, "https://FREE.io:443/p?UTM_source=feed#x", ""), (15, "http://free.io/p?id=2", ""), (9, "http://other.io/q", '<meta http-equiv="refresh" content="0; url=http://free.io/p">'),
         (10, "http://b.example.com/en/7", '<link href="http://x.org/es/1" rel=canonical>'), (11, "http://alone.io", ""), (1, "http://a.example.com/en/7x", None), (12, "http://notexample.com/en/8", ""), (13, "http://u://v/p#f", ""),
     ]
     df = spark.createDataFrame([(*p, "clash") for p in pages], "page_id long, url string, html string, rule string")
@@ -443,13 +444,60 @@ def test_url_rules(spark, none):
     assert got[1] == ("a.example.com", "/en/7x", "example.com/en/7", "allow")
     assert got[2] == ("example.net", "/de/81", "example.net/de/8", "block") and got[3][2:] == ("net/de/", "allow")
     assert got[4][2:] == ("org/es/", "block") and got[5] == ("", "", None, "allow") == got[6]
-    assert [got[i][3] for i in (7, 8, 9, 10, 11)] == ["block", "block", "block", "allow", "allow"]
+    assert [got[i][3] for i in (7, 8, 9, 10, 11, 14, 15)] == ["block", "allow", "block", "allow", "allow", "block", "allow"]
     assert got[12][2] == "com/en/" and got[13][:2] == ("u:", "//v/p")
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert urlfilter.judge(empty, queries.URL_RULES).count() == 0
     assert public_tokenizers.PATTERN == PATTERN
 
 
+def test_url_links_are_resolved(spark):
+    bases = ["http://a.io/x/y/z.html?q=1#f", "https://b.io", "http://c.io/d/"]
+    links = ["../es/1", "../../../up", "page.html", "./p?x=1#y", "?k=v", "/root/./a/../b", "//other.io/p", "https://w.io/q", "a/b/../c/", "..", "mailto:x@y.z", "#top", ""]
+    df = spark.createDataFrame([(b, x) for b in bases for x in links], "b string, x string")
+    for r in df.select("b", "x", urlfilter.resolve(F.col("b"), F.col("x")).alias("got")).collect():
+        want = None if r.x in ("", "#top") or r.x.startswith("mailto") else urljoin(r.b, r.x)
+        assert r.got == want, (r.b, r.x)
+
+
+def test_url_components_against_brute_force(spark):
+    """Every node is judged, also a target that is no page; all tags, entities and bases count."""
+    rng = random.Random(5)
+    hosts = ["x.org", "a.com", "b.net", "c.io", "example.com"]
+    urls = [f"http://{h}/{p}/{k}" for h in hosts for p in ("en", "es", "q") for k in range(4)] + ["http://c.io/q?id=1", "http://c.io/q?id=2", "http://c.io/q?id=1&amp;x=2"]
+    pages, links = [], []
+    for i in range(90):
+        u, t = rng.choice(urls[:30]).replace("&amp;", "&"), [rng.choice(urls) for _ in range(rng.randint(0, 2))] if i % 3 == 0 else []
+        kind = rng.choice(["<link rel='alternate canonical' href='{}'>", "<LINK href={} REL=canonical>", '<meta content="5; URL={}" http-equiv="Refresh">'])
+        pages.append((i, u, "<link rel=stylesheet href=http://x.org/es/1><base href='http://elsewhere.io/'>" + "".join(kind.format(x) for x in t), 1, 2, 3))
+        links += [(u, x.replace("&amp;", "&")) for x in t]
+    pages += [(90, "http://q.io/p", '<base href="http://x.org/en/"><link rel=canonical href="../es/2">', 1, 2, 3)]
+    links += [("http://q.io/p", "http://x.org/es/2")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string, _root int, _alias int, node int")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    def rule(u):
+        host, _, path = u.split("://")[1].partition("/")
+        path = "/" + path.split("?")[0]
+        fits = [(len(t), t, v) for v, t in queries.URL_RULES if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/", 1)[1])]
+        return max(fits, default=(0, None, None))[1:]
+
+    for a, b in links:
+        root[find(a)] = find(b)
+    bad = {find(n) for n in list(root) if rule(n)[1] == "block"}
+    want = [(i, rule(u)[0], rule(u)[1] or ("block" if find(u) in bad else "allow")) for i, u, *_ in pages]
+    assert {v for _, r, v in want if r is None} == {"allow", "block"}
+    for rules in (queries.URL_RULES, spark.createDataFrame(queries.URL_RULES, "verdict string, rule string")):
+        out = urlfilter.judge(df, rules)
+        assert {"_root", "_alias", "node"} < set(out.columns)
+        assert sorted((r.page_id, r.rule, r.verdict) for r in out.collect()) == sorted(want)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 

@@ -338,7 +338,12 @@ def test_quality_drops_text_without_function_words(spark):
 
 def test_leaks(spark, odd, none):
     docs, items = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
-    whole = {r.item_id: decontam.shingle_set(decontam.words_of(r.text)) for r in items.collect()}
+
+    def shingle_set(w):
+        n = min(5, len(w))
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+
+    whole = {r.item_id: shingle_set(decontam.words_of(r.text)) for r in items.collect()}
     want = set()
     for r in docs.collect():
         w = decontam.words_of(r.text)
@@ -367,6 +372,38 @@ def test_wand_equals_exhaustive(monkeypatch):
             assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 for d in got)
 
 
+def test_passages_equal_exhaustive(monkeypatch):
+    """Bounds by blocks, of documents and of passages, lose no item that a passage reaches."""
+    monkeypatch.setattr(decontam, "BLOCK", 3)
+    monkeypatch.setattr(decontam, "PASSAGES", 4)
+    rng = random.Random(10)
+    vocab = [f"t{i}" for i in range(200)]
+    index = decontam.ItemIndex([(i, " ".join(rng.choice(vocab) for _ in range(rng.randint(3, 12)))) for i in range(70)])
+    for n in (0, 5, 64, 65, 129, 700, 3000):
+        words = [rng.choice(vocab) for _ in range(n)]
+        want = {}
+        for start in range(0, max(1, n - index.passage // 2), index.passage // 2):
+            mass = collections.Counter()
+            for t in {index.term[w] for w in words[start : start + index.passage] if w in index.term}:
+                for d, x in zip(index.docs[t], index.impacts[t], strict=True):
+                    mass[int(d)] += x
+            for d, x in mass.items():
+                if x >= decontam.MIN_SCORE - 1e-9 and x > want.get(d, (0, 0))[0] + 1e-9:
+                    want[d] = (x, start)
+        got = decontam.retrieved(words, index)
+        assert got.keys() == want.keys() and all(abs(got[d][0] - want[d][0]) < 1e-9 and got[d][1] == want[d][1] for d in got)
+
+
+def test_decontamination_in_parts(spark, monkeypatch):
+    """However the index is divided, scores are those of all items."""
+    docs, items = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
+    docs = docs.withColumns({"item_id": F.lit(0), "passage": F.lit(0), "size": F.lit(0), "term": F.lit("x")})
+    found = lambda: sorted((*r[:3], *(round(x, 9) for x in r[3:])) for r in decontam.contaminated(docs, items).collect())
+    whole = found()
+    monkeypatch.setattr(decontam, "INDEX_POSTINGS", 500)
+    assert found() == whole and whole
+
+
 def test_lm_base_and_score(spark, none):
     rows = [*[(r[0], r[1]) for r in odd_rows()], *[(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)

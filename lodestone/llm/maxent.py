@@ -1,15 +1,18 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
 p(word | context) = p(class of word | context) * p(word | its class, class of the word before).
-Both factors are softmaxes over sums of hashed feature weights: the word before, that word with
-the class of the one before it (n-gram), and that class alone (skip). Words beyond the frequent
-ones share one class and are divided by smoothed counts, so the model is a distribution over all
-known words with a share for unknown ones. Training counts are gathered from every training
-document; weights follow distributed gradient updates on those counts.
+Both factors are softmaxes over sums of feature weights. The classes' features are hashed: the word
+before, that word with the class of the one before it (n-gram), and that class alone (skip). The
+number of words that are modelled one by one and of weight buckets grow with the training text;
+the words beyond are contexts by a hash of their own, belong to classes by frequency, and are told
+apart within a class by smoothed counts. So the model is a distribution over all known words with a
+share for unknown ones. Counts are gathered from every training document; weights follow
+distributed gradient updates on those counts.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,67 +23,123 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.base import cut, map_batches, mix, python_batches, text_of, word_hashes
 
-#: Frequent words (with the end) that are modelled one by one, classes, weight buckets, rounds.
-WORDS, CLASSES, BUCKETS, ROUNDS = 1024, 32, 1 << 14, 10
+#: Least number of words that are modelled one by one and of weight buckets; both grow with the
+#: square root of the training tokens. Gradient rounds.
+WORDS, BUCKETS, ROUNDS = 1024, 1 << 14, 10
+#: Classes: 0 for words beyond the head and unknown ones, 1 to MID for words of the head that are
+#: not modelled one by one, the rest for those that are.
+CLASSES, MID = 48, 7
+RARE, BEGIN = 0, CLASSES  # BEGIN: the class before the first word
 #: Frequent words whose counts every worker has (16 bytes each); others are joined.
 HEAD = 1 << 17
 #: The end is a token of its own; no word hashes to it in practice.
 END = np.uint64(0)
-#: Partitions that make gradients, of 5 MB each; one executor adds them, so the driver gets one.
-GRADIENT_PARTS = 4
+#: Cells of a partition that makes gradients, contexts whose classes are computed at once, and
+#: numbers of a slice of the gradient; each slice is added by one task.
+PART_CELLS, CHUNK, SLICE = 1_000_000, 50_000, 1 << 20
 #: Tokens gathered before counts are passed on.
 FLUSH = 2_000_000
-TAIL_CLASS, BEGIN = 0, CLASSES  # BEGIN: the class before the first word
-CTX_BEGIN = WORDS + 1  # context symbols: 0 tail, 1..WORDS words, CTX_BEGIN
 
 
 def tokens(text: str) -> np.ndarray:
     return np.append(word_hashes(text), END)
 
 
-def token_counts(train: DataFrame) -> DataFrame:
-    """h, c over all tokens of all rows."""
+def tokenised(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row (a number of its own for each row), doc_id, ``keep``, hs (packed token hashes), written
+    to the shared folder: texts are split once for all passes. Null text is the end alone."""
+    keep = keep or []
+    python_batches(docs.sparkSession)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        hs = pa.array([tokens(t.as_py()).tobytes() for t in batch.column(batch.num_columns - 1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hs], names=["row", "doc_id", *keep, "hs"])
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *keep, text_of(docs).alias("text"))
+    return cut(map_batches(rows, run, f"row long, doc_id long, {kinds}hs binary"), "lm-texts")
+
+
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
+
+
+def gathered(texts: DataFrame, of: str, codes) -> DataFrame:
+    """``of``, c: how often each number in ``codes(hashes of some texts)`` occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+            x, c = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(c.astype(np.int64))], names=[of, "c"])
 
         for batch in batches:
-            for t in batch.column(0):
-                held.append(tokens(t.as_py()))
+            if batch.num_rows:
+                held.append(codes(_arrays(batch.column(0))))
                 size += len(held[-1])
-                if size >= FLUSH:
-                    yield out()
-                    held, size = [], 0
+            if size >= FLUSH:
+                yield out()
+                held, size = [], 0
         if held:
             yield out()
 
-    return train.select(text_of(train).alias("text")).mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return texts.select("hs").mapInArrow(run, f"{of} long, c long").groupBy(of).agg(F.sum("c").alias("c"))
+
+
+def token_counts(texts: DataFrame) -> DataFrame:
+    """h, c over all tokens of all rows."""
+    return gathered(texts, "h", np.concatenate)
 
 
 @dataclass
 class Vocabulary:
-    """Sorted head hashes with counts; ``symbol`` is 1..WORDS for the modelled words, else 0."""
+    """Sorted head hashes with counts, classes and ``symbol``: 1..words for the modelled words, else 0."""
 
     head: np.ndarray
     count: np.ndarray
     symbol: np.ndarray
-    klass: np.ndarray  # class of each symbol, TAIL_CLASS for 0, BEGIN for CTX_BEGIN
+    head_class: np.ndarray
+    words: int  # modelled one by one
+    klass: np.ndarray  # class of symbols 0..words
     n: int
     v: int
-    n_tail: int
-    v_tail: int
+    class_n: np.ndarray  # tokens and words of each class
+    class_v: np.ndarray
 
-    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """In head or not, count (0 beyond), symbol (0 beyond)."""
+    @property
+    def begin(self) -> int:
+        """Context symbols: 1..words, then as many shared by the words beyond, then this one."""
+        return 2 * self.words + 1
+
+    @property
+    def buckets(self) -> int:
+        return max(BUCKETS, 1 << (4 * self.words - 1).bit_length())
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """In head or not, count (0 beyond), symbol (0 beyond), class."""
         if not len(self.head):
-            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int32)
+            return np.zeros(len(h), bool), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64), np.zeros(len(h), np.int64)
         i = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
         hit = self.head[i] == h
-        return hit, np.where(hit, self.count[i], 0), np.where(hit, self.symbol[i], 0).astype(np.int32)
+        return hit, np.where(hit, self.count[i], 0), np.where(hit, self.symbol[i], 0), np.where(hit, self.head_class[i], RARE)
+
+    def contexts(self, h: np.ndarray, starts: np.ndarray, symbol: np.ndarray, klass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each token the symbol before it, the class of the one before that, and the class
+        before it. ``starts``: the first tokens of texts."""
+        own = np.where(symbol > 0, symbol, self.words + 1 + (mix(h) % np.uint64(max(1, self.words))).astype(np.int64))
+        one, before, two = (np.empty(len(h), np.int64) for _ in range(3))
+        one[1:], before[1:], two[1:] = own[:-1], klass[:-1], 0
+        one[starts], before[starts] = self.begin, BEGIN
+        two[1:] = before[:-1]
+        two[starts] = BEGIN
+        return one, two, before
+
+
+def _spread(counts: np.ndarray, first: int, classes: int) -> np.ndarray:
+    """Classes of equal sums of square roots of counts, the most frequent words first."""
+    share = np.cumsum(np.sqrt(counts)) / max(1e-9, np.sqrt(counts).sum())
+    return first + np.minimum((share * classes - 1e-9).astype(np.int64), classes - 1)
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
@@ -88,56 +147,40 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     top = counts.orderBy(F.desc("c"), "h").limit(HEAD).toPandas()
     n, v = int(total["n"] or 0), int(total["v"])
-    symbol = np.where(np.arange(len(top)) < WORDS, np.arange(len(top)) + 1, 0)
+    words = min(len(top), max(WORDS, math.isqrt(n)))
     c = top.c.to_numpy(np.int64)
-    # frequent words in classes of equal sums of square roots
-    share = np.cumsum(np.sqrt(c[:WORDS])) / max(1e-9, np.sqrt(c[:WORDS]).sum())
-    klass = np.r_[TAIL_CLASS, 1 + np.minimum((share * (CLASSES - 1) - 1e-9).astype(int), CLASSES - 2), np.zeros(WORDS - len(share), int), BEGIN]
+    klass = np.r_[_spread(c[:words], 1 + MID, CLASSES - 1 - MID), _spread(c[words:], 1, MID)].astype(np.int64)
+    symbol = np.where(np.arange(len(top)) < words, np.arange(len(top)) + 1, 0)
+    class_n = np.bincount(klass, c, CLASSES) if len(c) else np.zeros(CLASSES)
+    class_v = np.bincount(klass, minlength=CLASSES).astype(float)
+    class_n[RARE], class_v[RARE] = n - c.sum(), v - len(c)
     h = top.h.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    return Vocabulary(h[order], c[order], symbol[order].astype(np.int32), klass, n, v, n - int(c[:WORDS].sum()), v - len(share))
+    return Vocabulary(h[order], c[order], symbol[order].astype(np.int64), klass[order], words, np.r_[RARE, klass[:words]], n, v, class_n, class_v)
 
 
-def context_counts(train: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """cell, c. A cell is (symbol before, class before that, symbol now or -1 with its class)."""
-    shared = train.sparkSession.sparkContext.broadcast(vocab)
+def context_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """cell, c. A cell is (symbol before, class before that, class now), or -1 - (class before,
+    symbol now)."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocab)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def codes(hs: list[np.ndarray]) -> np.ndarray:
         v = shared.value
-        held, size = [], 0
-
-        def out() -> pa.RecordBatch:
-            x, c = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(c.astype(np.int64))], names=["cell", "c"])
-
-        for batch in batches:
-            for t in batch.column(0):
-                s = v.find(tokens(t.as_py()))[2]
-                one, two = contexts(s, v)
-                held.append((one * (CLASSES + 1) + two) * CLASSES + v.klass[s])
-                held.append(-1 - (v.klass[one] * (WORDS + 1) + s)[s > 0])
-                size += 2 * len(s)
-            if size >= FLUSH:
-                yield out()
-                held, size = [], 0
-        if held:
-            yield out()
-
-    return train.select(text_of(train).alias("text")).mapInArrow(run, "cell long, c long").groupBy("cell").agg(F.sum("c").alias("c"))
+        h = np.concatenate(hs)
+        starts = np.r_[0, np.cumsum(list(map(len, hs)))[:-1]]
+        _, _, symbol, klass = v.find(h)
+        one, two, before = v.contexts(h, starts, symbol, klass)
+        own = symbol > 0
+        return np.concatenate(((one * (CLASSES + 1) + two) * CLASSES + klass, -1 - (before * (v.words + 1) + symbol)[own]))
 
+    return gathered(texts, "cell", codes)
 
-def contexts(s: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the symbol before it and the class of the one before that."""
-    one = np.r_[CTX_BEGIN, s[:-1]].astype(np.int64)
-    two = v.klass[np.r_[CTX_BEGIN, one[:-1]]]
-    return one, two
 
-
-def class_features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+def class_features(one: np.ndarray, two: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Weight buckets [n, 3] of a context; bucket 0 is the bias of its own."""
     one, two = one.astype(np.uint64), two.astype(np.uint64)
     f = np.stack((one * np.uint64(4), (one * np.uint64(64) + two) * np.uint64(4) + np.uint64(1), two * np.uint64(4) + np.uint64(2)), 1)
-    return 1 + (mix(f + np.uint64(7)) % np.uint64(BUCKETS - 1)).astype(np.int64)
+    return 1 + (mix(f + np.uint64(7)) % np.uint64(buckets - 1)).astype(np.int64)
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -148,156 +191,178 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     vocab: Vocabulary
-    w: np.ndarray  # [BUCKETS, CLASSES]
-    u: np.ndarray  # [classes before + bias, WORDS + 1]
+    w: np.ndarray  # [buckets, CLASSES]
+    u: np.ndarray  # [bias and classes before, words + 1]
 
     def class_logp(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        return log_softmax(self.w[0] + self.w[class_features(one, two)].sum(1))
+        f = class_features(one, two, len(self.w))
+        return log_softmax(self.w[0] + self.w[f[:, 0]] + self.w[f[:, 1]] + self.w[f[:, 2]])
 
     def word_logp(self) -> np.ndarray:
         """[class before, symbol]: log p(symbol | its class, class before)."""
         logits = self.u[0] + self.u[1:]
         out = np.zeros_like(logits)
-        for k in range(1, CLASSES):
-            own = np.flatnonzero(self.vocab.klass[1 : WORDS + 1] == k) + 1
-            if len(own):
-                out[:, own] = log_softmax(logits[:, own])
+        klass = self.vocab.klass
+        for k in np.unique(klass[1:]):
+            own = np.flatnonzero(klass[1:] == k) + 1
+            out[:, own] = log_softmax(logits[:, own])
         return out
 
 
-def sum_arrays(parts: DataFrame) -> DataFrame:
-    """One row: each binary column as float32 arrays, added over all rows by one executor."""
-    names = parts.columns
+def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """total[at] += rows, where ``at`` repeats: sorted runs are added at once."""
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    total[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def gradient(m: Model, cell: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """Gradients and curvatures of w and u over some cells."""
+    g = [np.zeros(s, np.float32) for s in (m.w.shape, m.w.shape, m.u.shape, m.u.shape)]
+    klass, width = m.vocab.klass, m.vocab.words + 1
+    order = np.argsort(cell, kind="stable")
+    cell, c = cell[order], c[order].astype(np.float64)
+    split = int(np.searchsorted(cell, 0))
+    rest, y, count = cell[split:] // CLASSES, cell[split:] % CLASSES, c[split:]
+    ctx, first = np.unique(rest, return_index=True)
+    ends = np.r_[first[1:], len(rest)]
+    for low in range(0, len(ctx), CHUNK):
+        own = ctx[low : low + CHUNK]
+        one, two = own // (CLASSES + 1), own % (CLASSES + 1)
+        p = np.exp(m.class_logp(one, two)).astype(np.float64)
+        a, b = first[low], ends[min(low + CHUNK, len(ctx)) - 1]
+        where = np.repeat(np.arange(len(own)), ends[low : low + CHUNK] - first[low : low + CHUNK])
+        seen = np.zeros_like(p)
+        seen[where, y[a:b]] = count[a:b]
+        total = seen.sum(1, keepdims=True)
+        slope, bend = (seen - total * p).astype(np.float32), (total * p * (1 - p)).astype(np.float32)
+        g[0][0] += slope.sum(0)
+        g[1][0] += bend.sum(0)
+        f = class_features(one, two, len(m.w))
+        for j in range(3):
+            add_rows(g[0], f[:, j], slope)
+            add_rows(g[1], f[:, j], bend)
+    if split:
+        code = -1 - cell[:split]
+        seen = np.bincount(code, c[:split], (CLASSES + 1) * width).reshape(CLASSES + 1, width)
+        p = np.exp(m.word_logp())
+        share = np.zeros((CLASSES + 1, CLASSES))
+        for k in range(CLASSES):
+            share[:, k] = seen[:, klass == k].sum(1)
+        mean = share[:, klass] * p
+        mean[:, 0] = 0
+        g[2][1:], g[3][1:] = seen - mean, mean * (1 - p)
+        g[2][0], g[3][0] = g[2][1:].sum(0), g[3][1:].sum(0)
+    return g
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """slice, g: packed float32 arrays (slice int, g binary) added slice by slice, each by one task
+    that holds no more than the slices' sums."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: list[np.ndarray] = []
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k in range(batch.num_rows):
-                row = [np.frombuffer(c[k].as_py(), np.float32).astype(np.float64) for c in batch.columns]
-                total = [a + b for a, b in zip(total, row, strict=True)] if total else row
-        if total:
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()]) for x in total], names=names)
+            for k, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(g.as_buffer(), np.float32)
+                total[k] = total[k] + x if k in total else x.astype(np.float64)
+        for k, x in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["slice", "g"])
 
-    return parts.repartition(1).mapInArrow(run, ", ".join(f"{c} binary" for c in names))
+    return parts.repartition("slice").mapInArrow(run, "slice int, g binary")
 
 
-def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model and the table of token counts. Each round, partitions of the gathered cells give
-    gradients and curvatures of fixed size; their sums move the weights."""
-    spark = train.sparkSession
-    python_batches(spark)
-    counts = cut(token_counts(train), "lm-tokens")
+def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model and the table of token counts, from ``tokenised`` rows. Each round, partitions of
+    the gathered cells give gradients and curvatures; their sums move the weights."""
+    spark = texts.sparkSession
+    counts = cut(token_counts(texts), "lm-tokens")
     vocab = vocabulary(counts)
-    cells = cut(context_counts(train, vocab), "lm-cells")
-    cells = cut(cells.repartition(GRADIENT_PARTS), "lm-cells-even")  # as many as symbols and classes allow
-    model = Model(vocab, np.zeros((BUCKETS, CLASSES), np.float32), np.zeros((CLASSES + 2, WORDS + 1), np.float32))
+    cells = cut(context_counts(texts, vocab), "lm-cells")
+    n_parts = max(4, -(-cells.count() // PART_CELLS))
+    together = F.when(F.col("cell") >= 0, F.expr(f"cell div {CLASSES}")).otherwise(F.lit(-1) - F.col("cell") % 4)
+    cells = cut(cells.repartition(n_parts, together), "lm-cells-by-context")
+    model = Model(vocab, np.zeros((vocab.buckets, CLASSES), np.float32), np.zeros((CLASSES + 2, vocab.words + 1), np.float32))
     # start at the frequencies, so the rounds only have the contexts to learn
-    size = np.zeros(WORDS + 1)
+    size = np.zeros(vocab.words + 1)
     held = vocab.symbol > 0
     size[vocab.symbol[held]] = vocab.count[held]
-    size[0] = vocab.n_tail
-    model.w[0] = np.log(np.bincount(vocab.klass[: WORDS + 1], size, CLASSES) + 0.5)
+    model.w[0] = np.log(vocab.class_n + 0.5)
     model.u[0] = np.log(size + 0.5)
-    shape_w, shape_u = model.w.shape, model.u.shape
-    for r in range(rounds):
+    shapes = [model.w.shape, model.w.shape, model.u.shape, model.u.shape]
+    ends = np.cumsum([math.prod(s) for s in shapes])
+    for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            m = now.value
-            g = [np.zeros(s, np.float64) for s in (shape_w, shape_w, shape_u, shape_u)]
-            wlp = np.exp(m.word_logp())
-            for batch in batches:
-                cell, c = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.float64)
-                at = cell >= 0
-                y, rest = cell[at] % CLASSES, cell[at] // CLASSES
-                ctx, where = np.unique(rest, return_inverse=True)
-                one, two = ctx // (CLASSES + 1), ctx % (CLASSES + 1)
-                p = np.exp(m.class_logp(one, two))
-                total = np.bincount(where, c[at], len(ctx))[:, None]
-                seen = np.zeros_like(p)
-                np.add.at(seen, (where, y), c[at])
-                f = class_features(one, two)
-                for buckets in (np.zeros((len(ctx), 1), np.int64), f):
-                    for j in range(buckets.shape[1]):
-                        np.add.at(g[0], buckets[:, j], seen - total * p)
-                        np.add.at(g[1], buckets[:, j], total * p * (1 - p))
-                code = -1 - cell[~at]
-                before, s = code // (WORDS + 1), code % (WORDS + 1)
-                seen = np.zeros((CLASSES + 1, WORDS + 1))
-                np.add.at(seen, (before, s), c[~at])
-                share = np.zeros((CLASSES + 1, CLASSES))
-                k = m.vocab.klass[: WORDS + 1]
-                for j in range(CLASSES):
-                    share[:, j] = seen[:, k == j].sum(1)
-                mean = share[:, k] * wlp
-                mean[:, 0] = 0
-                bend = mean * (1 - wlp)
-                g[2][1:] += seen - mean
-                g[3][1:] += bend
-                g[2][0] += (seen - mean).sum(0)
-                g[3][0] += bend.sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float32).tobytes()]) for x in g], names=list("abcd"))
-
-        row = sum_arrays(cells.mapInArrow(run, "a binary, b binary, c binary, d binary")).first()
-        total = [np.frombuffer(x, np.float32).reshape(s).astype(np.float64) for x, s in zip(row, (shape_w, shape_w, shape_u, shape_u), strict=True)]
+            got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+            if not got:
+                return
+            flat = np.concatenate([x.ravel() for x in gradient(now.value, *map(np.concatenate, zip(*got, strict=True)))])
+            for k, at in enumerate(range(0, len(flat), SLICE)):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([flat[at : at + SLICE].tobytes()], pa.binary())], names=["slice", "g"])
+
+        rows = summed(cells.mapInArrow(run, "slice int, g binary")).collect()
         now.destroy()
+        if not rows:
+            break
+        flat = np.concatenate([np.frombuffer(r["g"], np.float32) for r in sorted(rows, key=lambda r: r["slice"])])
+        total = [x.reshape(s).astype(np.float64) for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
         # each position moves four rows of w and two of u at once: smaller steps keep the sum stable
         model = Model(vocab, *(np.clip(old + rate * np.clip(a / (b + 1.0), -3, 3), -30, 30).astype(np.float32) for old, a, b, rate in ((model.w, *total[:2], 0.28), (model.u, *total[2:], 0.5))))
     return model, counts
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, ``keep``, n_tokens, n_known, train_tokens, base_score, score for each row.
+def score(texts: DataFrame, model: Model, counts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, ``keep``, n_tokens, n_known, train_tokens, base_score, score for each ``tokenised`` row.
 
     Null and empty texts are the end alone. Words beyond the head get their counts by a join on
-    their hash. Rows with equal doc_id and ``keep`` are scored each for itself."""
+    their hash and come back by the row's own number, so repeated rows are scored each for itself."""
     keep = keep or []
-    spark = docs.sparkSession
+    spark = texts.sparkSession
     python_batches(spark)
-    rows = docs.select(F.col("doc_id"), *keep, text_of(docs).alias("text"))
     shared = spark.sparkContext.broadcast(model)
 
     def scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = shared.value
         v = m.vocab
-        hs = [tokens(t.as_py()) for t in batch.column(batch.num_columns - 1)]
+        hs = _arrays(batch.column(batch.num_columns - 1))
         lens = np.array(list(map(len, hs)))
         starts = np.r_[0, np.cumsum(lens)[:-1]]
-        hit, c, s = v.find(np.concatenate(hs))
-        one, two = (np.empty(len(s), np.int64) for _ in range(2))
-        one[0], one[1:] = CTX_BEGIN, s[:-1]
-        one[starts] = CTX_BEGIN
-        k = v.klass[one]
-        two[0], two[1:] = BEGIN, k[:-1]
-        two[starts] = BEGIN
+        h = np.concatenate(hs)
+        hit, c, symbol, klass = v.find(h)
+        one, two, before = v.contexts(h, starts, symbol, klass)
         ctx, where = np.unique(one * (CLASSES + 1) + two, return_inverse=True)
-        clp = m.class_logp(ctx // (CLASSES + 1), ctx % (CLASSES + 1))
-        tail = s == 0
-        lp = clp[where, v.klass[s]] / np.log(10) + np.where(tail, -np.log10(v.n_tail + v.v_tail + 1.0), m.word_logp()[k, s] / np.log(10))
+        lp = np.empty(len(h))
+        clp = np.empty((len(ctx), CLASSES), np.float32)
+        for at in range(0, len(ctx), CHUNK):
+            clp[at : at + CHUNK] = m.class_logp(ctx[at : at + CHUNK] // (CLASSES + 1), ctx[at : at + CHUNK] % (CLASSES + 1))
+        if "word_logp" not in _TABLES or _TABLES["model"] is not m:
+            _TABLES.update(model=m, word_logp=m.word_logp() / np.log(10))
+        tail = symbol == 0
+        unseen = np.log10(np.maximum(1.0, v.class_n + v.class_v + (np.arange(CLASSES) == RARE)))
         own = np.where(hit, np.log10(c + 1.0), 0.0)
+        lp = clp[where, klass] / np.log(10) + np.where(tail, own - unseen[klass], _TABLES["word_logp"][before, symbol])
         total = lambda x: np.add.reduceat(x, starts)
-        cols = [pa.array(lens.astype(np.int64)), pa.array(total(hit.astype(np.int64))), pa.array(total(own) - lens * np.log10(v.n + v.v + 1.0)), pa.array(total(lp + np.where(tail, own, 0.0)))]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=["doc_id", *keep, "n_tokens", "n_head", "b", "s"])
-
-    def rare(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        v = shared.value.vocab
-        ids, hs, ns = [], [], []
-        for i, t in zip(batch.column(0).to_numpy(), batch.column(batch.num_columns - 1), strict=True):
-            h = tokens(t.as_py())
-            h, n = np.unique(h[~v.find(h)[0]], return_counts=True)
-            ids.append(np.full(len(h), i, np.int64))
-            hs.append(h.view(np.int64))
-            ns.append(n.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, hs, ns)], names=["doc_id", "h", "tf"])
-
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    head = map_batches(rows, scored, f"doc_id long, {kinds}n_tokens long, n_head long, b double, s double")
-    # one text for each id: rows with equal doc_id and different texts get a number of their own
-    joined = map_batches(rows, rare, "doc_id long, h long, tf int").join(counts, "h")
-    tail = joined.groupBy("doc_id").agg(F.sum("tf").alias("n_rare"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("t"))
-    out = head.join(tail, "doc_id", "left")
+        rare = np.flatnonzero(~hit)
+        k = np.repeat(np.arange(len(hs)), lens)[rare]
+        r = h[rare]
+        order = np.lexsort((r, k))
+        k, r = k[order], r[order]
+        first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])]) if len(k) else np.zeros(0, np.int64)
+        ends = pa.array(np.searchsorted(k[first], np.arange(len(hs) + 1)).astype(np.int32))
+        words = pa.ListArray.from_arrays(ends, pa.array(r[first].view(np.int64)))
+        times = pa.ListArray.from_arrays(ends, pa.array(np.diff(np.r_[first, len(k)]).astype(np.int32)))
+        cols = [pa.array(lens.astype(np.int64)), pa.array(total(hit.astype(np.int64))), pa.array(total(own) - lens * np.log10(v.n + v.v + 1.0)), pa.array(total(lp)), words, times]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=["row", "doc_id", *keep, "n_tokens", "n_head", "b", "s", "words", "times"])
+
+    kinds = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keep)
+    head = cut(map_batches(texts.select("row", "doc_id", *keep, "hs"), scored, f"row long, doc_id long, {kinds}n_tokens long, n_head long, b double, s double, words array<long>, times array<int>"), "lm-scores")
+    rare = head.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("h"), F.col("x.times").alias("tf"))
+    tail = rare.join(counts, "h").groupBy("row").agg(F.sum("tf").alias("n_rare"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("t"))
     t = F.coalesce("t", F.lit(0.0))
-    return out.select(
+    return head.drop("words", "times").join(tail, "row", "left").select(
         "doc_id",
         *keep,
         "n_tokens",
@@ -306,3 +371,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str] | No
         (F.col("b") + t).alias("base_score"),
         (F.col("s") + t).alias("score"),
     )
+
+
+#: The word factor of the model that this worker scores with.
+_TABLES: dict = {}

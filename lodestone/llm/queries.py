@@ -19,8 +19,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
-    model, counts = maxent.fit(docs.where(~F.col("held_out")))
-    return maxent.score(docs, model, counts, ["held_out"])
+    texts = maxent.tokenised(docs, ["held_out"])
+    model, counts = maxent.fit(texts.where(~F.col("held_out")))
+    return maxent.score(texts, model, counts, ["held_out"])
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

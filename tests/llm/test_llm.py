@@ -404,39 +404,101 @@ def test_decontamination_in_parts(spark, monkeypatch):
     assert found() == whole and whole
 
 
-def test_lm_base_and_score(spark, none):
+def test_lm_base_and_score(spark, none, monkeypatch):
+    monkeypatch.setattr(maxent, "HEAD", 2000)  # other words take the join
     rows = [*[(r[0], r[1]) for r in odd_rows()], *[(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
-    model, counts = maxent.fit(df.where("not held_out"), rounds=4)
+    rows += [(50, "two texts"), (50, "of one id and some more words")]
+    df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, hs string, row int").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
+    texts = maxent.tokenised(df, ["held_out"])
+    model, counts = maxent.fit(texts.where("not held_out"), rounds=4)
     c = collections.Counter()
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 7 != 2:
             c.update([*WORD.findall(lower(t)), None])
     n, v = sum(c.values()), len(c)
-    got = maxent.score(df, model, counts, ["held_out"]).dropDuplicates(["doc_id"]).collect()
-    for r in got:
-        w = [*WORD.findall(lower(dict(rows)[r.doc_id])), None]
+    want = []
+    for i, t in rows:
+        w = [*WORD.findall(lower(t)), None]
         base = sum(math.log10((c.get(x, 0) + 1) / (n + v + 1)) for x in w)
-        assert (r.n_tokens, r.train_tokens) == (len(w), n) and r.score <= 0
-        if r.doc_id != 3:  # that row is there twice
-            assert abs(r.base_score - base) < 1e-6 * abs(base) and r.n_known == sum(x in c for x in w)
+        want.append((i, len(w), sum(x in c for x in w), n, round(base, 4)))
+    got = maxent.score(texts, model, counts, ["held_out"]).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == sorted(want)
     some = [r for r in got if r.doc_id >= 100]
-    assert sum(r.score for r in some) > sum(r.base_score for r in some)
+    assert sum(r.score for r in some) > sum(r.base_score for r in some) and all(r.score <= 0 for r in got)
     # a distribution over classes, and over the words of each class
-    one, two = np.array([0, 5, maxent.CTX_BEGIN]), np.array([0, 1, maxent.BEGIN])
-    assert np.allclose(np.exp(model.class_logp(one, two)).sum(1), 1)
+    voc = model.vocab
+    one, two = np.array([0, 5, voc.begin, 2 * voc.words]), np.array([0, 1, maxent.BEGIN, 3])
+    assert np.allclose(np.exp(model.class_logp(one, two)).sum(1), 1, atol=1e-5)
     lp = np.exp(model.word_logp())
-    for k in set(model.vocab.klass[1 : maxent.WORDS + 1]) - {0}:
-        assert np.allclose(lp[:, 1:][:, model.vocab.klass[1 : maxent.WORDS + 1] == k].sum(1), 1, atol=1e-4)
-    assert maxent.score(none, model, counts).count() == 0
-
-
-def test_lm_rounds_and_gradient_sum(spark):
-    assert (maxent.ROUNDS, maxent.BUCKETS) == (10, 1 << 14)
+    for k in set(voc.klass[1:].tolist()):
+        assert np.allclose(lp[:, 1:][:, voc.klass[1:] == k].sum(1), 1, atol=1e-4)
+    # all words of the classes that smoothed counts divide, and one unknown word
+    for k in range(maxent.MID + 1):
+        inside = voc.count[voc.head_class == k] if k else counts.join(spark.createDataFrame([(int(x),) for x in voc.head.view(np.int64)], "h long"), "h", "left_anti").toPandas().c.to_numpy()
+        assert (inside + 1).sum() == voc.class_n[k] + voc.class_v[k]
+    assert maxent.score(maxent.tokenised(none), model, counts).count() == 0
+    blank, no_counts = maxent.fit(maxent.tokenised(none), rounds=2)
+    assert [r.score <= 0 for r in maxent.score(texts.limit(3), blank, no_counts).collect()] == [True] * 3
+
+
+def test_lm_scores_by_definition(spark):
+    """Scores of a small model, word by word, from its weights."""
+    rows = [(i, t) for i, t in enumerate(["a b a b c", "a b d", "c a b", "e f a b", None])] + [(9, "b zzz a")]
+    texts = maxent.tokenised(spark.createDataFrame(rows, "doc_id long, text string"))
+    model, counts = maxent.fit(texts.where("doc_id < 9"), rounds=3)
+    voc, got = model.vocab, {r.doc_id: r.score for r in maxent.score(texts, model, counts).collect()}
+    for i, t in rows:
+        h = maxent.tokens(t or "")
+        _, c, symbol, klass = voc.find(h)
+        total, prev, skip, before = 0.0, voc.begin, maxent.BEGIN, maxent.BEGIN
+        for k in range(len(h)):
+            total += model.class_logp(np.array([prev]), np.array([skip]))[0, klass[k]]
+            total += model.word_logp()[before, symbol[k]] if symbol[k] else math.log((c[k] + 1) / (voc.class_n[klass[k]] + voc.class_v[klass[k]] + (klass[k] == 0)))
+            prev, skip, before = symbol[k] or voc.words + 1 + int(maxent.mix(h[k : k + 1])[0] % np.uint64(voc.words)), before, klass[k]
+        assert abs(total / math.log(10) - got[i]) < 1e-3
+
+
+def test_lm_gradient_by_differences():
+    """The gradient of the cells' log likelihood, against small steps."""
+    rng = np.random.default_rng(3)
+    words = 40
+    klass = np.r_[0, 8 + np.arange(words) % 40]
+    voc = maxent.Vocabulary(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0), words, klass, 1, 1, np.ones(48), np.ones(48))
+    klass[1:] = 8 + np.arange(words) % 5
+    model = maxent.Model(voc, rng.normal(0, 0.3, (voc.buckets, 48)), rng.normal(0, 0.3, (50, words + 1)))
+    one, two, y = rng.integers(1, 20, 30), rng.integers(0, 48, 30), rng.integers(0, 48, 30)
+    before, symbol = rng.integers(0, 49, 30), rng.integers(1, words + 1, 30)
+    cell, c = np.unique(np.r_[(one * 49 + two) * 48 + y, -1 - (before * (words + 1) + symbol)], return_counts=True)
+
+    def loss(m):
+        at = cell >= 0
+        ctx = cell[at] // 48
+        a = m.class_logp(ctx // 49, ctx % 49)[np.arange(at.sum()), cell[at] % 48]
+        code = -1 - cell[~at]
+        return (c[at] * a).sum() + (c[~at] * m.word_logp()[code // (words + 1), code % (words + 1)]).sum()
+
+    g = maxent.gradient(model, cell, c)
+    f = maxent.class_features(one, two, voc.buckets)
+    for name, at, d in [("w", (0, 3), g[0]), ("w", (f[0, 0], y[0]), g[0]), ("w", (f[4, 1], y[4]), g[0]), ("u", (1 + before[2], symbol[2]), g[2]), ("u", (0, symbol[5]), g[2])]:
+        x = getattr(model, name)
+        was, step = x[at], 1e-4
+        x[at] = was + step
+        up = loss(model)
+        x[at] = was - step
+        down = loss(model)
+        x[at] = was
+        assert abs((up - down) / (2 * step) - d[at]) < 1e-2
+
+
+def test_lm_sizes_and_gradient_sum(spark):
+    assert maxent.ROUNDS == 10 and maxent.BUCKETS == 1 << 14
+    small = maxent.Vocabulary(*[np.zeros(0)] * 4, 1024, *[np.zeros(0)], 1, 1, *[np.zeros(0)] * 2)
+    large = maxent.Vocabulary(*[np.zeros(0)] * 4, 88_000, *[np.zeros(0)], 1, 1, *[np.zeros(0)] * 2)
+    assert (small.buckets, large.buckets) == (1 << 14, 1 << 19)
     x = np.arange(15, dtype=np.float32).reshape(5, 3)
-    parts = spark.createDataFrame([(r.tobytes(), (r * 2).tobytes()) for r in x], "a binary, b binary").repartition(3)
-    rows = maxent.sum_arrays(parts).collect()
-    assert len(rows) == 1 and [np.frombuffer(v, np.float32).tolist() for v in rows[0]] == [x.sum(0).tolist(), (2 * x).sum(0).tolist()]
+    parts = spark.createDataFrame([(k, (r * (k + 1)).tobytes()) for r in x for k in range(2)], "slice int, g binary").repartition(3)
+    got = {r.slice: np.frombuffer(r.g, np.float32).tolist() for r in maxent.summed(parts).collect()}
+    assert got == {0: x.sum(0).tolist(), 1: (2 * x).sum(0).tolist()}
 
 
 def test_language_id(spark, odd, none):

@@ -1,12 +1,16 @@
-"""Near-duplicate documents by banded LSH over MinHash signatures.
-
-Documents with equal shingle sets are folded first. The signature is cut into bands of one depth;
-documents with an equal band are one region. Bands take the place of an LSH forest: signatures are
-not sorted, prefixes are not compared, and a crowded region gets no deeper. Within a region
-neighbours are followed adaptively: a pivot is compared with all members at once, and only members
-outside the largest connected part become pivots, so a dense region costs few passes and no pair
-list. Regions yield spanning edges only. Clusters of such edges are then confirmed on the full
-shingle sets in the same way, large clusters in blocks.
+"""Near-duplicate documents by a forest of sorted MinHash signatures.
+
+Documents with equal shingle sets are folded first. Each tree reads the signature from another
+place on: that is its sorted order. Documents with a common prefix of the least depth are a region
+of the tree. Within a region the longest common prefixes come first: neighbours in the sorted order
+are compared, which joins most of a dense region; what is still apart is compared at the region's
+own depth, a pivot with all members at once, and only members outside the largest connected part
+become pivots. So depth adapts to each region, a dense one costs few passes and no pair list, and no
+pair of a region is left out.
+
+A crowded region is divided into blocks that share some members (anchors); members that the anchors
+did not connect to the region's largest part are then compared with all blocks. Regions yield
+spanning edges only. Clusters of such edges are confirmed on full shingle sets in the same way.
 """
 
 from __future__ import annotations
@@ -25,8 +29,11 @@ from lodestone.llm.base import cut, map_batches, mix, python_batches, text_of, w
 from lodestone.llm.components import components
 
 N_HASHES = 128
-#: A cluster of more documents is confirmed as pairs of blocks of this size.
-BLOCK_DOCS = 2048
+#: Regions and clusters of more documents are divided into blocks of about this size, which share
+#: so many anchors.
+REGION_DOCS, CLUSTER_DOCS, ANCHORS = 1024, 1024, 64
+#: Neighbours of the sorted order that are compared first.
+NEIGHBOURS = 2
 #: Up to so many clustered rows (about 40 bytes each) the texts stay where they are and the rows
 #: go to every worker; beyond it both are shuffled by doc_id.
 BROADCAST_ROWS = 1_000_000
@@ -84,7 +91,8 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, k: int, depth: int, trees: int, text: str = "text") -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), sig (low bytes), keys (region keys of the trees)."""
+    """doc_id, n, d1, d2 (digest of the set), sig (low bytes), keys (region keys of the trees; the
+    low byte is the tree)."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         n, digest, sigs, keys = [], [], [], []
@@ -99,7 +107,7 @@ def features(docs: DataFrame, k: int, depth: int, trees: int, text: str = "text"
                 h = np.arange(1, trees + 1, dtype=np.uint64)
                 for j in range(depth):
                     h = mix(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, j])
-                keys.append(h.view(np.int64).tolist())
+                keys.append(((h & ~np.uint64(255)) | np.arange(trees, dtype=np.uint64)).view(np.int64).tolist())
             else:
                 sigs.append(b"")
                 keys.append([])
@@ -110,28 +118,48 @@ def features(docs: DataFrame, k: int, depth: int, trees: int, text: str = "text"
     return map_batches(docs.select("doc_id", text_of(docs, text).alias("text")), run, "doc_id long, n int, d1 long, d2 long, sig binary, keys array<long>")
 
 
-def link(size: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+def link(size: int, near: Callable[[int, np.ndarray], np.ndarray], first: list[tuple[int, int]] | None = None, pivots: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Spanning edges of the graph on 0..size-1 whose links ``near(i, others) -> bool array`` tells.
 
     Every pair of different final parts has had an end that was a pivot compared with all others,
-    so no link between parts is lost."""
+    so no link between parts is lost. ``first``: links that are known; ``pivots``: only these are
+    compared with all others."""
     part = np.arange(size)
     edges: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> None:
+        if part[j] != part[i]:
+            edges.append((i, j))
+            part[part == part[j]] = part[i]
+
+    for i, j in first or []:
+        join(i, j)
     done = np.zeros(size, bool)
     while True:
-        biggest = np.bincount(part, minlength=size).argmax()
-        todo = np.flatnonzero(~done & (part != biggest)) if done.any() else np.flatnonzero(~done)
+        if pivots is not None:
+            todo = pivots[~done[pivots]]
+        else:
+            biggest = np.bincount(part, minlength=size).argmax()
+            todo = np.flatnonzero(~done & (part != biggest)) if done.any() or edges else np.flatnonzero(~done)
         if not len(todo):
             return edges
         i = int(todo[0])
         done[i] = True
         others = np.flatnonzero(part != part[i])
-        if not len(others):
-            continue
-        for j in others[near(i, others)]:
-            if part[j] != part[i]:
-                edges.append((i, int(j)))
-                part[part == part[j]] = part[i]
+        if len(others):
+            for j in others[near(i, others)]:
+                join(i, int(j))
+
+
+def sorted_neighbours(x: np.ndarray, tree: int, depth: int, need: int) -> list[tuple[int, int]]:
+    """Pairs next to each other in the tree's order (longest common prefixes) that agree enough."""
+    order = np.ascontiguousarray(np.roll(x, -tree * depth, axis=1)).view(f"S{x.shape[1]}").ravel().argsort(kind="stable")
+    out = []
+    for w in range(1, NEIGHBOURS + 1):
+        a, b = order[:-w], order[w:]
+        hit = (x[a] == x[b]).sum(1) >= need
+        out += zip(a[hit].tolist(), b[hit].tolist(), strict=True)
+    return out
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
@@ -167,40 +195,78 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
 
+def group_links(grouped: DataFrame, limit: int, compare: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """a, b: spanning edges of each group. ``grouped``: g, doc_id, m (members of the group);
+    ``compare`` turns tasks (g, t, doc_id, pivot) into edges: of all members of a task, or, where it
+    has pivots, of pivots with all members.
+
+    Groups of more than ``limit`` members are blocks with common anchors. Then members outside the
+    largest part that came out of it meet every block: of two members that are apart, one does."""
+    big = grouped.where(F.col("m") > limit)
+    tasks = grouped.where(F.col("m") <= limit).select("g", F.lit(0).cast("long").alias("t"), "doc_id", F.lit(False).alias("pivot"))
+    if big.isEmpty():
+        return cut(compare(tasks), name)
+    blocks = F.ceil(F.col("m") / limit).cast("long")
+    own = F.pmod(F.xxhash64("doc_id"), blocks)
+    anchor = F.pmod(F.xxhash64("doc_id", F.lit("anchor")), F.col("m")) < ANCHORS
+    spread = big.select("g", F.explode(F.when(anchor, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own))).alias("t"), "doc_id", F.lit(False).alias("pivot"))
+    found = cut(compare(tasks.union(spread)), name)
+    parts = cut(components(found, "a", "b"), f"{name}-parts").withColumnsRenamed({"node": "doc_id"})
+    placed = big.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    main = placed.groupBy("g", "component").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    apart = cut(placed.join(main, "g").where("component <> main").select("g", "doc_id", "m"), f"{name}-apart")
+    if apart.isEmpty():
+        return found
+    left = apart.groupBy("g").agg(F.count("*").alias("k"))
+    rounds = F.ceil(F.col("k") / limit).cast("long")
+    code = lambda i: i * (1 << 31)
+    pivots = apart.join(left, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b"), code(F.pmod(F.xxhash64("doc_id"), rounds)).alias("r"), "doc_id", F.lit(True).alias("pivot"))
+    targets = big.join(left, "g").select("g", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), rounds - 1)).alias("r"), "doc_id", F.lit(False).alias("pivot"))
+    more = pivots.union(targets.withColumn("r", code(F.col("r")))).select("g", (F.col("r") + F.col("b")).alias("t"), "doc_id", "pivot")
+    return found.union(cut(compare(more), f"{name}-rest"))
+
+
 def region_edges(feats: DataFrame, threshold: float) -> DataFrame:
     """a, b: spanning edges, for each region of the forest, of pairs whose signatures agree in
     ``least_agreement(threshold)`` hashes. Regions of one document are counted away first."""
-    entries = feats.select("doc_id", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    members = entries.join(shared, "key").join(feats.select("doc_id", "sig"), "doc_id")
-    need = least_agreement(threshold)
+    entries = feats.select("doc_id", F.explode("keys").alias("g"))
+    shared = entries.groupBy("g").agg(F.count("*").alias("m")).where("m > 1")
+    need, depth = least_agreement(threshold), depth_and_trees(threshold)[0]
+    n = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple[int, int]] = []
-        for _, ids, sigs in _groups(batches, 1):
+        for g, _, ids, pivot, sigs in _groups(batches, 2):
             x = np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(-1, N_HASHES)
             i = ids.to_numpy()
-            found += [(i[p], i[q]) for p, q in link(len(i), lambda p, o, x=x: (x[o] == x[p]).sum(1) >= need)]
+            lead = np.flatnonzero(pivot.to_numpy(zero_copy_only=False))
+            first = sorted_neighbours(x, int(g[0].as_py() & 255), depth, need)
+            found += [(i[p], i[q]) for p, q in link(len(i), lambda p, o, x=x: (x[o] == x[p]).sum(1) >= need, first, lead if len(lead) else None)]
             if len(found) > 50_000:
                 yield _edges(found)
                 found = []
         yield _edges(found)
 
-    n = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.select("key", "doc_id", "sig").repartition(n, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, "a long, b long").distinct()
+    def compare(tasks: DataFrame) -> DataFrame:
+        members = tasks.join(feats.select("doc_id", "sig"), "doc_id").select("g", "t", "doc_id", "pivot", "sig")
+        return members.repartition(n, "g", "t").sortWithinPartitions("g", "t", "doc_id").mapInArrow(run, "a long, b long").distinct()
+
+    return group_links(cut(entries.join(shared, "g"), "minhash-regions"), REGION_DOCS, compare, "minhash-edges")
 
 
-def confirmed_edges(clustered: DataFrame, k: int, share: Fraction) -> DataFrame:
-    """a, b: spanning edges on full sets. ``clustered``: t1, t2 (the task), doc_id, text."""
+def confirmed_edges(clusters: DataFrame, texts: DataFrame, k: int, share: Fraction) -> DataFrame:
+    """a, b: spanning edges on full sets within clusters (node, component). ``texts``: doc_id, text."""
     num, den = share.numerator, share.denominator
     need = least_agreement(float(share))  # the same signatures, so nothing more is lost
+    n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, ids, texts in _groups(batches, 2):
+        for _, _, ids, pivot, texts in _groups(batches, 2):
             i = ids.to_numpy()
             sets = [shingles(t.as_py(), k) for t in texts]
             sigs = np.array([signature(s).astype(np.uint8) for s in sets])
             sizes = np.array(list(map(len, sets)))
+            lead = np.flatnonzero(pivot.to_numpy(zero_copy_only=False))
 
             def near(p: int, others: np.ndarray, sets=sets, sigs=sigs, sizes=sizes) -> np.ndarray:
                 out = np.zeros(len(others), bool)
@@ -214,10 +280,17 @@ def confirmed_edges(clustered: DataFrame, k: int, share: Fraction) -> DataFrame:
                     out[m] = den * both >= num * (sizes[p] + sizes[others[m]] - both)
                 return out
 
-            yield _edges([(i[p], i[q]) for p, q in link(len(i), near)])
+            yield _edges([(i[p], i[q]) for p, q in link(len(i), near, None, lead if len(lead) else None)])
 
-    n = int(clustered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return clustered.repartition(n, "t1", "t2").sortWithinPartitions("t1", "t2", "doc_id").mapInArrow(run, "a long, b long").distinct()
+    def compare(tasks: DataFrame) -> DataFrame:
+        tasks = cut(tasks, "minhash-tasks")
+        few = tasks.count() <= BROADCAST_ROWS
+        members = texts.join(F.broadcast(tasks) if few else tasks, "doc_id").select("g", "t", "doc_id", "pivot", "text")
+        return members.repartition(n, "g", "t").sortWithinPartitions("g", "t", "doc_id").mapInArrow(run, "a long, b long").distinct()
+
+    sized = clusters.groupBy("component").agg(F.count("*").alias("m"))
+    grouped = clusters.join(sized, "component").select(F.col("component").alias("g"), F.col("node").alias("doc_id"), "m")
+    return group_links(cut(grouped, "minhash-grouped"), CLUSTER_DOCS, compare, "minhash-links")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8", text: str = "text") -> DataFrame:
@@ -235,18 +308,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8", text: s
     sets = cut(worded.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")), "minhash-sets")
     alone = worded.join(sets.select("d1", "d2", F.col("rep").alias("doc_id")), ["d1", "d2", "doc_id"], "left_semi")
     clusters = cut(components(region_edges(alone, float(share)), "a", "b"), "minhash-clusters")
-    sized = clusters.groupBy("component").agg(F.count("*").alias("m"))
-    member = clusters.join(sized, "component").withColumn("blocks", F.ceil(F.col("m") / BLOCK_DOCS).cast("int"))
-    member = member.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tasks = member.select(F.col("node").alias("doc_id"), F.col("component").alias("t1"), "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    # one number for the pair of blocks, whichever of the two a document is in
-    tasks = tasks.select("doc_id", "t1", (F.greatest("own", "other") * 65536 + F.least("own", "other")).cast("long").alias("t2"))
-    tasks = cut(tasks, "minhash-tasks")
-    if tasks.count() <= BROADCAST_ROWS:
-        tasks = F.broadcast(tasks)
     texts = docs.select("doc_id", text_of(docs, text).alias("text"))
-    linked = confirmed_edges(texts.join(tasks, "doc_id").select("t1", "t2", "doc_id", "text"), k, share)
-    roots = components(cut(linked, "minhash-links"), "a", "b").withColumnsRenamed({"node": "rep", "component": "root"})
+    roots = components(confirmed_edges(clusters, texts, k, share), "a", "b").withColumnsRenamed({"node": "rep", "component": "root"})
     by_set = sets.join(roots, "rep", "left").select("d1", "d2", F.coalesce("root", "rep").alias("root"))
     out = feats.select("doc_id", "n", "d1", "d2").join(by_set, ["d1", "d2"], "left")
     out = out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("doc_id")).alias("component_id"))

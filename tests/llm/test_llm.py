@@ -209,17 +209,42 @@ def variants():
     return rows
 
 
-@pytest.mark.parametrize("blocks", [False, True])
-def test_near_duplicates(spark, odd, monkeypatch, blocks):
-    if blocks:
-        monkeypatch.setattr(neardup, "BLOCK_DOCS", 7)
+@pytest.mark.parametrize("anchors", [None, 0, 2])
+def test_near_duplicates(spark, odd, monkeypatch, anchors):
+    """Whole regions and clusters, and divided ones with few anchors or none."""
+    if anchors is not None:
+        monkeypatch.setattr(neardup, "REGION_DOCS", 9)
+        monkeypatch.setattr(neardup, "CLUSTER_DOCS", 7)
+        monkeypatch.setattr(neardup, "ANCHORS", anchors)
         monkeypatch.setattr(neardup, "BROADCAST_ROWS", -1)
     rows = [*[(r[0] + 100, r[1]) for r in odd_rows()], *variants()]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"g": F.lit(1), "m": F.lit(2), "sig": F.lit("x")})
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(df, 3, "0.85").collect())
     assert got == near_brute(rows, 3, 85)
 
 
+def test_pivots_lose_no_link():
+    """Blocks with anchors, then members apart against all: the parts are those of all pairs."""
+    rng = random.Random(6)
+    for size in (1, 2, 9, 40):
+        near = np.array([[rng.random() < 0.06 for _ in range(size)] for _ in range(size)])
+        near |= near.T
+        find = lambda e: parts_of(size, e)
+        want = find([(i, j) for i in range(size) for j in range(size) if near[i, j]])
+        assert find(neardup.link(size, lambda p, o: near[p, o])) == want
+        half = np.arange(size // 2)
+        rest = [(i, j) for i in range(size) for j in range(size) if near[i, j] and min(i, j) < size // 2]
+        assert find(neardup.link(size, lambda p, o: near[p, o], None, half)) == find(rest)
+
+
+def parts_of(size, edges):
+    part = list(range(size))
+    for i, j in edges:
+        a, b = part[i], part[j]
+        part = [min(a, b) if x in (a, b) else x for x in part]
+    return part
+
+
 def test_near_duplicates_empty(none):
     assert neardup.near_duplicates(none).count() == 0
 

@@ -13,7 +13,7 @@ distributed gradient updates on those counts.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,9 +34,11 @@ RARE, BEGIN = 0, CLASSES  # BEGIN: the class before the first word
 HEAD = 1 << 17
 #: The end is a token of its own; no word hashes to it in practice.
 END = np.uint64(0)
-#: Cells of a partition that makes gradients, contexts whose classes are computed at once, and
-#: numbers of a slice of the gradient; each slice is added by one task.
-PART_CELLS, CHUNK, SLICE = 1_000_000, 50_000, 1 << 20
+#: Rows of the bias and of the classes two words before, and blocks of hashed rows. A partition makes
+#: the gradients of whole blocks, so partitions add up in the first rows only.
+FIXED, BLOCKS = CLASSES + 2, 64
+#: Cells of a partition that makes gradients, and contexts whose classes are computed at once.
+PART_CELLS, CHUNK = 1_000_000, 50_000
 #: Tokens gathered before counts are passed on.
 FLUSH = 2_000_000
 
@@ -45,27 +47,8 @@ def tokens(text: str) -> np.ndarray:
     return np.append(word_hashes(text), END)
 
 
-def tokenised(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """row (a number of its own for each row), doc_id, ``keep``, hs (packed token hashes), written
-    to the shared folder: texts are split once for all passes. Null text is the end alone."""
-    keep = keep or []
-    python_batches(docs.sparkSession)
-
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        hs = pa.array([tokens(t.as_py()).tobytes() for t in batch.column(batch.num_columns - 1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hs], names=["row", "doc_id", *keep, "hs"])
-
-    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *keep, text_of(docs).alias("text"))
-    return cut(map_batches(rows, run, f"row long, doc_id long, {kinds}hs binary"), "lm-texts")
-
-
-def _arrays(column: pa.Array) -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), np.uint64) for x in column]
-
-
-def gathered(texts: DataFrame, of: str, codes) -> DataFrame:
-    """``of``, c: how often each number in ``codes(hashes of some texts)`` occurs."""
+def gathered(docs: DataFrame, of: str, codes: Callable[[list[np.ndarray]], np.ndarray]) -> DataFrame:
+    """``of``, c: how often each number in ``codes(token hashes of some texts)`` occurs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -76,7 +59,7 @@ def gathered(texts: DataFrame, of: str, codes) -> DataFrame:
 
         for batch in batches:
             if batch.num_rows:
-                held.append(codes(_arrays(batch.column(0))))
+                held.append(codes([tokens(t.as_py()) for t in batch.column(0)]))
                 size += len(held[-1])
             if size >= FLUSH:
                 yield out()
@@ -84,12 +67,12 @@ def gathered(texts: DataFrame, of: str, codes) -> DataFrame:
         if held:
             yield out()
 
-    return texts.select("hs").mapInArrow(run, f"{of} long, c long").groupBy(of).agg(F.sum("c").alias("c"))
+    return docs.select(text_of(docs).alias("text")).mapInArrow(run, f"{of} long, c long").groupBy(of).agg(F.sum("c").alias("c"))
 
 
-def token_counts(texts: DataFrame) -> DataFrame:
+def token_counts(train: DataFrame) -> DataFrame:
     """h, c over all tokens of all rows."""
-    return gathered(texts, "h", np.concatenate)
+    return gathered(train, "h", np.concatenate)
 
 
 @dataclass
@@ -159,10 +142,10 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(h[order], c[order], symbol[order].astype(np.int64), klass[order], words, np.r_[RARE, klass[:words]], n, v, class_n, class_v)
 
 
-def context_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
+def context_counts(train: DataFrame, vocab: Vocabulary) -> DataFrame:
     """cell, c. A cell is (symbol before, class before that, class now), or -1 - (class before,
     symbol now)."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocab)
+    shared = train.sparkSession.sparkContext.broadcast(vocab)
 
     def codes(hs: list[np.ndarray]) -> np.ndarray:
         v = shared.value
@@ -173,14 +156,23 @@ def context_counts(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
         own = symbol > 0
         return np.concatenate(((one * (CLASSES + 1) + two) * CLASSES + klass, -1 - (before * (v.words + 1) + symbol)[own]))
 
-    return gathered(texts, "cell", codes)
+    return gathered(train, "cell", codes)
+
+
+def block_of(one: np.ndarray) -> np.ndarray:
+    """The block of weights that holds the features of a symbol before."""
+    return (mix(one.astype(np.uint64) + np.uint64(11)) % np.uint64(BLOCKS)).astype(np.int64)
 
 
 def class_features(one: np.ndarray, two: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
-    """Weight buckets [n, 3] of a context; bucket 0 is the bias of its own."""
-    one, two = one.astype(np.uint64), two.astype(np.uint64)
-    f = np.stack((one * np.uint64(4), (one * np.uint64(64) + two) * np.uint64(4) + np.uint64(1), two * np.uint64(4) + np.uint64(2)), 1)
-    return 1 + (mix(f + np.uint64(7)) % np.uint64(buckets - 1)).astype(np.int64)
+    """Rows of weights [n, 3] of a context: the symbol before and that with the class before it, both
+    hashed into the symbol's block, and the class alone, which has a row of its own. Row 0 is the
+    bias. So contexts of different blocks share the first rows only."""
+    at = FIXED + block_of(one) * (buckets // BLOCKS)
+    width = np.uint64(buckets // BLOCKS)
+    a, b = one.astype(np.uint64), two.astype(np.uint64)
+    f = np.stack((a * np.uint64(4), (a * np.uint64(64) + b) * np.uint64(4) + np.uint64(1)), 1)
+    return np.column_stack((at[:, None] + (mix(f + np.uint64(7)) % width).astype(np.int64), 1 + two.astype(np.int64)))
 
 
 def log_softmax(x: np.ndarray) -> np.ndarray:
@@ -191,11 +183,11 @@ def log_softmax(x: np.ndarray) -> np.ndarray:
 @dataclass
 class Model:
     vocab: Vocabulary
-    w: np.ndarray  # [buckets, CLASSES]
+    w: np.ndarray  # [FIXED + buckets, CLASSES]
     u: np.ndarray  # [bias and classes before, words + 1]
 
     def class_logp(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        f = class_features(one, two, len(self.w))
+        f = class_features(one, two, len(self.w) - FIXED)
         return log_softmax(self.w[0] + self.w[f[:, 0]] + self.w[f[:, 1]] + self.w[f[:, 2]])
 
     def word_logp(self) -> np.ndarray:
@@ -218,7 +210,7 @@ def add_rows(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
 
 
 def gradient(m: Model, cell: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
-    """Gradients and curvatures of w and u over some cells."""
+    """Gradients and curvatures of w and u over some cells, without those of the bias rows."""
     g = [np.zeros(s, np.float32) for s in (m.w.shape, m.w.shape, m.u.shape, m.u.shape)]
     klass, width = m.vocab.klass, m.vocab.words + 1
     order = np.argsort(cell, kind="stable")
@@ -237,9 +229,7 @@ def gradient(m: Model, cell: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
         seen[where, y[a:b]] = count[a:b]
         total = seen.sum(1, keepdims=True)
         slope, bend = (seen - total * p).astype(np.float32), (total * p * (1 - p)).astype(np.float32)
-        g[0][0] += slope.sum(0)
-        g[1][0] += bend.sum(0)
-        f = class_features(one, two, len(m.w))
+        f = class_features(one, two, len(m.w) - FIXED)
         for j in range(3):
             add_rows(g[0], f[:, j], slope)
             add_rows(g[1], f[:, j], bend)
@@ -253,81 +243,114 @@ def gradient(m: Model, cell: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
         mean = share[:, klass] * p
         mean[:, 0] = 0
         g[2][1:], g[3][1:] = seen - mean, mean * (1 - p)
-        g[2][0], g[3][0] = g[2][1:].sum(0), g[3][1:].sum(0)
     return g
 
 
-def summed(parts: DataFrame) -> DataFrame:
-    """slice, g: packed float32 arrays (slice int, g binary) added slice by slice, each by one task
-    that holds no more than the slices' sums."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, g in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = np.frombuffer(g.as_buffer(), np.float32)
-                total[k] = total[k] + x if k in total else x.astype(np.float64)
-        for k, x in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], names=["slice", "g"])
-
-    return parts.repartition("slice").mapInArrow(run, "slice int, g binary")
-
-
-def fit(texts: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
-    """The model and the table of token counts, from ``tokenised`` rows. Each round, partitions of
-    the gathered cells give gradients and curvatures; their sums move the weights."""
-    spark = texts.sparkSession
-    counts = cut(token_counts(texts), "lm-tokens")
+def parts_of_gradient(m: Model, cell: np.ndarray, c: np.ndarray, mine: np.ndarray) -> Iterator[tuple[str, int, bytes]]:
+    """(which, number, packed gradient and curvature): the fixed rows, the blocks of w in ``mine``,
+    and the rows of u that the cells are about."""
+    g = gradient(m, cell, c)
+    width = (len(m.w) - FIXED) // BLOCKS
+    yield "fixed", 0, np.stack((g[0][1:FIXED], g[1][1:FIXED])).tobytes()
+    for k in mine.tolist():
+        own = slice(FIXED + k * width, FIXED + (k + 1) * width)
+        yield "w", k, np.stack((g[0][own], g[1][own])).tobytes()
+    for k in np.flatnonzero(g[3][1:].any(1)).tolist():
+        yield "u", k + 1, np.stack((g[2][k + 1], g[3][k + 1])).tobytes()
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """part, cell, c: rows sorted by part as packed arrays of up to PART_CELLS cells."""
+    part, held, size = None, [], 0
+
+    def out() -> pa.RecordBatch:
+        cell, c = (np.concatenate(x).astype(np.int64).tobytes() for x in zip(*held, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([cell], pa.binary()), pa.array([c], pa.binary())], names=["part", "cell", "c"])
+
+    for batch in batches:
+        parts = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(parts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and (parts[a] != part or size >= PART_CELLS):
+                yield out()
+                held, size = [], 0
+            part = int(parts[a])
+            held.append((batch.column(1).to_numpy()[a:b], batch.column(2).to_numpy()[a:b]))
+            size += b - a
+    if held:
+        yield out()
+
+
+def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model and the table of token counts. Each round, partitions of the gathered cells give
+    gradients and curvatures of the blocks that are theirs, and these move the weights; the driver
+    gets about one model a round."""
+    spark = train.sparkSession
+    python_batches(spark)
+    counts = cut(token_counts(train), "lm-tokens")
     vocab = vocabulary(counts)
-    cells = cut(context_counts(texts, vocab), "lm-cells")
-    n_parts = max(4, -(-cells.count() // PART_CELLS))
-    together = F.when(F.col("cell") >= 0, F.expr(f"cell div {CLASSES}")).otherwise(F.lit(-1) - F.col("cell") % 4)
-    cells = cut(cells.repartition(n_parts, together), "lm-cells-by-context")
-    model = Model(vocab, np.zeros((vocab.buckets, CLASSES), np.float32), np.zeros((CLASSES + 2, vocab.words + 1), np.float32))
+    cells = cut(context_counts(train, vocab), "lm-cells")
+    n_parts = min(BLOCKS, max(4, -(-cells.count() // PART_CELLS)))
+
+    def place(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        cell = batch.column(0).to_numpy()
+        code = -1 - cell
+        at = np.where(cell >= 0, block_of(cell // (CLASSES * (CLASSES + 1))), code // (vocab_words + 1))
+        yield pa.RecordBatch.from_arrays([pa.array((at % n_parts).astype(np.int32)), *batch.columns], names=["part", "cell", "c"])
+
+    vocab_words = vocab.words
+    placed = map_batches(cells, place, "part int, cell long, c long").repartition(n_parts, "part").sortWithinPartitions("part")
+    cells = cut(placed.mapInArrow(_packed, "part int, cell binary, c binary"), "lm-cells-by-block")
+    buckets = vocab.buckets // BLOCKS * BLOCKS
+    model = Model(vocab, np.zeros((FIXED + buckets, CLASSES), np.float32), np.zeros((CLASSES + 2, vocab.words + 1), np.float32))
     # start at the frequencies, so the rounds only have the contexts to learn
     size = np.zeros(vocab.words + 1)
     held = vocab.symbol > 0
     size[vocab.symbol[held]] = vocab.count[held]
     model.w[0] = np.log(vocab.class_n + 0.5)
     model.u[0] = np.log(size + 0.5)
-    shapes = [model.w.shape, model.w.shape, model.u.shape, model.u.shape]
-    ends = np.cumsum([math.prod(s) for s in shapes])
+    width = buckets // BLOCKS
     for _ in range(rounds):
         now = spark.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-            if not got:
-                return
-            flat = np.concatenate([x.ravel() for x in gradient(now.value, *map(np.concatenate, zip(*got, strict=True)))])
-            for k, at in enumerate(range(0, len(flat), SLICE)):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([flat[at : at + SLICE].tobytes()], pa.binary())], names=["slice", "g"])
+        def run(batch: pa.RecordBatch, now=now) -> Iterator[pa.RecordBatch]:
+            for part, cell, c in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                rows = parts_of_gradient(now.value, np.frombuffer(cell.as_buffer(), np.int64), np.frombuffer(c.as_buffer(), np.int64), np.arange(part, BLOCKS, n_parts))
+                yield pa.RecordBatch.from_pylist([dict(zip(("which", "k", "g"), r, strict=True)) for r in rows], pa.schema([("which", pa.string()), ("k", pa.int32()), ("g", pa.binary())]))
 
-        rows = summed(cells.mapInArrow(run, "slice int, g binary")).collect()
+        rows = map_batches(cells, run, "which string, k int, g binary").collect()
         now.destroy()
-        if not rows:
-            break
-        flat = np.concatenate([np.frombuffer(r["g"], np.float32) for r in sorted(rows, key=lambda r: r["slice"])])
-        total = [x.reshape(s).astype(np.float64) for x, s in zip(np.split(flat, ends[:-1]), shapes, strict=True)]
+        g = [np.zeros(s) for s in (model.w.shape, model.w.shape, model.u.shape, model.u.shape)]
+        for r in rows:
+            x = np.frombuffer(r["g"], np.float32).reshape(2, -1)
+            a, b = (g[2], g[3]) if r["which"] == "u" else (g[0], g[1])
+            at = {"fixed": slice(1, FIXED), "w": slice(FIXED + r["k"] * width, FIXED + (r["k"] + 1) * width), "u": r["k"]}[r["which"]]
+            a[at] += x[0].reshape(a[at].shape)
+            b[at] += x[1].reshape(b[at].shape)
+        # every context has one class before: their rows add up to the bias
+        g[0][0], g[1][0], g[2][0], g[3][0] = g[0][1:FIXED].sum(0), g[1][1:FIXED].sum(0), g[2][1:].sum(0), g[3][1:].sum(0)
         # each position moves four rows of w and two of u at once: smaller steps keep the sum stable
-        model = Model(vocab, *(np.clip(old + rate * np.clip(a / (b + 1.0), -3, 3), -30, 30).astype(np.float32) for old, a, b, rate in ((model.w, *total[:2], 0.28), (model.u, *total[2:], 0.5))))
+        model = Model(vocab, *(np.clip(old + rate * np.clip(a / (b + 1.0), -3, 3), -30, 30).astype(np.float32) for old, a, b, rate in ((model.w, g[0], g[1], 0.28), (model.u, g[2], g[3], 0.5))))
     return model, counts
 
 
-def score(texts: DataFrame, model: Model, counts: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """doc_id, ``keep``, n_tokens, n_known, train_tokens, base_score, score for each ``tokenised`` row.
+def score(docs: DataFrame, model: Model, counts: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, ``keep``, n_tokens, n_known, train_tokens, base_score, score for each row.
 
     Null and empty texts are the end alone. Words beyond the head get their counts by a join on
     their hash and come back by the row's own number, so repeated rows are scored each for itself."""
     keep = keep or []
-    spark = texts.sparkSession
+    spark = docs.sparkSession
     python_batches(spark)
     shared = spark.sparkContext.broadcast(model)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *keep, text_of(docs).alias("text"))
 
     def scored(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         m = shared.value
         v = m.vocab
-        hs = _arrays(batch.column(batch.num_columns - 1))
+        hs = [tokens(t.as_py()) for t in batch.column(batch.num_columns - 1)]
         lens = np.array(list(map(len, hs)))
         starts = np.r_[0, np.cumsum(lens)[:-1]]
         h = np.concatenate(hs)
@@ -357,8 +380,8 @@ def score(texts: DataFrame, model: Model, counts: DataFrame, keep: list[str] | N
         cols = [pa.array(lens.astype(np.int64)), pa.array(total(hit.astype(np.int64))), pa.array(total(own) - lens * np.log10(v.n + v.v + 1.0)), pa.array(total(lp)), words, times]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=["row", "doc_id", *keep, "n_tokens", "n_head", "b", "s", "words", "times"])
 
-    kinds = "".join(f"`{c}` {texts.schema[c].dataType.simpleString()}, " for c in keep)
-    head = cut(map_batches(texts.select("row", "doc_id", *keep, "hs"), scored, f"row long, doc_id long, {kinds}n_tokens long, n_head long, b double, s double, words array<long>, times array<int>"), "lm-scores")
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    head = cut(map_batches(rows, scored, f"row long, doc_id long, {kinds}n_tokens long, n_head long, b double, s double, words array<long>, times array<int>"), "lm-scores")
     rare = head.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("h"), F.col("x.times").alias("tf"))
     tail = rare.join(counts, "h").groupBy("row").agg(F.sum("tf").alias("n_rare"), F.sum(F.col("tf") * F.log10(F.col("c") + 1.0)).alias("t"))
     t = F.coalesce("t", F.lit(0.0))

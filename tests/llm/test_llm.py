@@ -434,7 +434,7 @@ def test_lm_base_and_score(spark, none, monkeypatch):
     rows = [*[(r[0], r[1]) for r in odd_rows()], *[(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]]
     rows += [(50, "two texts"), (50, "of one id and some more words")]
     df = spark.createDataFrame([(*r, "x", 0) for r in rows], "doc_id long, text string, hs string, row int").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 7 == 2)
-    texts = maxent.tokenised(df, ["held_out"])
+    texts = df
     model, counts = maxent.fit(texts.where("not held_out"), rounds=4)
     c = collections.Counter()
     for i, t in rows:
@@ -461,15 +461,15 @@ def test_lm_base_and_score(spark, none, monkeypatch):
     for k in range(maxent.MID + 1):
         inside = voc.count[voc.head_class == k] if k else counts.join(spark.createDataFrame([(int(x),) for x in voc.head.view(np.int64)], "h long"), "h", "left_anti").toPandas().c.to_numpy()
         assert (inside + 1).sum() == voc.class_n[k] + voc.class_v[k]
-    assert maxent.score(maxent.tokenised(none), model, counts).count() == 0
-    blank, no_counts = maxent.fit(maxent.tokenised(none), rounds=2)
+    assert maxent.score(none, model, counts).count() == 0
+    blank, no_counts = maxent.fit(none, rounds=2)
     assert [r.score <= 0 for r in maxent.score(texts.limit(3), blank, no_counts).collect()] == [True] * 3
 
 
 def test_lm_scores_by_definition(spark):
     """Scores of a small model, word by word, from its weights."""
     rows = [(i, t) for i, t in enumerate(["a b a b c", "a b d", "c a b", "e f a b", None])] + [(9, "b zzz a")]
-    texts = maxent.tokenised(spark.createDataFrame(rows, "doc_id long, text string"))
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
     model, counts = maxent.fit(texts.where("doc_id < 9"), rounds=3)
     voc, got = model.vocab, {r.doc_id: r.score for r in maxent.score(texts, model, counts).collect()}
     for i, t in rows:
@@ -490,7 +490,7 @@ def test_lm_gradient_by_differences():
     klass = np.r_[0, 8 + np.arange(words) % 40]
     voc = maxent.Vocabulary(np.zeros(0, np.uint64), np.zeros(0), np.zeros(0), np.zeros(0), words, klass, 1, 1, np.ones(48), np.ones(48))
     klass[1:] = 8 + np.arange(words) % 5
-    model = maxent.Model(voc, rng.normal(0, 0.3, (voc.buckets, 48)), rng.normal(0, 0.3, (50, words + 1)))
+    model = maxent.Model(voc, rng.normal(0, 0.3, (maxent.FIXED + voc.buckets, 48)), rng.normal(0, 0.3, (50, words + 1)))
     one, two, y = rng.integers(1, 20, 30), rng.integers(0, 48, 30), rng.integers(0, 48, 30)
     before, symbol = rng.integers(0, 49, 30), rng.integers(1, words + 1, 30)
     cell, c = np.unique(np.r_[(one * 49 + two) * 48 + y, -1 - (before * (words + 1) + symbol)], return_counts=True)
@@ -504,7 +504,8 @@ def test_lm_gradient_by_differences():
 
     g = maxent.gradient(model, cell, c)
     f = maxent.class_features(one, two, voc.buckets)
-    for name, at, d in [("w", (0, 3), g[0]), ("w", (f[0, 0], y[0]), g[0]), ("w", (f[4, 1], y[4]), g[0]), ("u", (1 + before[2], symbol[2]), g[2]), ("u", (0, symbol[5]), g[2])]:
+    g[0][0], g[2][0] = g[0][1 : maxent.FIXED].sum(0), g[2][1:].sum(0)  # as the driver does for the bias
+    for name, at, d in [("w", (0, 3), g[0]), ("w", (f[0, 0], y[0]), g[0]), ("w", (f[4, 1], y[4]), g[0]), ("w", (f[7, 2], y[7]), g[0]), ("u", (1 + before[2], symbol[2]), g[2]), ("u", (0, symbol[5]), g[2])]:
         x = getattr(model, name)
         was, step = x[at], 1e-4
         x[at] = was + step
@@ -520,10 +521,22 @@ def test_lm_sizes_and_gradient_sum(spark):
     small = maxent.Vocabulary(*[np.zeros(0)] * 4, 1024, *[np.zeros(0)], 1, 1, *[np.zeros(0)] * 2)
     large = maxent.Vocabulary(*[np.zeros(0)] * 4, 88_000, *[np.zeros(0)], 1, 1, *[np.zeros(0)] * 2)
     assert (small.buckets, large.buckets) == (1 << 14, 1 << 19)
-    x = np.arange(15, dtype=np.float32).reshape(5, 3)
-    parts = spark.createDataFrame([(k, (r * (k + 1)).tobytes()) for r in x for k in range(2)], "slice int, g binary").repartition(3)
-    got = {r.slice: np.frombuffer(r.g, np.float32).tolist() for r in maxent.summed(parts).collect()}
-    assert got == {0: x.sum(0).tolist(), 1: (2 * x).sum(0).tolist()}
+    # whatever the partitions of blocks, the parts are the whole gradient
+    rng = np.random.default_rng(5)
+    words = 60
+    voc = maxent.Vocabulary(*[np.zeros(0)] * 4, words, np.r_[0, 8 + np.arange(words) % 40], 1, 1, np.ones(48), np.ones(48))
+    model = maxent.Model(voc, np.zeros((maxent.FIXED + voc.buckets, 48), np.float32), np.zeros((50, words + 1), np.float32))
+    cell, c = np.unique(np.r_[(rng.integers(1, 90, 500) * 49 + rng.integers(0, 49, 500)) * 48 + rng.integers(0, 48, 500), -1 - (rng.integers(0, 49, 300) * (words + 1) + rng.integers(1, words + 1, 300))], return_counts=True)
+    whole, at = maxent.gradient(model, cell, c), np.where(cell >= 0, maxent.block_of(cell // (48 * 49)), (-1 - cell) // (words + 1)) % 5
+    got = [np.zeros_like(x) for x in whole]
+    width = voc.buckets // maxent.BLOCKS
+    for part in range(5):
+        for which, k, packed in maxent.parts_of_gradient(model, cell[at == part], c[at == part], np.arange(part, maxent.BLOCKS, 5)):
+            x = np.frombuffer(packed, np.float32).reshape(2, -1)
+            own = {"fixed": slice(1, maxent.FIXED), "w": slice(maxent.FIXED + k * width, maxent.FIXED + (k + 1) * width), "u": k}[which]
+            for y, z in zip(got[2:] if which == "u" else got[:2], x, strict=True):
+                y[own] += z.reshape(y[own].shape)
+    assert all(np.allclose(x, y, atol=1e-4) for x, y in zip(got, whole, strict=True))
 
 
 def test_language_id(spark, odd, none):

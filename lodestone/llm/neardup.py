@@ -118,18 +118,16 @@ def features(docs: DataFrame, k: int, depth: int, trees: int, text: str = "text"
     return map_batches(docs.select("doc_id", text_of(docs, text).alias("text")), run, "doc_id long, n int, d1 long, d2 long, sig binary, keys array<long>")
 
 
-def link(size: int, near: Callable[[int, np.ndarray], np.ndarray], first: list[tuple[int, int]] | None = None, pivots: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Spanning edges of the graph on 0..size-1 whose links ``near(i, others) -> bool array`` tells.
+def link(size: int, near: Callable[[int, np.ndarray], np.ndarray], first: list[tuple[int, int]] | None = None, pivots: np.ndarray | None = None) -> np.ndarray:
+    """The part of each of 0..size-1 in the graph whose links ``near(i, others) -> bool array`` tells.
 
     Every pair of different final parts has had an end that was a pivot compared with all others,
     so no link between parts is lost. ``first``: links that are known; ``pivots``: only these are
     compared with all others."""
     part = np.arange(size)
-    edges: list[tuple[int, int]] = []
 
     def join(i: int, j: int) -> None:
         if part[j] != part[i]:
-            edges.append((i, j))
             part[part == part[j]] = part[i]
 
     for i, j in first or []:
@@ -139,10 +137,10 @@ def link(size: int, near: Callable[[int, np.ndarray], np.ndarray], first: list[t
         if pivots is not None:
             todo = pivots[~done[pivots]]
         else:
-            biggest = np.bincount(part, minlength=size).argmax()
-            todo = np.flatnonzero(~done & (part != biggest)) if done.any() or edges else np.flatnonzero(~done)
+            count = np.bincount(part, minlength=size)
+            todo = np.flatnonzero(~done & (part != count.argmax())) if done.any() or count.max() > 1 else np.flatnonzero(~done)
         if not len(todo):
-            return edges
+            return part
         i = int(todo[0])
         done[i] = True
         others = np.flatnonzero(part != part[i])
@@ -151,6 +149,16 @@ def link(size: int, near: Callable[[int, np.ndarray], np.ndarray], first: list[t
                 join(i, int(j))
 
 
+def stars(group: int, ids: np.ndarray, rank: np.ndarray, part: np.ndarray) -> list[tuple[int, int, int]]:
+    """(group, a, b): in each part all others hang on its member of least rank. Ranks are the same
+    in all regions, so a cluster that many regions hold gives the same edges again."""
+    order = np.lexsort((rank, part))
+    lead = np.flatnonzero(np.r_[True, part[order][1:] != part[order][:-1]])
+    center = np.repeat(order[lead], np.diff(np.r_[lead, len(order)]))
+    rows = center != order
+    return [(group, int(a), int(b)) for a, b in zip(ids[center[rows]], ids[order[rows]], strict=True) if a != b]
+
+
 def sorted_neighbours(x: np.ndarray, tree: int, depth: int, need: int) -> list[tuple[int, int]]:
     """Pairs next to each other in the tree's order (longest common prefixes) that agree enough."""
     order = np.ascontiguousarray(np.roll(x, -tree * depth, axis=1)).view(f"S{x.shape[1]}").ravel().argsort(kind="stable")
@@ -190,40 +198,51 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Ar
         yield out()
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    x = np.array(found, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+def _edges(found: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    x = np.array(found, np.int64).reshape(-1, 3)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, k]) for k in range(3)], names=["g", "a", "b"])
+
+
+def _few(df: DataFrame, name: str) -> DataFrame:
+    """A table of one row a group, sent to all workers while its rows are few."""
+    df = cut(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def group_links(grouped: DataFrame, limit: int, compare: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
     """a, b: spanning edges of each group. ``grouped``: g, doc_id, m (members of the group);
-    ``compare`` turns tasks (g, t, doc_id, pivot) into edges: of all members of a task, or, where it
-    has pivots, of pivots with all members.
-
-    Groups of more than ``limit`` members are blocks with common anchors. Then members outside the
-    largest part that came out of it meet every block: of two members that are apart, one does."""
+    ``compare`` turns tasks (g, t, doc_id, rank, pivot) into edges g, a, b: of all members of a task,
+    or, where it has pivots, of pivots with all members.
+
+    Groups of more than ``limit`` members are blocks with common anchors, the members of least rank,
+    on which a dense group hangs as a whole. Then members that do not hang on the group's main
+    centre meet every block: of two members that are apart, one does."""
+    rank = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("rank")), 1)
+    grouped = grouped.withColumn("rank", rank)
     big = grouped.where(F.col("m") > limit)
-    tasks = grouped.where(F.col("m") <= limit).select("g", F.lit(0).cast("long").alias("t"), "doc_id", F.lit(False).alias("pivot"))
+    tasks = grouped.where(F.col("m") <= limit).select("g", F.lit(0).cast("long").alias("t"), "doc_id", "rank", F.lit(False).alias("pivot"))
+    found = compare(tasks).select("a", "b").distinct()
     if big.isEmpty():
-        return cut(compare(tasks), name)
+        return cut(found, name)
     blocks = F.ceil(F.col("m") / limit).cast("long")
     own = F.pmod(F.xxhash64("doc_id"), blocks)
-    anchor = F.pmod(F.xxhash64("doc_id", F.lit("anchor")), F.col("m")) < ANCHORS
-    spread = big.select("g", F.explode(F.when(anchor, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own))).alias("t"), "doc_id", F.lit(False).alias("pivot"))
-    found = cut(compare(tasks.union(spread)), name)
-    parts = cut(components(found, "a", "b"), f"{name}-parts").withColumnsRenamed({"node": "doc_id"})
-    placed = big.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    main = placed.groupBy("g", "component").agg(F.count("*").alias("n")).groupBy("g").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
-    apart = cut(placed.join(main, "g").where("component <> main").select("g", "doc_id", "m"), f"{name}-apart")
-    if apart.isEmpty():
-        return found
-    left = apart.groupBy("g").agg(F.count("*").alias("k"))
-    rounds = F.ceil(F.col("k") / limit).cast("long")
-    code = lambda i: i * (1 << 31)
-    pivots = apart.join(left, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b"), code(F.pmod(F.xxhash64("doc_id"), rounds)).alias("r"), "doc_id", F.lit(True).alias("pivot"))
-    targets = big.join(left, "g").select("g", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), rounds - 1)).alias("r"), "doc_id", F.lit(False).alias("pivot"))
-    more = pivots.union(targets.withColumn("r", code(F.col("r")))).select("g", (F.col("r") + F.col("b")).alias("t"), "doc_id", "pivot")
-    return found.union(cut(compare(more), f"{name}-rest"))
+    anchor = F.col("rank") < F.lit(float(ANCHORS) * 2.0**63) / F.col("m")
+    spread = big.select("g", F.explode(F.when(anchor, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(own))).alias("t"), "doc_id", "rank", F.lit(False).alias("pivot"))
+    hung = cut(compare(spread), f"{name}-blocks")
+    main = hung.groupBy("g", "a").agg(F.count_distinct("b").alias("n")).groupBy("g").agg(F.max_by("a", F.struct("n", "a")).alias("a"))
+    main = _few(main, f"{name}-centres")
+    near = hung.join(main, ["g", "a"]).select("g", F.col("b").alias("doc_id")).union(main.select("g", F.col("a").alias("doc_id"))).distinct()
+    apart = cut(big.join(near, ["g", "doc_id"], "left_anti"), f"{name}-apart")
+    found = found.union(hung.select("a", "b").distinct())
+    if not apart.isEmpty():
+        left = _few(apart.groupBy("g").agg(F.count("*").alias("k")), f"{name}-left")
+        rounds = F.ceil(F.col("k") / limit).cast("long")
+        code = lambda i: i * (1 << 31)
+        pivots = apart.join(left, "g").select("g", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("b"), code(F.pmod(F.xxhash64("doc_id"), rounds)).alias("r"), "doc_id", "rank", F.lit(True).alias("pivot"))
+        targets = big.join(left, "g").select("g", own.alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), rounds - 1)).alias("r"), "doc_id", "rank", F.lit(False).alias("pivot"))
+        more = pivots.union(targets.withColumn("r", code(F.col("r")))).select("g", (F.col("r") + F.col("b")).alias("t"), "doc_id", "rank", "pivot")
+        found = found.union(compare(more).select("a", "b").distinct())
+    return cut(found.distinct(), name)
 
 
 def region_edges(feats: DataFrame, threshold: float) -> DataFrame:
@@ -235,21 +254,21 @@ def region_edges(feats: DataFrame, threshold: float) -> DataFrame:
     n = int(feats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, int]] = []
-        for g, _, ids, pivot, sigs in _groups(batches, 2):
+        found: list[tuple[int, int, int]] = []
+        for g, _, ids, rank, pivot, sigs in _groups(batches, 2):
             x = np.frombuffer(b"".join(sigs.to_pylist()), np.uint8).reshape(-1, N_HASHES)
-            i = ids.to_numpy()
-            lead = np.flatnonzero(pivot.to_numpy(zero_copy_only=False))
-            first = sorted_neighbours(x, int(g[0].as_py() & 255), depth, need)
-            found += [(i[p], i[q]) for p, q in link(len(i), lambda p, o, x=x: (x[o] == x[p]).sum(1) >= need, first, lead if len(lead) else None)]
+            group, lead = int(g[0].as_py()), np.flatnonzero(pivot.to_numpy(zero_copy_only=False))
+            first = sorted_neighbours(x, group & 255, depth, need)
+            part = link(len(x), lambda p, o, x=x: (x[o] == x[p]).sum(1) >= need, first, lead if len(lead) else None)
+            found += stars(group, ids.to_numpy(), rank.to_numpy(), part)
             if len(found) > 50_000:
                 yield _edges(found)
                 found = []
         yield _edges(found)
 
     def compare(tasks: DataFrame) -> DataFrame:
-        members = tasks.join(feats.select("doc_id", "sig"), "doc_id").select("g", "t", "doc_id", "pivot", "sig")
-        return members.repartition(n, "g", "t").sortWithinPartitions("g", "t", "doc_id").mapInArrow(run, "a long, b long").distinct()
+        members = tasks.join(feats.select("doc_id", "sig"), "doc_id").select("g", "t", "doc_id", "rank", "pivot", "sig")
+        return members.repartition(n, "g", "t").sortWithinPartitions("g", "t", "doc_id").mapInArrow(run, "g long, a long, b long")
 
     return group_links(cut(entries.join(shared, "g"), "minhash-regions"), REGION_DOCS, compare, "minhash-edges")
 
@@ -261,8 +280,7 @@ def confirmed_edges(clusters: DataFrame, texts: DataFrame, k: int, share: Fracti
     n = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, ids, pivot, texts in _groups(batches, 2):
-            i = ids.to_numpy()
+        for g, _, ids, rank, pivot, texts in _groups(batches, 2):
             sets = [shingles(t.as_py(), k) for t in texts]
             sigs = np.array([signature(s).astype(np.uint8) for s in sets])
             sizes = np.array(list(map(len, sets)))
@@ -280,13 +298,13 @@ def confirmed_edges(clusters: DataFrame, texts: DataFrame, k: int, share: Fracti
                     out[m] = den * both >= num * (sizes[p] + sizes[others[m]] - both)
                 return out
 
-            yield _edges([(i[p], i[q]) for p, q in link(len(i), near, None, lead if len(lead) else None)])
+            yield _edges(stars(int(g[0].as_py()), ids.to_numpy(), rank.to_numpy(), link(len(sets), near, None, lead if len(lead) else None)))
 
     def compare(tasks: DataFrame) -> DataFrame:
         tasks = cut(tasks, "minhash-tasks")
         few = tasks.count() <= BROADCAST_ROWS
-        members = texts.join(F.broadcast(tasks) if few else tasks, "doc_id").select("g", "t", "doc_id", "pivot", "text")
-        return members.repartition(n, "g", "t").sortWithinPartitions("g", "t", "doc_id").mapInArrow(run, "a long, b long").distinct()
+        members = texts.join(F.broadcast(tasks) if few else tasks, "doc_id").select("g", "t", "doc_id", "rank", "pivot", "text")
+        return members.repartition(n, "g", "t").sortWithinPartitions("g", "t", "doc_id").mapInArrow(run, "g long, a long, b long")
 
     sized = clusters.groupBy("component").agg(F.count("*").alias("m"))
     grouped = clusters.join(sized, "component").select(F.col("component").alias("g"), F.col("node").alias("doc_id"), "m")

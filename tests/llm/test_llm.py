@@ -229,12 +229,14 @@ def test_pivots_lose_no_link():
     for size in (1, 2, 9, 40):
         near = np.array([[rng.random() < 0.06 for _ in range(size)] for _ in range(size)])
         near |= near.T
-        find = lambda e: parts_of(size, e)
-        want = find([(i, j) for i in range(size) for j in range(size) if near[i, j]])
-        assert find(neardup.link(size, lambda p, o: near[p, o])) == want
+        same = lambda part: [int(np.flatnonzero(part == x)[0]) for x in part]
+        assert same(neardup.link(size, lambda p, o: near[p, o])) == parts_of(size, [(i, j) for i in range(size) for j in range(size) if near[i, j]])
         half = np.arange(size // 2)
         rest = [(i, j) for i in range(size) for j in range(size) if near[i, j] and min(i, j) < size // 2]
-        assert find(neardup.link(size, lambda p, o: near[p, o], None, half)) == find(rest)
+        assert same(neardup.link(size, lambda p, o: near[p, o], None, half)) == parts_of(size, rest)
+        part, rank = neardup.link(size, lambda p, o: near[p, o]), np.array([rng.random() for _ in range(size)])
+        edges = neardup.stars(7, np.arange(size) * 10, rank, part)
+        assert parts_of(size, [(a // 10, b // 10) for _, a, b in edges]) == same(part) and len(edges) == size - len(set(part.tolist()))
 
 
 def parts_of(size, edges):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -9,10 +10,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a chunk, carried over from the one before, and at most.
-TARGET, OVERLAP, LONGEST = 512, 64, 768
+#: Tokens of a chunk, carried over from the one before, at most, and of a tail that stays alone.
+TARGET, OVERLAP, LONGEST, SHORTEST = 512, 64, 768, 48
 _WIDE = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]")
-_HEADING = re.compile(r"^(#{1,6}) +(.*)$")
+_HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$", re.MULTILINE)
+_BREAK = re.compile(r"\n\s*\n")
 
 
 def estimate(text: str) -> int:
@@ -22,56 +24,73 @@ def estimate(text: str) -> int:
     return max(1, round(0.72 * wide + 0.28 * (len(text) - wide)))
 
 
-def _fit(text: str, start: int, budget: int) -> int:
-    """The largest end such that text[start:end] stays in the budget, at least one character."""
-    lo, hi = start + 1, len(text)
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        if estimate(text[start:mid]) <= budget:
-            lo = mid
-        else:
-            hi = mid - 1
-    return max(start + 1, min(lo, len(text)))
-
-
-def split_text(text: str) -> Iterator[tuple[str, int, int]]:
-    """(heading path, start, end) of each chunk. Chunks end at a paragraph if one ends before the
-    longest size, and the next starts OVERLAP tokens before; a short tail joins its neighbour."""
-    sections, path, start = [], [], 0
-    for m in re.finditer(r"[^\n]*\n?", text):
-        h = _HEADING.match(m.group().rstrip("\n"))
-        if h:
-            if m.start() > start:
-                sections.append((" > ".join(t for _, t in path), start, m.start()))
-            while path and path[-1][0] >= len(h[1]):
-                path.pop()
-            path.append((len(h[1]), h[2].strip()))
-            start = m.start()
-    if len(text) > start:
-        sections.append((" > ".join(t for _, t in path), start, len(text)))
-    for heading, a, b in sections:
-        out: list[tuple[int, int]] = []
-        body, at = text[a:b], 0
+class Ruler:
+    """Token estimates of any part of a text from running counts of wide characters."""
+
+    def __init__(self, text: str) -> None:
+        self.n, self.wide = len(text), [0]
+        for m in map(_WIDE.match, text):
+            self.wide.append(self.wide[-1] + (m is not None))
+
+    def tokens(self, a: int, b: int) -> int:
+        wide = self.wide[b] - self.wide[a]
+        return max(1, round(0.72 * wide + 0.28 * (b - a - wide))) if b > a else 0
+
+    def end(self, a: int, budget: int) -> int:
+        """The largest end at which the part from ``a`` stays in the budget."""
+        return a + bisect.bisect_right(range(a + 1, self.n + 1), budget, key=lambda b: self.tokens(a, b))
+
+    def back(self, a: int, b: int, budget: int) -> int:
+        """The smallest start, not before ``a``, at which the part up to ``b`` stays in the budget."""
+        return b - bisect.bisect_right(range(1, b - a + 1), budget, key=lambda n: self.tokens(b - n, b))
+
+
+def sections(text: str) -> list[tuple[str, int, int]]:
+    """(heading path, start, end) of the parts that headings divide, without white space around;
+    all of a text without headings."""
+    found = list(_HEADING.finditer(text))
+    if not found:
+        return [("", 0, len(text))]
+    out, path = [("", 0, found[0].start())], []
+    for m, end in zip(found, [*(n.start() for n in found[1:]), len(text)], strict=True):
+        path = [p for p in path if p[0] < len(m[1])] if not path or path[-1][0] >= len(m[1]) else path
+        path.append((len(m[1]), m[2].strip()))
+        out.append((" > ".join(t for _, t in path), m.start(), end))
+    trimmed = []
+    for heading, a, b in out:
+        body = text[a:b]
+        if body.strip():
+            trimmed.append((heading, a + len(body) - len(body.lstrip()), a + len(body.rstrip())))
+    return trimmed
+
+
+def split_text(text: str) -> Iterator[tuple[str, int, int, str]]:
+    """(heading path, start, end, body) of each chunk. A rest that fits the longest size is one
+    chunk; others end at the target size, or at the next paragraph if that fits the longest size,
+    and the next starts OVERLAP tokens before. A last chunk under SHORTEST tokens joins the one
+    before it under the same heading."""
+    out: list[tuple[str, int, int, str]] = []
+    for heading, first, stop in sections(text):
+        body = text[first:stop]
+        ruler, at = Ruler(body), 0
         while at < len(body):
-            end = _fit(body, at, TARGET)
-            if end < len(body):
-                far = _fit(body, at, LONGEST)
-                stop = body.find("\n\n", end, far)
-                end = stop + 2 if stop >= 0 else end
-            out.append((at, end))
-            if end >= len(body):
+            last = ruler.tokens(at, len(body)) <= LONGEST
+            end = len(body)
+            if not last:
+                end = ruler.end(at, TARGET)
+                gap = _BREAK.search(body, end)
+                if gap and ruler.tokens(at, gap.start()) <= LONGEST:
+                    end = gap.start()
+            part = body[at:end]
+            if part.strip():
+                lead = at + len(part) - len(part.lstrip())
+                out.append((heading, first + lead, first + lead + len(part.strip()), part.strip()))
+            if last or end >= len(body):
                 break
-            back = end
-            while back > at + 1 and estimate(body[back - 1 : end]) <= OVERLAP:
-                back = max(at + 1, back - 16)
-                if estimate(body[back:end]) > OVERLAP:
-                    back = min(end, back + 16)
-                    break
-            at = max(at + 1, back)
-        if len(out) > 1 and estimate(body[out[-1][0] : out[-1][1]]) < OVERLAP and estimate(body[out[-2][0] :]) <= LONGEST:
-            out[-2:] = [(out[-2][0], out[-1][1])]
-        for x, y in out:
-            yield heading, a + x, a + y
+            at += max(1, ruler.back(at, end, OVERLAP) - at)
+    if len(out) > 1 and out[-1][0] == out[-2][0] and estimate(out[-1][3]) < SHORTEST:
+        out[-2:] = [(out[-2][0], out[-2][1], out[-1][2], f"{out[-2][3]}\n{out[-1][3]}")]
+    yield from out
 
 
 def chunk(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -79,7 +98,7 @@ def chunk(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            rows = [(k, i, h, a, b, s[a:b], estimate(s[a:b])) for k, s in zip(pdf[key], pdf["text"], strict=True) for i, (h, a, b) in enumerate(split_text(s))]
+            rows = [(k, i, h, a, b, body, estimate(body)) for k, s in zip(pdf[key], pdf["text"], strict=True) for i, (h, a, b, body) in enumerate(split_text(s))]
             yield pd.DataFrame(rows, columns=[key, "seq_no", "heading_path", "char_start", "char_end", "body", "n_tokens"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,29 +13,31 @@ from pyspark.sql.types import StringType
 
 #: Tags whose content goes, and tags that end a line.
 DROPPED_TAGS = ("script", "style", "nav", "header", "footer")
-BLOCK_TAGS = "p|div|section|article|li|tr|br|table|ul|ol"
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+BLOCK_TAGS = "p|div|li|tr|table|section|article|blockquote"
+ENTITIES = (("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
 #: Weights of the token estimate for wide and other characters.
 WIDE_WEIGHT, OTHER_WEIGHT = 0.72, 0.28
 WIDE = "[\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uF900-\\uFAFF\\uFF66-\\uFF9F]"
 
 
-def html_to_text(col: Column) -> Column:
-    """Visible text of html: headings as #, blocks as lines, entities decoded, lines trimmed."""
-    t = F.regexp_replace(col, "(?s)<!--.*?-->", "")
-    for tag in DROPPED_TAGS:
-        t = F.regexp_replace(t, f"(?is)<{tag}\\b[^>]*>.*?</{tag}>", "")
+def html_to_text(col: Column, decode: Callable[[Column], Column] | None = None) -> Column:
+    """Visible text of html: headings as # lines apart from the rest, a line break after blocks,
+    entities decoded (``decode``, by default the common ones), lines trimmed, at most one blank
+    line in a row."""
+    t = F.regexp_replace(col, f"(?is)<({'|'.join(DROPPED_TAGS)})\\b.*?</\\1>", "")
     for n in range(1, 7):
-        t = F.regexp_replace(t, f"(?i)<h{n}\\b[^>]*>", "\n" + "#" * n + " ")
-        t = F.regexp_replace(t, f"(?i)</h{n}>", "\n")
-    t = F.regexp_replace(t, f"(?i)</?(?:{BLOCK_TAGS})\\b[^>]*>", "\n")
-    t = F.regexp_replace(t, "(?s)<[^>]*>", "")
-    for name, char in ENTITIES:
-        t = F.replace(t, F.lit(name), F.lit(char))
-    t = F.regexp_replace(t, "[ \\t]+", " ")
-    t = F.regexp_replace(t, " ?\\n ?", "\n")
-    t = F.regexp_replace(t, "\\n{2,}", "\n")
-    return F.btrim(t, F.lit(" \n"))
+        t = F.regexp_replace(t, f"(?is)<h{n}\\b[^>]*>\\s*(.*?)\\s*</h{n}>", "\n\n" + "#" * n + " $1\n\n")
+    t = F.regexp_replace(t, "(?i)<br\\s*/?>", "\n")
+    t = F.regexp_replace(t, f"(?i)</(?:{BLOCK_TAGS})>", "\n")
+    t = F.regexp_replace(t, "<[^>]+>", "")
+    if decode is None:
+        for name, char in ENTITIES:
+            t = F.replace(t, F.lit(name), F.lit(char))
+    else:
+        t = decode(t)
+    t = F.regexp_replace(t, "[ \\t\\r\\x0B\\f\\u00a0\\u3000]*\\n[ \\t\\r\\x0B\\f\\u00a0\\u3000]*", "\n")
+    t = F.regexp_replace(t, "\\n{3,}", "\n\n")
+    return F.regexp_replace(t, "^[\\s\\u00a0\\u3000]+|[\\s\\u00a0\\u3000]+$", "")
 
 
 def normalize_ingest(col: Column) -> Column:
@@ -93,13 +96,17 @@ def unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x))
 
 
+#: Marks that part search words; full stops and commas stay, they belong to codes.
+QUERY_NOISE = "[。、・「」『』()\\[\\]{}【】〈〉〔〕…‥]"
+
+
 def normalize_query(col: Column, longest: int = 512) -> Column:
-    """NFKC, lower case, punctuation as space, closing long marks cut, blanks collapsed; null for
-    empty or too long queries."""
-    t = F.lower(nfkc(col))
-    t = F.regexp_replace(t, "[!-/:-@\\[-`{-~、。・「」『』（）\\s]+", " ")
-    t = F.btrim(F.regexp_replace(t, "ー+( |$)", "$1"), F.lit(" "))
-    return F.when((F.length(t) > 0) & (F.length(t) <= longest), t)
+    """NFKC, lower case, marks as spaces, one closing long mark of a word cut, blanks collapsed;
+    null for blank queries and for those of more than ``longest`` characters as typed."""
+    t = F.regexp_replace(F.lower(nfkc(col)), QUERY_NOISE, " ")
+    t = F.regexp_replace(t, "ー(?=[\\s\\u3000]|$)", "")
+    t = F.btrim(F.regexp_replace(t, "[\\s\\u3000]+", " "), F.lit(" "))
+    return F.when((F.length(col) <= longest) & (F.regexp_replace(col, "[\\s\\u3000]+", "") != ""), t)
 
 
 def mask_digits(col: Column) -> Column:
@@ -130,8 +137,8 @@ def short_hash(col: Column) -> Column:
 
 
 def cache_key(model: Column, kind: Column, text: Column) -> Column:
-    """Key of an embedding: model, kind and collapsed text."""
-    return F.sha2(F.concat_ws("\x00", model, kind, F.btrim(F.regexp_replace(text, "\\s+", " "))), 256)
+    """Key of an embedding: model, kind, and the text in NFKC with blanks collapsed."""
+    return F.sha2(F.concat_ws("\x00", model, kind, F.btrim(F.regexp_replace(nfkc(text), "\\s+", " "))), 256)
 
 
 def full_match(col: Column, pattern: str) -> Column:

@@ -65,7 +65,7 @@ def _edge_name() -> Column:
 
 
 def _ids(items: DataFrame) -> DataFrame:
-    return items.groupBy("id").agg(F.first("type").alias("item_type"))
+    return items.groupBy("id").agg(F.min("type").alias("item_type"))
 
 
 def _each_attribute(v: Vocabulary, want: Callable[[Attribute], bool], test: Callable[[Attribute], Column]) -> Column:
@@ -82,7 +82,7 @@ def _attribute_findings(items: DataFrame, names: Column, code: str | Callable[[C
 
 def _wrong_end(items: DataFrame, relations: DataFrame, v: Vocabulary, end: str, code: str) -> DataFrame:
     typed = relations.join(_ids(items).withColumnRenamed("id", end), end)
-    tests = [(F.col("type") == r.name) & ~F.col("item_type").isin(list(r.from_types if end == "from" else r.to_types)) for r in v.relations]
+    tests = [(F.col("type") == r.name) & ~F.coalesce(F.col("item_type").isin(list(r.from_types if end == "from" else r.to_types)), F.lit(False)) for r in v.relations]
     return finding(typed.where(reduce(lambda a, b: a | b, tests, F.lit(False))), code, "error", _edge_name(), f"type of {end} not allowed")
 
 
@@ -149,13 +149,13 @@ def checks(items: DataFrame, relations: DataFrame, v: Vocabulary) -> dict[str, C
     return {
         "E001": lambda: finding(items.where(_blank(F.col("id"))), "E001", "error", F.coalesce("id", F.lit("")), "no id"),
         "E002": lambda: finding(_duplicates(items, ["id"], ["type"]), "E002", "error", F.col("id"), "id repeats"),
-        "E003": lambda: finding(items.where(~F.col("type").isin(list(v.item_types))), "E003", "error", F.col("id"), "type not defined"),
+        "E003": lambda: finding(items.where(~F.coalesce(F.col("type").isin(list(v.item_types)), F.lit(False))), "E003", "error", F.col("id"), "type not defined"),
         "E004": lambda: finding(items.where(~F.coalesce(F.col("status").isin(list(STATUSES)), F.lit(False))), "E004", "error", F.col("id"), "status not defined"),
         "E010": lambda: _attribute_findings(items, required(), lambda known: F.when(known, "W032").otherwise("E010"), lambda known: F.when(known, "warn").otherwise("error"), "required attribute blank"),
         "E011": lambda: _attribute_findings(items, _each_attribute(v, lambda a: bool(a.values) and not a.extensible, lambda a: ~_blank(_value(a.name)) & ~_value(a.name).isin(list(a.values))), "E011", "error", "value not declared"),
         "E012": lambda: _unique(items, v),
         "E013": lambda: _attribute_findings(items, _each_attribute(v, lambda a: a.pattern is not None, lambda a: ~_blank(_value(a.name)) & ~_value(a.name).rlike(f"^(?:{a.pattern})$")), "E013", "error", "pattern does not match"),
-        "E020": lambda: finding(relations.where(~F.col("type").isin([r.name for r in v.relations])), "E020", "error", _edge_name(), "relation not defined"),
+        "E020": lambda: finding(relations.where(~F.coalesce(F.col("type").isin([r.name for r in v.relations]), F.lit(False))), "E020", "error", _edge_name(), "relation not defined"),
         "E021": lambda: missing("from", "E021"),
         "E022": lambda: missing("to", "E022"),
         "E023": lambda: _wrong_end(items, relations, v, "from", "E023"),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
+from datetime import date, timedelta
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -36,30 +38,43 @@ def keyed_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFram
     return both.where(differs).select("key", state.alias("state"), "old", "new")
 
 
+def price_periods(prices: DataFrame) -> DataFrame:
+    """kind, valid_from, valid_to, unit_price as disjoint periods: on each day the price that
+    started last among those that cover it (of equal starts, the higher one).
+
+    Every start and every day after an end opens a period; a kind's list is swept once with a heap."""
+
+    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
+        far = date(9999, 12, 31)
+        rows = sorted(((f, far if pd.isna(t) or t is None else t, u) for f, t, u in zip(pdf["valid_from"], pdf["valid_to"], pdf["unit_price"], strict=True) if f is not None), key=lambda r: r[0])
+        edges = sorted({f for f, _, _ in rows} | {t + timedelta(days=1) for _, t, _ in rows if t < far})
+        out, heap, at = [], [], 0
+        for k, start in enumerate(edges):
+            while at < len(rows) and rows[at][0] <= start:
+                heapq.heappush(heap, (-rows[at][0].toordinal(), -rows[at][2], rows[at][1]))
+                at += 1
+            while heap and heap[0][2] < start:
+                heapq.heappop(heap)
+            if heap:
+                end = edges[k + 1] - timedelta(days=1) if k + 1 < len(edges) else far
+                out.append((pdf["kind"].iloc[0], start, end, -heap[0][1]))
+        return pd.DataFrame(out, columns=["kind", "valid_from", "valid_to", "unit_price"])
+
+    p = prices.select("kind", F.col("valid_from").cast("date"), F.col("valid_to").cast("date"), "unit_price")
+    return p.groupBy("kind").applyInPandas(sweep, p.schema)
+
+
 def effective(facts: DataFrame, prices: DataFrame, kind: str, day: str) -> DataFrame:
     """``facts`` with the price of its kind whose validity covers the day; the latest
     ``valid_from`` wins; none leaves nulls.
 
     Prices (kind, valid_from, valid_to, unit_price) are turned into disjoint periods first, so the
     join has one match a fact and no window over the facts."""
-    w = Window.partitionBy("kind").orderBy("valid_from", "_at")
-    p = prices.withColumn("_at", F.monotonically_increasing_id()).withColumn("_next", F.lead("valid_from").over(w))
-    end = F.least(F.coalesce("valid_to", F.lit("9999-12-31").cast("date")), F.coalesce(F.date_sub("_next", 1), F.lit("9999-12-31").cast("date")))
-    p = p.select(F.col("kind").alias("_kind"), F.col("valid_from").alias("_from"), end.alias("_to"), "unit_price")
+    p = price_periods(prices).select(F.col("kind").alias("_kind"), F.col("valid_from").alias("_from"), F.col("valid_to").alias("_to"), "unit_price")
     d = F.col(day).cast("date")
     return facts.join(p, (F.col(kind) == F.col("_kind")) & (d >= F.col("_from")) & (d <= F.col("_to")), "left").drop("_kind", "_from", "_to")
 
 
-def overlapping_prices(facts: DataFrame, prices: DataFrame, kind: str, day: str, key: str) -> DataFrame:
-    """Like ``effective`` when a later period may end before an earlier one: all covering periods
-    are joined and the latest start is kept for each key."""
-    d = F.col(day).cast("date")
-    p = prices.withColumnsRenamed({"kind": "_kind"})
-    hit = facts.join(p, (F.col(kind) == F.col("_kind")) & (d >= F.col("valid_from")) & (d <= F.coalesce("valid_to", F.lit("9999-12-31").cast("date"))))
-    best = hit.groupBy(key).agg(F.max_by("unit_price", "valid_from").alias("unit_price"))
-    return facts.join(best, key, "left")
-
-
 def resolve(refs: DataFrame, current: DataFrame, ledger: DataFrame, store: DataFrame) -> DataFrame:
     """refs (concept) with ``item``: this round's map first, then the ledger if the store still
     has that item; ``unresolved`` otherwise."""

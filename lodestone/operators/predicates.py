@@ -50,3 +50,9 @@ def metadata_matches(meta: Column, wanted: Mapping[str, Sequence[str]]) -> Colum
 def display(col: Column) -> Column:
     """Booleans as a circle, blanks as a dash."""
     return F.when(is_blank(col), "―").otherwise(F.when(col.cast("string") == "true", "○").otherwise(col.cast("string")))
+
+
+def declared_place(value: Column, declared: Sequence[str]) -> Column:
+    """1-based place of a value among the declared ones, as a sort key; others share the place after them."""
+    at = F.array_position(F.array(*map(F.lit, declared)), value) if declared else F.lit(0)
+    return F.when(at > 0, at).otherwise(F.lit(len(declared) + 1)).cast("long")

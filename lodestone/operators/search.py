@@ -39,3 +39,36 @@ def dedupe_decision(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     same = F.col("h").eqNullSafe(F.col("_h"))
     action = F.when(F.col("_has").isNull() | ~same, "ingest").when(F.col("meta").eqNullSafe(F.col("_m")), "skip").otherwise("metadata_only")
     return d.select(key, action.alias("action"))
+
+
+def fair_order(queue: DataFrame, tenant: str, order: Sequence[str]) -> DataFrame:
+    """``queue`` with ``round`` (how many of its tenant come before, plus one) and ``turn``: rounds
+    one after the other, tenants in order within a round. Turns are counted by rounds, so no
+    window spans the queue."""
+    k = F.row_number().over(Window.partitionBy(tenant).orderBy(*order)).cast("long")
+    rounds = queue.withColumn("round", k)
+    size = rounds.groupBy("round").agg(F.count("*").alias("_n"))
+    ahead = size.withColumn("_ahead", F.sum("_n").over(Window.orderBy("round")) - F.col("_n")).select("round", "_ahead")  # one row a round
+    place = F.row_number().over(Window.partitionBy("round").orderBy(tenant))
+    return rounds.join(ahead, "round").withColumn("turn", (F.col("_ahead") + place).cast("long")).drop("_ahead")
+
+
+def queue_depth(queue: DataFrame, tenant: str, since: str) -> DataFrame:
+    """tenant, waiting, oldest (least ``since``), longest (waiting of the fullest tenant)."""
+    by = queue.groupBy(tenant).agg(F.count("*").alias("waiting"), F.min(since).alias("oldest"))
+    return by.join(F.broadcast(by.agg(F.max("waiting").alias("longest"))))  # one row
+
+
+def top_by_query(index: DataFrame, queries: DataFrame, score: Column, k: int, key: str = "vec_id") -> DataFrame:
+    """query, key, score of the ``k`` best rows of ``index`` for each row of ``queries``, a stated
+    set that goes to the index. A partial top-k is taken before the shuffle."""
+    pairs = index.join(F.broadcast(queries)).select("query", key, score.alias("score"))
+    best = pairs.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("id")))), 1, k).alias("best"))
+    return best.select("query", F.explode("best").alias("b")).select("query", F.col("b.id").alias(key), (-F.col("b.s")).alias("score"))
+
+
+def agreement(old: DataFrame, new: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """agreement: the mean share of the old top ``k`` that the new index finds too; 1 without queries."""
+    both = old.select("query", key, F.lit(1).alias("o")).join(new.select("query", key, F.lit(1).alias("n")), ["query", key], "left")
+    by = both.groupBy("query").agg((F.count("n") / F.least(F.lit(k), F.count("*"))).alias("share"))
+    return by.agg(F.coalesce(F.avg("share"), F.lit(1.0)).alias("agreement"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.operators.predicates import matches
 
-KEYS = {"kind", "type", "relation", "where", "columns", "group_by", "cols", "cell", "gap", "side", "heading"}
+KEYS = {"kind", "type", "relation", "where", "columns", "group_by", "cols", "cell", "gap", "side", "heading", "full", "label"}
 OWN = ("id", "type", "status")
 
 
@@ -77,15 +77,26 @@ def _matrix(s: Mapping, items: DataFrame, relations: DataFrame) -> DataFrame:
     return edges.groupBy(F.col("from").alias("row_id")).pivot("to", list(s["cols"])).agg(F.max(cell))
 
 
+def reference(name: str) -> Column:
+    """Label of an item: its id and name, or the one that is there, or the id alone when both say the same."""
+    n = F.coalesce(_attr(name), F.lit(""))
+    return F.when((n == "") | (n == F.col("id")), F.col("id")).otherwise(F.concat_ws(" ", "id", n))
+
+
 def _trace(s: Mapping, items: DataFrame, relations: DataFrame) -> DataFrame:
     own, other = ("to", "from") if s.get("side") == "to" else ("from", "to")
     rows = _live(items, s["type"], s.get("where"))
     columns = ["id", *(_attr(c).alias(c) for c in s.get("columns", []))]
     edges = _edges(s, relations).select(F.col(own).alias("id"), F.col(other).alias("other"))
+    if edges.isEmpty() and not s.get("full"):  # nothing was taken in, so nothing can be missing
+        rows = rows.where("false")
+    if s.get("label"):
+        edges = edges.join(items.select(F.col("id").alias("other"), reference(s["label"]).alias("label")), "other", "left").select("id", F.coalesce("label", "other").alias("other"))
     if s.get("gap"):
         return rows.select(*columns).join(edges, "id", "left_anti")
-    sets = edges.groupBy("id").agg(F.count("*").alias("n_linked"), F.concat_ws("、", F.array_sort(F.collect_list("other"))).alias("linked"))
-    return rows.select(*columns).join(sets, "id", "left").withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "linked": F.coalesce("linked", F.lit(""))})
+    sets = edges.groupBy("id").agg(F.collect_set("other").alias("_set"))
+    sets = sets.select("id", F.size("_set").cast("long").alias("n_linked"), F.concat_ws("、", F.array_sort("_set")).alias("linked"))
+    return rows.select(*columns).join(sets, "id", "left").withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)).cast("long"), "linked": F.coalesce("linked", F.lit("―"))})
 
 
 def drop_blank_columns(df: DataFrame, keep: tuple[str, ...] = ("id",)) -> tuple[DataFrame, list[str]]:

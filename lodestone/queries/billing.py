@@ -9,7 +9,7 @@ from lodestone.operators import joins
 from lodestone.queries.registry import query
 
 #: kind, valid_from, valid_to, unit price: periods overlap, the latest start wins.
-PRICES = [("O", "1990-01-01", "1996-12-31", 1.25), ("O", "1995-06-01", None, 1.5), ("F", "1990-01-01", None, 0.75), ("F", "1994-01-01", None, 0.8), ("P", "1990-01-01", None, 2.0)]
+PRICES = [("O", "1990-01-01", "1996-12-31", 1.25), ("O", "1995-06-01", None, 1.5), ("F", "1990-01-01", None, 0.75), ("F", "1994-01-01", None, 0.8), ("P", "1990-01-01", None, 2.0), ("P", "1993-01-01", "1994-06-30", 2.5), ("F", "1992-03-01", "1992-05-31", 0.9)]
 _PRICES_SQL = "(values " + ", ".join(f"('{k}', date '{a}', {f"date '{b}'" if b else 'null::date'}, {p})" for k, a, b, p in PRICES) + ") m(kind, valid_from, valid_to, unit_price)"
 
 

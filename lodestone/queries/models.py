@@ -76,7 +76,7 @@ _check("check_w021_order", "W021", "select 'W021' as code, 'warn' as level, f ||
 _check("check_w030_unreferenced", "W030", "select 'W030' as code, 'warn' as level, 'n' || n_nationkey as target from nation where 'n' || n_nationkey not in (select t from rel)")
 
 
-@query(_STORE + """select n_name as heading, count(*)::bigint as n, string_agg(f, '、' order by f) as linked from rel join nation on 'n' || n_nationkey = t where type = 'ships-from' and n_nationkey < 100 group by 1""")
+@query(_STORE + """select n_name as heading, count(distinct f)::bigint as n, string_agg(distinct f, '、' order by f) as linked from rel join nation on 'n' || n_nationkey = t where type = 'ships-from' and n_nationkey < 100 group by 1""")
 def report_trace(t, spark):
     """A trace section from its declaration."""
     items, relations = store(t)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lodestone.operators import joins, merge, numbering, predicates
+from lodestone.operators import audit, joins, merge, numbering, predicates, search
 from lodestone.queries.registry import query
 
 
@@ -180,12 +180,13 @@ def renumbering(t, spark):
     return out.select("p_partkey", "assigned", numbering.format_number(F.lit("P-"), F.col("assigned"), 3).alias("display"))
 
 
-@query("""select c_custkey, row_number() over (order by regexp_extract(c_name, '^(\\D*)', 1), try_cast(regexp_extract(c_name, '(\\d+)', 1) as bigint), c_custkey)::bigint as pos from
- (select c_custkey, 'Item ' || (c_custkey % 1000)::varchar as c_name from customer where c_custkey <= 500)""")
+@query("""select c_custkey, c_nationkey, row_number() over (partition by c_nationkey order by regexp_extract(c_name, '^(\\D*)', 1), try_cast(regexp_extract(c_name, '(\\d+)', 1) as bigint), c_custkey)::bigint as pos from
+ (select c_custkey, c_nationkey, 'Item ' || (c_custkey % 1000)::varchar as c_name from customer)""")
 def natural_sort_key(t, spark):
-    """Digits sort as numbers. The position is a rank over a stated small set."""
-    d = t("customer").where("c_custkey <= 500").select("c_custkey", F.concat(F.lit("Item "), (F.col("c_custkey") % 1000).cast("string")).alias("name"))
-    return d.select("c_custkey", F.row_number().over(Window.orderBy(numbering.natural_key(F.col("name")), "c_custkey")).cast("long").alias("pos"))
+    """Digits sort as numbers: the place of each customer in its nation's list."""
+    d = t("customer").select("c_custkey", "c_nationkey", F.concat(F.lit("Item "), (F.col("c_custkey") % 1000).cast("string")).alias("name"))
+    w = Window.partitionBy("c_nationkey").orderBy(numbering.natural_key(F.col("name")), "c_custkey")
+    return d.select("c_custkey", "c_nationkey", F.row_number().over(w).cast("long").alias("pos"))
 
 
 @query("""select shape, count(*)::bigint as n, count(distinct url)::bigint as n_distinct, case when count(distinct url) = 1 then min(url) else shape end as head from
@@ -260,12 +261,16 @@ def systematic_sample(t, spark):
     return r.where((F.col("k") % step == 0) & (F.floor(F.col("k") / step) < 30)).select("source", "doc_id")
 
 
-@query("""select event_id, user_id, row_number() over (order by k, user_id)::bigint as turn from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as k from events) where k <= 3""")
+@query("""select event_id, user_id, k::bigint as round, row_number() over (order by k, user_id)::bigint as turn from (select event_id, user_id, row_number() over (partition by user_id order by ts, event_id) as k from events)""")
 def fair_dequeue(t, spark):
-    """Round robin over tenants for the next three rounds of the queue."""
-    k = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    d = t("events").select("event_id", "user_id", k.alias("k")).where("k <= 3")
-    return d.select("event_id", "user_id", F.row_number().over(Window.orderBy("k", "user_id")).cast("long").alias("turn"))
+    """Round robin over tenants, for the whole queue."""
+    return search.fair_order(t("events").select("event_id", "user_id", "ts"), "user_id", ["ts", "event_id"]).select("event_id", "user_id", "round", "turn")
+
+
+@query("""with q as (select user_id, ts, event_id from events) select user_id, count(*)::bigint as waiting, min(ts) as oldest, (select max(n) from (select count(*) as n from q group by user_id))::bigint as longest from q group by 1""")
+def queue_depth(t, spark):
+    """Waiting rows and the oldest of each tenant, beside the longest queue."""
+    return search.queue_depth(t("events"), "user_id", "ts")
 
 
 @query("""select lang, count(*)::bigint as n_docs, count(l.doc_id)::bigint as n_labelled, round(count(l.doc_id) / count(*), 6) as share,
@@ -277,12 +282,11 @@ def label_coverage(t, spark):
     return d.groupBy("lang").agg(n.alias("n_docs"), have.alias("n_labelled"), F.round(have / n, 6).alias("share"), ((n - have) >= 0.25 * n).alias("too_many_open"))
 
 
-@query("""select 'l_returnflag' as col, l_returnflag as text, count(*)::bigint as n from lineitem group by 2 having count(*) >= 4
- union all select 'l_linestatus', l_linestatus, count(*)::bigint from lineitem group by 2 having count(*) >= 4""")
+@query("""with c as (select 'role' as col, role as text from conversations union all select 'text', text from conversations), n as (select col, text, count(*) as n from c where length(text) >= 4 group by 1, 2)
+ select col, sha256(text) as text_hash, n::bigint as n from n where n >= 4""")
 def repeated_cells(t, spark):
-    """Cell texts that repeat in a column, after unpivoting."""
-    d = t("lineitem").select(F.explode(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("text")) for c in ("l_returnflag", "l_linestatus")))).alias("x"))
-    return d.groupBy("x.col", "x.text").agg(F.count("*").alias("n")).where("n >= 4").select("col", "text", "n")
+    """Long cell texts that repeat in a column, after unpivoting."""
+    return audit.repeated_cells(t("conversations"), ["role", "text"], times=4, length=4).select("col", F.sha2("text", 256).alias("text_hash"), "n")
 
 
 @query("""select l_orderkey, count(*)::bigint as n, string_agg(s_name, '、' order by s_name) filter (where k <= 2) || case when count(*) > 2 then ' ほか ' || (count(*) - 2)::varchar || ' 件' else '' end as sources from
@@ -305,12 +309,11 @@ def ambiguity_qualifier(t, spark):
     return d.select(F.col("r_name").alias("owner"), F.col("n_name").alias("item"), clash.alias("ambiguous"), label.alias("label"))
 
 
-@query("""select event_type, user_id, n::bigint as n from (select event_type, user_id, count(*) as n from events where event_type in ('purchase', 'click') group by 1, 2) order by 1""")
+@query("""select event_type, user_id, count(*)::bigint as n, case event_type when 'purchase' then 1 when 'click' then 2 else 3 end::bigint as place from events group by 1, 2""")
 def group_order_by_declared(t, spark):
-    """Groups in a declared order; the order itself is the writer's sort."""
-    declared = F.array(F.lit("purchase"), F.lit("click"))
-    d = t("events").where(F.array_contains(declared, F.col("event_type"))).groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
-    return d.orderBy(F.array_position(declared, F.col("event_type")), "user_id")
+    """The place of each group in the declared order; undeclared values come last."""
+    d = t("events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"))
+    return d.withColumn("place", predicates.declared_place(F.col("event_type"), ["purchase", "click"]))
 
 
 @query("""select a.n_name as a, b.n_name as b, count(*)::bigint as shared from (select distinct n_name, c_mktsegment from customer join nation on n_nationkey = c_nationkey) a

@@ -70,15 +70,22 @@ def source_overlap(t, spark):
     return f.agg(n("both").alias("both"), n("vector").alias("vector_only"), n("keyword").alias("keyword_only"))
 
 
-@query("""with n as (select vec_id % 20 as q, vec_id, label, row_number() over (partition by vec_id % 20 order by embedding[1] desc, vec_id) as a, row_number() over (partition by vec_id % 20 order by round(embedding[1], 1) desc, vec_id) as b from embeddings),
- g as (select q, count(*) filter (where a <= 10 and b <= 10) / count(*) filter (where a <= 10) as o from n group by 1) select round(coalesce(avg(o), 1.0), 6) as agreement from g""")
+_INT8 = """with s as (select vec_id, embedding::double[] as v, list_max(list_transform(embedding::double[], lambda x: abs(x))) as top from embeddings),
+ q as (select vec_id, v, list_transform(v, lambda x: greatest(-127, least(127, round_even(x / case when top = 0 then 1.0 else top / 127.0 end, 0)::int))::double) as c from s)"""
+_SIM = "round(coalesce(list_inner_product(a.{0}, b.{0}) / nullif(sqrt(list_inner_product(a.{0}, a.{0})) * sqrt(list_inner_product(b.{0}, b.{0})), 0), 0), 6)"
+
+
+@query(f"""{_INT8}, p as (select a.vec_id as query, b.vec_id, {_SIM.format('v')} as x, {_SIM.format('c')} as y from q a, q b where a.vec_id % 50 = 0),
+ r as (select query, vec_id, row_number() over (partition by query order by x desc, vec_id) as i, row_number() over (partition by query order by y desc, vec_id) as j from p),
+ g as (select query, count(*) filter (where i <= 10 and j <= 10) / 10.0 as o from r group by 1) select round(coalesce(avg(o), 1.0), 6) as agreement from g""")
 def reindex_agreement(t, spark):
-    """Mean overlap of the top ten under the old and the new index."""
-    e = t("embeddings").select((F.col("vec_id") % 20).alias("q"), "vec_id", F.col("embedding")[0].alias("x"))
-    w = lambda c: F.row_number().over(Window.partitionBy("q").orderBy(F.desc(c), "vec_id"))
-    n = e.withColumn("y", F.round("x", 1)).withColumns({"a": w("x"), "b": w("y")})
-    g = n.groupBy("q").agg((F.count_if((F.col("a") <= 10) & (F.col("b") <= 10)) / F.count_if(F.col("a") <= 10)).alias("o"))
-    return g.agg(F.round(F.coalesce(F.avg("o"), F.lit(1.0)), 6).alias("agreement"))
+    """Mean overlap of the ten nearest under whole vectors and under their int8 codes, for every
+    fiftieth vector as a query."""
+    e = t("embeddings")
+    e = e.withColumn("c", vectors.quantize(F.col("embedding"), vectors.scale(F.col("embedding"))).cast("array<double>")).withColumn("v", F.col("embedding").cast("array<double>"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("c").alias("qc"))
+    near = lambda own, other: search.top_by_query(e, q, F.round(vectors.cosine(F.col(own), F.col(other)), 6), 10)
+    return search.agreement(near("v", "qv"), near("c", "qc"), 10).select(F.round("agreement", 6).alias("agreement"))
 
 
 @query("""select event_id, (props::json->>'k')::bigint as k from events where event_type in ('click', 'view') and (props::json->>'k')::bigint in (1, 2, 3, 5, 8, 13)""")

@@ -11,20 +11,21 @@ from lodestone.queries.registry import query
 
 
 def _html_sql(col: str) -> str:
-    t = f"regexp_replace({col}, '<!--.*?-->', '', 'gs')"
-    for tag in text.DROPPED_TAGS:
-        t = f"regexp_replace({t}, '<{tag}\\b[^>]*>.*?</{tag}>', '', 'gis')"
+    """The same steps in SQL, one tag at a time (its expressions have no back references)."""
+    blank = "[ \\t\\r\\x0B\\f\\x{00a0}\\x{3000}]*"
+    t = col
+    for tag in ("script", "style", "nav", "header", "footer"):
+        t = f"regexp_replace({t}, '<{tag}\\b.*?</{tag}>', '', 'gis')"
     for n in range(1, 7):
-        t = f"regexp_replace({t}, '<h{n}\\b[^>]*>', chr(10) || '{'#' * n} ', 'gi')"
-        t = f"regexp_replace({t}, '</h{n}>', chr(10), 'gi')"
-    t = f"regexp_replace({t}, '</?(?:{text.BLOCK_TAGS})\\b[^>]*>', chr(10), 'gi')"
-    t = f"regexp_replace({t}, '<[^>]*>', '', 'gs')"
-    for name, char in text.ENTITIES:
-        t = f"replace({t}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    t = f"regexp_replace({t}, '[ \\t]+', ' ', 'g')"
-    t = f"regexp_replace({t}, ' ?\\n ?', chr(10), 'g')"
-    t = f"regexp_replace({t}, '\\n{{2,}}', chr(10), 'g')"
-    return f"trim({t}, ' ' || chr(10))"
+        t = f"regexp_replace({t}, '<h{n}\\b[^>]*>\\s*(.*?)\\s*</h{n}>', chr(10) || chr(10) || '{'#' * n} \\1' || chr(10) || chr(10), 'gis')"
+    t = f"regexp_replace({t}, '<br\\s*/?>', chr(10), 'gi')"
+    t = f"regexp_replace({t}, '</(p|div|li|tr|table|section|article|blockquote)>', chr(10), 'gi')"
+    t = f"regexp_replace({t}, '<[^>]+>', '', 'g')"
+    for name, char in (("&nbsp;", "chr(160)"), ("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#39;", "chr(39)"), ("&amp;", "'&'")):
+        t = f"replace({t}, '{name}', {char})"
+    t = f"regexp_replace({t}, '{blank}\\n{blank}', chr(10), 'g')"
+    t = f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace({t}, '^[\\s\\x{{00a0}}\\x{{3000}}]+|[\\s\\x{{00a0}}\\x{{3000}}]+$', '', 'g')"
 
 
 @query(f"select page_id, sha256({_html_sql('html')}) as text_hash, length({_html_sql('html')})::bigint as n_chars from pages")

@@ -143,3 +143,61 @@ def cache_key(model: Column, kind: Column, text: Column) -> Column:
 
 def full_match(col: Column, pattern: str) -> Column:
     return col.rlike(f"^(?:{pattern})$")
+
+
+def labelled_rows(header: Column, row: Column) -> Column:
+    """A record of a table as ``column: value`` lines; blank values and those without a heading go."""
+    pairs = F.zip_with(header, row, lambda h, v: F.when((F.trim(F.coalesce(v, F.lit(""))) != "") & (F.trim(F.coalesce(h, F.lit(""))) != ""), F.concat(F.trim(h), F.lit(": "), F.trim(v))))
+    return F.array_join(F.array_compact(pairs), "\n")
+
+
+def unwrap_markdown(col: Column) -> Column:
+    """Links and images of Markdown as their texts, but for lines inside code fences."""
+
+    def line(x: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(x, r"!\[([^\]]*)\]\([^)]*\)", "$1"), r"\[([^\]]+)\]\([^)]*\)", "$1")
+
+    folded = F.aggregate(
+        F.split(col, "\n", -1),
+        F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("code")),
+        lambda a, x: F.struct(F.concat(a["out"], F.array(F.when(a["code"] | x.rlike(r"^\s*(```|~~~)"), x).otherwise(line(x)))).alias("out"), F.when(x.rlike(r"^\s*(```|~~~)"), ~a["code"]).otherwise(a["code"]).alias("code")),
+        lambda a: F.array_join(a["out"], "\n"),
+    )
+    return folded
+
+
+#: First bytes (hexadecimal) of file kinds.
+MAGIC = (("504b0304", "zip"), ("d0cf11e0a1b11ae1", "ole"), ("25504446", "pdf"), ("89504e470d0a1a0a", "png"), ("ffd8ff", "jpeg"), ("47494638", "gif"), ("1f8b", "gzip"), ("efbbbf", "utf8-bom"), ("fffe", "utf16le"), ("feff", "utf16be"))
+
+
+def sniff(content: Column) -> Column:
+    """The kind of a file by its first bytes; null when none fits."""
+    head = F.lower(F.hex(F.substring(content, 1, 8)))
+    return F.coalesce(*(F.when(head.startswith(m), kind) for m, kind in MAGIC))
+
+
+def elapsed(seconds: Column) -> Column:
+    """[h]:mm of a number of seconds."""
+    minutes = F.floor(seconds / 60)
+    return F.concat(F.floor(minutes / 60).cast("string"), F.lit(":"), F.lpad((minutes % 60).cast("string"), 2, "0"))
+
+
+def sheet_date(stamp: Column) -> Column:
+    """A cell's date: the date alone at midnight, else with the time; seconds only when they are set."""
+    time = F.date_format(stamp, "HH:mm:ss")
+    return F.when(time == "00:00:00", F.date_format(stamp, "yyyy-MM-dd")).when(time.endswith(":00"), F.date_format(stamp, "yyyy-MM-dd HH:mm")).otherwise(F.date_format(stamp, "yyyy-MM-dd HH:mm:ss"))
+
+
+@F.pandas_udf(StringType())
+def general_number(value: pd.Series) -> pd.Series:
+    """A number with up to 15 significant digits, without trailing zeros."""
+    return value.map(lambda x: None if pd.isna(x) else f"{x:.15g}")
+
+
+def percent(value: Column, digits: int = 0) -> Column:
+    return F.concat(F.format_string(f"%.{digits}f", F.round(value * 100, digits)), F.lit("%"))
+
+
+def points(emu: Column) -> Column:
+    """Drawing units as points."""
+    return emu / 12700.0

@@ -35,3 +35,14 @@ def error_ratio(a: Column, b: Column) -> Column:
     """Root of the squared error over the squared norm; 0 for a zero vector."""
     err = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x)
     return F.coalesce(F.sqrt(err / F.nullif(dot(a, a), F.lit(0.0))), F.lit(0.0))
+
+
+def code_bytes(codes: Column) -> Column:
+    """int8 codes as unsigned bytes (shifted by 128) in hexadecimal."""
+    return F.array_join(F.transform(codes, lambda c: F.lpad(F.hex((c + 128).cast("long")), 2, "0")), "")
+
+
+def bytes_codes(packed: Column) -> Column:
+    """The codes of ``code_bytes``."""
+    n = F.length(packed) / 2
+    return F.when(n < 1, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.conv(F.substr(packed, (i * 2 - 1).cast("int"), F.lit(2)), 16, 10).cast("int") - 128))

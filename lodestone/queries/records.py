@@ -289,26 +289,6 @@ def repeated_cells(t, spark):
     return audit.repeated_cells(t("conversations"), ["role", "text"], times=4, length=4).select("col", F.sha2("text", 256).alias("text_hash"), "n")
 
 
-@query("""select l_orderkey, count(*)::bigint as n, string_agg(s_name, '、' order by s_name) filter (where k <= 2) || case when count(*) > 2 then ' ほか ' || (count(*) - 2)::varchar || ' 件' else '' end as sources from
- (select l_orderkey, s_name, row_number() over (partition by l_orderkey order by s_name) as k from (select distinct l_orderkey, s_name from lineitem join supplier on s_suppkey = l_suppkey)) group by 1""")
-def provenance_label(t, spark):
-    """At most two sources, then how many more."""
-    d = t("lineitem").join(t("supplier"), F.col("s_suppkey") == F.col("l_suppkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_set("s_name")).alias("s"))
-    n = F.size("s")
-    more = F.when(n > 2, F.concat(F.lit(" ほか "), (n - 2).cast("string"), F.lit(" 件"))).otherwise("")
-    return d.select("l_orderkey", n.cast("long").alias("n"), F.concat(F.concat_ws("、", F.slice("s", 1, 2)), more).alias("sources"))
-
-
-@query("""select r_name as owner, n_name as item, count(*) over (partition by substr(n_name, 1, 1)) > 1 as ambiguous,
- case when count(*) over (partition by substr(n_name, 1, 1)) > 1 then n_name || '（' || r_name || '）' else n_name end as label from nation join region on r_regionkey = n_regionkey""")
-def ambiguity_qualifier(t, spark):
-    """Names that clash get their owner's name."""
-    d = t("nation").join(t("region"), F.col("r_regionkey") == F.col("n_regionkey"))
-    clash = F.count("*").over(Window.partitionBy(F.substring("n_name", 1, 1))) > 1
-    label = F.when(clash, F.concat("n_name", F.lit("（"), "r_name", F.lit("）"))).otherwise(F.col("n_name"))
-    return d.select(F.col("r_name").alias("owner"), F.col("n_name").alias("item"), clash.alias("ambiguous"), label.alias("label"))
-
-
 @query("""select event_type, user_id, count(*)::bigint as n, case event_type when 'purchase' then 1 when 'click' then 2 else 3 end::bigint as place from events group by 1, 2""")
 def group_order_by_declared(t, spark):
     """The place of each group in the declared order; undeclared values come last."""

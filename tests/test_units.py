@@ -1,5 +1,6 @@
 import random
 import unicodedata
+from datetime import date, timedelta
 from difflib import SequenceMatcher
 
 import pytest
@@ -56,6 +57,18 @@ def test_effective_latest_start_wins(spark):
     assert got == [None, 1.0, 2.0, None]
 
 
+def test_effective_against_all_periods(spark):
+    """A later period that has ended gives way to an earlier one that still holds."""
+    rng, day = random.Random(12), lambda n: date(2024, 1, 1) + timedelta(days=n)
+    starts = rng.sample(range(200), 25)
+    rows = [("k" if i % 3 else "m", day(a), None if i % 7 == 0 else day(a + rng.randint(0, 60)), float(i)) for i, a in enumerate(starts)] + [("k", day(0), None, 99.0), ("z", None, None, 1.0)]
+    prices = spark.createDataFrame(rows, "kind string, valid_from date, valid_to date, unit_price double")
+    facts = spark.createDataFrame([(k, day(n)) for k in "kmz" for n in range(-2, 300, 3)], "kind string, d date")
+    for r in joins.effective(facts, prices, "kind", "d").collect():
+        fits = [(f, u) for k, f, t, u in rows if k == r.kind and f is not None and f <= r.d and (t is None or r.d <= t)]
+        assert r.unit_price == (max(fits)[1] if fits else None)
+
+
 def test_near_statements_against_all_pairs(spark):
     rng = random.Random(5)
     base = "the quick brown fox jumps over the lazy dog and runs"
@@ -84,15 +97,32 @@ def test_chunks_cover_text():
     body = "# T\n" + "\n\n".join("word " * 300 for _ in range(8)) + "\n## U\nshort tail"
     parts = list(chunking.split_text(body))
     assert parts[0][1] == 0 and parts[-1][2] == len(body) and parts[-1][0] == "T > U"
-    assert all(chunking.estimate(body[a:b]) <= chunking.LONGEST for _, a, b in parts)
-    assert all(a < b and n[1] <= b for (_, a, b), n in zip(parts, parts[1:], strict=False))
-    assert list(chunking.split_text("")) == []
+    assert all(chunking.estimate(p) <= chunking.LONGEST and body[a:b] == p == p.strip() for _, a, b, p in parts)
+    assert all(n[1] <= b or not body[b : n[1]].strip() for (_, a, b, _), n in zip(parts, parts[1:], strict=False))
+    assert list(chunking.split_text("")) == [] == list(chunking.split_text(" \n "))
+
+
+def test_chunk_ends():
+    """A rest within the longest size is one chunk; a short last one joins the one before it."""
+    assert len(list(chunking.split_text("a" * 2400))) == 1  # 672 tokens
+    text = "a" * 2800 + "\n\n" + "b" * 20
+    assert [len(p) for *_, p in chunking.split_text(text)] == [len("a" * 1830), 2800 - (1830 - 230) + 22]
+    tail = list(chunking.split_text("# A\n" + "x" * 2790 + "\n\n" + "y" * 100))
+    assert tail[-1][2] == 4 + 2790 + 2 + 100 and all(chunking.estimate(p) >= chunking.SHORTEST for *_, p in tail)
+    two = list(chunking.split_text("# A\n" + "x" * 200 + "\n# B\nend"))
+    assert [h for h, *_ in two] == ["A", "B"]
+    for t in ("日本語" * 900, "mixed 日本 text " * 300):
+        ruler = chunking.Ruler(t)
+        for a, b in ((0, 10), (5, 800), (17, len(t))):
+            assert ruler.tokens(a, b) == chunking.estimate(t[a:b])
+        end, back = ruler.end(3, 100), ruler.back(0, 500, 64)
+        assert chunking.estimate(t[3:end]) <= 100 < chunking.estimate(t[3 : end + 4]) and chunking.estimate(t[back:500]) <= 64 < chunking.estimate(t[back - 4 : 500])
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("Ａｂ　Ｃーー, x",)], "t string")
+    df = spark.createDataFrame([("Ａｂ　Ｃーー x、y.z",)], "t string")
     r = df.select(text.normalize_query(F.col("t")).alias("q"), text.readable_link(F.lit("a%20b+c")).alias("l"), text.readable_link(F.lit("50%")).alias("bad"), text.token_estimate(F.lit("あいう")).alias("n"), text.safe_file_name(F.lit('a/b:"c.')).alias("f"), text.is_empty_text(F.lit("--- * ")).alias("e")).first()
-    assert tuple(r) == ("ab c x", "a b+c", "50%", 2, "a_b__c", True)
+    assert tuple(r) == ("ab cー x y.z", "a b+c", "50%", 2, "a_b__c", True)
 
 
 def test_query_normal_form_whole_texts(spark, tmp_path):
@@ -139,6 +169,16 @@ def test_sections(spark):
         sections.compile_section({"kind": "items"}, items, rel)
     assert [r.id for r in sections.compile_section({"kind": "items", "type": "t", "columns": ["n"]}, items, rel).collect()] == ["a"]
     assert sections.compile_section({"kind": "trace", "type": "t", "relation": ["r"], "side": "to", "columns": ["n"]}, items, rel).first().linked == "c"
+    twice = rel.union(rel)
+    trace = {"kind": "trace", "type": "t", "relation": ["r"], "side": "to", "columns": ["n"]}
+    assert sections.compile_section(trace, items, twice).first().n_linked == 1  # one other end, linked twice
+    assert sections.compile_section(trace, items, rel.where("false")).count() == 0  # nothing linked at all: no rows
+    assert sections.compile_section(trace | {"full": True}, items, rel.where("false")).first().linked == "―"
+    assert sections.compile_section(trace | {"label": "n"}, items.union(items.limit(0)), rel.withColumn("from", F.lit("b"))).first().linked == "b B"
+    null = spark.createDataFrame([(None, "x", "y", 1)], rel.schema)
+    vocab = checks.Vocabulary(item_types=["t", "u"], relations=[checks.Relation("r", ["u"], ["t"])])
+    full = items.union(spark.createDataFrame([("d", None, "draft", {})], items.schema)).withColumn("gaps", F.array().cast("array<string>"))
+    assert [(r.code, r.target) for r in checks.validate(full, rel.union(null), vocab, ["E003", "E020"]).collect()] == [("E003", "d"), ("E020", "x-y")]
     assert sections.drop_blank_columns(items.select("id", F.lit("").alias("x"), "type"))[1] == ["x"]
 
 

@@ -1,4 +1,4 @@
-"""Readers of source files into anchored chunks: csv, markdown, DDL, Python, Java, html.
+"""Readers of source files into anchored chunks: csv, markdown, html, DDL, Python, Java, Office.
 
 Files are read with the binaryFile source and parsed one file a row inside mapInPandas; a file that
 cannot be read gives an error row (code P010), not a failed job."""
@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import csv
+import html
 import io
 import re
 from collections import Counter
@@ -16,6 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import BLOCK_TAGS, DROPPED_TAGS
+from lodestone.sources import office
+
 SCHEMA = "file string, anchor string, at string, heading string, kind string, rows array<array<string>>, text string, code string"
 SKIPPED = r"(^|/)(~\$|\.|node_modules/|__pycache__/)"
 Chunk = tuple[str, str, str, list[list[str]] | None, str | None]  # at, heading, kind, rows, text
@@ -32,6 +36,28 @@ def decode(content: bytes) -> str:
         return content.decode("cp932")
 
 
+def garbled(text: str) -> bool:
+    """Whether three tenths of the characters beyond ASCII are such as wrong decoding gives: half-width
+    kana, replacement marks, controls and private ones."""
+    wide = [c for c in text if c > "\x7f"]
+    odd = [c for c in wide if "\uff61" <= c <= "\uff9f" or c == "\ufffd" or "\x80" <= c <= "\x9f" or "\ue000" <= c <= "\uf8ff"]
+    return bool(wide) and len(odd) >= 0.3 * len(wide)
+
+
+def html_text(text: str) -> str:
+    """Visible text of html: headings as # lines, blocks as lines, all entities decoded."""
+    t = re.sub(rf"(?is)<({'|'.join(DROPPED_TAGS)})\b.*?</\1>", "", text)
+    t = re.sub(r"(?is)<h([1-6])\b[^>]*>(.*?)</h\1>", lambda m: f"\n\n{'#' * int(m[1])} {re.sub('<[^>]+>', '', m[2]).strip()}\n\n", t)
+    t = re.sub(r"(?i)<br\s*/?>", "\n", t)
+    t = re.sub(rf"(?i)</(?:{BLOCK_TAGS})>", "\n", t)
+    t = html.unescape(re.sub(r"<[^>]+>", "", t))
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(line.strip() for line in t.split("\n"))).strip()
+
+
+def read_html(text: str) -> Iterator[Chunk]:
+    yield from read_markdown(html_text(text))
+
+
 def delimiter_of(text: str) -> str | None:
     """The one delimiter under which at least 0.8 of the rows have the modal number (over one) of
     columns; None for none or a tie."""
@@ -52,8 +78,10 @@ def delimiter_of(text: str) -> str | None:
 def read_csv(text: str, tab: bool = False) -> Iterator[Chunk]:
     d = "\t" if tab else delimiter_of(text)
     if d is None:
-        yield "1", "", "undecided", None, text
+        yield "1", "", "undecided", None, text, "P018"
         return
+    if garbled(text):
+        yield "1", "", "finding", None, "the encoding is a guess", "P018"
     rows = [r for r in csv.reader(io.StringIO(text, newline=""), delimiter=d) if any(x.strip() for x in r)]
     width = max(map(len, rows), default=0)
     ragged = any(len(r) != width for r in rows)
@@ -211,10 +239,30 @@ def read_java(text: str) -> Iterator[Chunk]:
 
 
 READERS: dict[str, Callable[[str], Iterator[Chunk]]] = {
-    "csv": read_csv, "tsv": lambda t: read_csv(t, True), "md": read_markdown, "txt": read_markdown, "sql": read_ddl, "ddl": read_ddl, "py": read_python, "java": read_java,
+    "csv": read_csv, "tsv": lambda t: read_csv(t, True), "md": read_markdown, "txt": read_markdown, "html": read_html, "htm": read_html, "sql": read_ddl, "ddl": read_ddl, "py": read_python, "java": read_java,
 }
 
 
+#: Readers of bytes.
+PACKAGES: dict[str, Callable[[bytes], Iterator[office.Chunk]]] = {"xlsx": office.read_workbook, "xlsm": office.read_workbook, "docx": office.read_document, "docm": office.read_document, "pptx": office.read_presentation, "pptm": office.read_presentation}
+
+
+def plan_scan(files: DataFrame, paths: list[str], exclude: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The files (path) to read, and findings (code, target): P002 outputs that would share a name, P007
+    paths under which nothing is, P014 exclude patterns and how many files each hides (zero too)."""
+    kept = files.where(~F.col("path").rlike(SKIPPED))
+    for pattern in exclude:
+        kept = kept.where(~F.col("path").rlike(pattern))
+    one = files.agg(*(F.count_if(F.contains("path", F.lit(p))).alias(f"p{i}") for i, p in enumerate(paths)), *(F.count_if(F.col("path").rlike(x)).alias(f"x{i}") for i, x in enumerate(exclude)))
+    rows = [F.struct(F.lit("P007").alias("code"), F.when(F.col(f"p{i}") == 0, p).alias("target")) for i, p in enumerate(paths)]
+    rows += [F.struct(F.lit("P014").alias("code"), F.concat(F.lit(f"{x}: "), F.col(f"x{i}").cast("string")).alias("target")) for i, x in enumerate(exclude)]
+    told = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where("target is not null")
+    name = F.lower(F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", ""))
+    folder = F.regexp_replace("path", r"/[^/]*$", "")
+    clash = kept.groupBy(folder.alias("f"), name.alias("n")).agg(F.count("*").alias("k")).where("k > 1").select(F.lit("P002").alias("code"), F.concat_ws("/", "f", "n").alias("target"))
+    return kept, told.union(clash)
+
+
 def read_files(spark: SparkSession, path: str, exclude: list[str] | None = None) -> DataFrame:
     """Anchored chunks of every known file below ``path``; unknown kinds give P001 rows."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
@@ -231,18 +279,19 @@ def parse_files(files: DataFrame) -> DataFrame:
         for pdf in frames:
             out = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                reader = READERS.get(path.rsplit(".", 1)[-1].lower())
-                if reader is None:
+                ending = path.rsplit(".", 1)[-1].lower()
+                reader, package = READERS.get(ending), PACKAGES.get(ending)
+                if reader is None and package is None:
                     out.append((path, None, None, None, "error", None, None, "P001"))
                     continue
                 try:
-                    found = list(reader(decode(bytes(content))))
+                    found = list(package(bytes(content)) if package else reader(decode(bytes(content))))
                 except Exception as e:  # one bad file must not stop the rest
                     out.append((path, None, None, None, "error", None, str(e), "P010"))
                     continue
-                if not found:
+                if not any(len(c) < 6 or c[5] is None or c[2] != "finding" for c in found):
                     out.append((path, None, None, None, "error", None, None, "P009"))
-                out += [(path, f"{kind[0]}{k}", at, heading, kind, rows, text, None) for k, (at, heading, kind, rows, text) in enumerate(found, 1)]
+                out += [(path, f"{kind[0]}{k}", at, heading, kind, rows, text, code[0] if code else None) for k, (at, heading, kind, rows, text, *code) in enumerate(found, 1)]
             yield pd.DataFrame(out, columns=names)
 
     return files.mapInPandas(run, SCHEMA)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 
 from pyspark.sql import DataFrame
@@ -25,10 +27,42 @@ def sarif(findings: DataFrame, limit: int = 10_000) -> str:
 
 
 def invoice_csv(lines: DataFrame) -> bytes:
-    """One invoice as CSV: fixed columns, four decimals, CRLF, cp932; unencodable text raises."""
-    rows = lines.orderBy("tenant", "kind").collect()
-    body = [["tenant", "kind", "quantity", "unit_price", "amount"], *([str(r["tenant"]), r["kind"], str(r["quantity"]), f"{r['unit_price']:.4f}", str(r["amount"])] for r in rows)]
-    return "".join(",".join(r) + "\r\n" for r in body).encode("cp932")
+    """One invoice as CSV: fixed columns, unit price with four decimals, CRLF, values quoted where
+    they must be, cp932; unencodable text raises."""
+    columns = ["tenant", "kind", "quantity", "unit_price", "amount"]
+    out = io.StringIO(newline="")
+    writer = csv.writer(out, lineterminator="\r\n")
+    writer.writerow(columns)
+    for r in lines.orderBy("tenant", "kind").select(*columns).collect():
+        writer.writerow([r["tenant"], r["kind"], r["quantity"], f"{r['unit_price']:.4f}", r["amount"]])
+    return out.getvalue().encode("cp932")
+
+
+def write_each(tables: dict[str, DataFrame], folder: str) -> list[tuple[str, str, str, str]]:
+    """Write each table below ``folder``; one that fails gives a finding (P011) and the rest go on."""
+    told = []
+    for name, table in tables.items():
+        try:
+            table.write.mode("overwrite").parquet(f"{folder}/{name}")
+        except Exception as e:  # one bad table must not stop the rest
+            told.append(("error", "P011", name, str(e).split("\n")[0]))
+    return told
+
+
+def merge_manifest(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
+    """A manifest of captures after a new one: new rows (path, digest, captured) replace old ones."""
+    both = old.unionByName(new)
+    columns = [c for c in both.columns if c != key]
+    return both.groupBy(key).agg(F.max_by(F.struct(*columns), "captured").alias("r")).select(key, "r.*")
+
+
+def mermaid(edges: DataFrame, limit: int = 2000) -> str:
+    """A flow chart of at most ``limit`` edges (from, to, label), a figure for people."""
+    rows = edges.orderBy("from", "to", "label").limit(limit).collect()
+    names = {n: f"n{i}" for i, n in enumerate(sorted({x for r in rows for x in (r["from"], r["to"])}))}
+    said = lambda x: str(x).replace('"', "'")
+    lines = [f'  {i}["{said(n)}"]' for n, i in names.items()] + [f"  {names[r['from']]} -->{f'|{said(r["label"])}|' if r['label'] else ''} {names[r['to']]}" for r in rows]
+    return "\n".join(["flowchart LR", *lines])
 
 
 def retain(df: DataFrame, ts: str, years: int, today: str) -> DataFrame:

@@ -22,8 +22,9 @@ ORDER, DISCOUNT = 4, 0.75
 #: Bounds of the model: labelled documents for each language (in expectation, by a hash of
 #: doc_id), and n-grams of a language and order (the most frequent). Every language has a model.
 SAMPLE_DOCS, MAX_GRAMS = 1500, 100_000
-#: Rejection: above this quantile of the language's own sample, plus a margin, in bits.
-REJECT_QUANTILE, REJECT_MARGIN = 0.999, 0.5
+#: Rejection: above this quantile of the language's documents that were left out of the counts (one in
+#: CALIBRATION of the sample), plus a margin, in bits.
+REJECT_QUANTILE, REJECT_MARGIN, CALIBRATION = 0.999, 0.5, 5
 
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
 _HAS_LETTER = regex.compile(r"\p{L}")
@@ -33,7 +34,11 @@ _P = np.uint64(0x9E3779B97F4A7C15)
 def symbols(text: str) -> np.ndarray:
     """Lower-cased letters as code points, each run of anything else as one space, spaces around."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    x = np.where((c > 0xFFFF) | _LETTER[np.minimum(c, 0xFFFF)], c, 32).astype(np.uint64)
+    letter = _LETTER[np.minimum(c, 0xFFFF)]
+    far = np.flatnonzero(c > 0xFFFF)
+    if len(far):
+        letter[far] = [chr(v).isalpha() for v in c[far].tolist()]
+    x = np.where(letter, c, 32).astype(np.uint64)
     x = np.concatenate(([np.uint64(32)], x, [np.uint64(32)]))
     return x[np.r_[True, (x[1:] != 32) | (x[:-1] != 32)]]
 
@@ -57,7 +62,8 @@ def _pad_hash(n: int) -> np.ndarray:
 @dataclass
 class Model:
     """langs; for each order the sorted gram hashes with ``a`` = discounted probability, and the
-    sorted context hashes with ``b`` = weight of the lower order; ``unseen``: the lowest order."""
+    sorted context hashes with ``b`` = weight of the lower order: what the grams that were kept leave
+    of one. So the shares of all symbols after a context sum to one, however many grams are kept."""
 
     langs: list[str]
     grams: list[np.ndarray]
@@ -105,7 +111,8 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
     """A model of the languages in ``labelled`` (doc_id, text, lang); None without any.
-    Rows with null lang are no examples. The driver holds only the bounded model."""
+    Rows with null lang are no examples. The driver holds only the bounded model. The limits of
+    rejection come from documents that were not counted; a language without such has none."""
     python_batches(labelled.sparkSession)
     labelled = labelled.where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
     n_docs = labelled.groupBy("lang").count().orderBy("lang").collect()
@@ -113,10 +120,12 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
         return None
     # salt keeps this choice apart from others by doc_id
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("language sample")), F.lit(1 << 30))
-    rows = [(r["lang"], int((1 << 30) * min(1.0, sample_docs / r["count"]))) for r in n_docs]
-    below = labelled.sparkSession.createDataFrame(rows, "lang string, _below long")
-    sample = labelled.join(F.broadcast(below), "lang").where(draw < F.col("_below")).select("doc_id", "text", "lang")
-    counts = gram_counts(sample)
+    rows = [(r["lang"], int((1 << 30) * min(1.0, sample_docs / r["count"])), r["count"] >= 10 * CALIBRATION) for r in n_docs]
+    below = labelled.sparkSession.createDataFrame(rows, "lang string, _below long, many boolean")
+    sample = labelled.join(F.broadcast(below), "lang").where(draw < F.col("_below")).select("doc_id", "text", "lang", "many")
+    aside = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("calibration")), F.lit(CALIBRATION)) == 0
+    aside = aside & F.col("many")  # a few documents are all needed for counts
+    counts = gram_counts(sample.where(~aside))
     langs = sorted(r["lang"] for r in n_docs)
     pdf = counts.toPandas()
     model = Model(langs, [np.zeros(0, np.uint64)], [np.zeros((0, len(langs)))], [np.zeros(0, np.uint64)], [np.ones((0, len(langs)))], np.full(len(langs), np.inf))
@@ -127,11 +136,11 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
             own = pdf[(pdf.n == n) & (pdf.lang == lang)]
             if n < ORDER:  # continuation counts: distinct longer grams that end in this one
                 own = own.assign(c=own.gram.map(higher[higher.lang == lang].groupby("short").gram.nunique()).fillna(1).astype(int))
-            by = own.groupby("ctx").c.agg(["sum", "size"])
-            total = own.ctx.map(by["sum"])
+            total = own.groupby("ctx").c.transform("sum")
             own = own.assign(a=np.maximum(own.c - DISCOUNT, 0) / total).sort_values(["c", "gram"], ascending=False)[:MAX_GRAMS]
             grams.append((k, own.gram.to_numpy().astype(np.int64).view(np.uint64), own.a.to_numpy()))
-            contexts.append((k, by.index.to_numpy().astype(np.int64).view(np.uint64), (DISCOUNT * by["size"] / by["sum"]).to_numpy()))
+            rest = (1 - own.groupby("ctx").a.sum()).clip(lower=0)  # discounts and grams that were not kept
+            contexts.append((k, rest.index.to_numpy().astype(np.int64).view(np.uint64), rest.to_numpy()))
         for keys, values, parts, default in ((model.grams, model.a, grams, 0.0), (model.contexts, model.b, contexts, 1.0)):
             every = np.unique(np.concatenate([g for _, g, _ in parts]))
             table = np.full((len(every), len(langs)), default)
@@ -139,7 +148,7 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
                 table[np.searchsorted(every, g), k] = v
             keys.append(every)
             values.append(table)
-    scored = entropies(sample.select("doc_id", "text", "lang"), model, ["lang"])
+    scored = entropies(sample.where(aside).select("doc_id", "text", "lang"), model, ["lang"])
     own = F.get("bits", F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1)
     limits = {r["lang"]: r["q"] for r in scored.where("letters >= 50").groupBy("lang").agg(F.percentile_approx(own, REJECT_QUANTILE, 10_000).alias("q")).collect()}
     model.limits = np.array([limits.get(x, np.inf) for x in langs]) + REJECT_MARGIN

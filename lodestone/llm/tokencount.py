@@ -3,19 +3,22 @@
 A document is a row of pre-tokens in leaves of a segment tree; each node holds the characters and
 tokens below it. An edit re-splits the text from the last pre-token it can influence until the
 boundaries are the old ones again, encodes only the pre-tokens made new there, and corrects the
-sums on the path to the root.
+sums on the path to the root. Trees are kept in a table (text, lengths and counts of the pre-tokens),
+so later edits pay for themselves only.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from itertools import accumulate, chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.base import map_batches, python_batches, text_of
+from lodestone.llm.base import cut, map_batches, python_batches, text_of
 from lodestone.llm.bpe import Codec, load_codec
 
 #: Pre-tokens of a leaf when the tree is built, and those at which the tree is built anew.
@@ -37,6 +40,18 @@ class TokenTree:
         self.codec, self.encoded = codec, 0
         self._build([(p, self._count(p)) for p in codec.split(text)])
 
+    @classmethod
+    def kept(cls, text: str, lens: Sequence[int], counts: Sequence[int], codec: Codec) -> TokenTree:
+        """The tree of a row of the table: nothing is split or encoded."""
+        out = cls.__new__(cls)
+        out.codec, out.encoded = codec, 0
+        ends = list(accumulate(lens))
+        out._build([(text[e - n : e], c) for n, e, c in zip(lens, ends, counts, strict=True)])
+        return out
+
+    def pieces(self) -> list[tuple[str, int]]:
+        return [x for leaf in self.leaves for x in leaf]
+
     def _count(self, piece: str) -> int:
         self.encoded += 1
         return len(self.codec.pieces[piece])
@@ -168,33 +183,70 @@ def redactions(text: str) -> list[Edit]:
     return found[::-1]
 
 
-def count_after_edits(docs: DataFrame, path: str, pattern: str, edits_of: Callable[[str], list[Edit]] | None = redactions, text: str = "text") -> DataFrame:
-    """doc_id, n_tokens_before, n_edits, n_tokens, n_pretokens, n_encoded for each row.
+STATE = "doc_id long, text string, lens array<int>, counts array<int>"
+
 
-    Edits come from ``edits_of(text)`` or, where that is None, from the column ``edits
-    array<struct<start:int,length:int,insert:string>>``, applied in order. Null text is empty, null
-    edits are none. ``n_encoded`` counts the pre-tokens encoded after the first count."""
+def _lists(values: list[list[int]]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.fromiter(chain.from_iterable(values), np.int32, int(ends[-1]))))
+
+
+def keep(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """doc_id, text, lens, counts: the trees' leaves, for each row. Null text is empty."""
     python_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = load_codec(path, pattern)
-        out = []
-        given = batch.column(2).to_pylist() if edits_of is None else [None] * batch.num_rows
-        for t, listed in zip(batch.column(1), given, strict=True):
-            s = t.as_py()
-            edits = edits_of(s) if edits_of is not None else [(e["start"], e["length"], e["insert"] or "") for e in listed or []]
-            if not edits:
-                pieces = codec.split(s)
-                n = sum(map(len, map(codec.pieces.__getitem__, pieces)))
-                out.append((n, 0, n, len(pieces), 0))
-                continue
-            tree = TokenTree(s, codec)
-            before, seen = tree.n_tokens, tree.encoded
-            for e in edits:
-                tree.edit(*e)
-            out.append((before, len(edits), tree.n_tokens, sum(map(len, tree.leaves)), tree.encoded - seen))
-        cols = [batch.column(0), *(pa.array([r[k] for r in out], pa.int64()) for k in range(5))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_tokens_before", "n_edits", "n_tokens", "n_pretokens", "n_encoded"])
-
-    columns = [F.col("doc_id"), text_of(docs, text).alias("text"), *([F.col("edits")] if edits_of is None else [])]
-    return map_batches(docs.select(*columns), run, "doc_id long, n_tokens_before long, n_edits long, n_tokens long, n_pretokens long, n_encoded long")
+        split = [codec.split(t.as_py()) for t in batch.column(1)]
+        counts = [[len(codec.pieces[p]) for p in pieces] for pieces in split]
+        yield pa.RecordBatch.from_arrays([*batch.columns, _lists([list(map(len, p)) for p in split]), _lists(counts)], names=["doc_id", "text", "lens", "counts"])
+
+    return map_batches(docs.select("doc_id", text_of(docs, text).alias("text")), run, STATE)
+
+
+def update(state: DataFrame, path: str, pattern: str, edits: DataFrame | None = None, edits_of: Callable[[str], list[Edit]] = redactions) -> DataFrame:
+    """The table after edits, with n_tokens_before, n_edits, n_tokens, n_encoded for each row.
+
+    ``edits``: doc_id and edits array<struct<start:int,length:int,insert:string>>, applied in order, one
+    row a document; without it they are ``edits_of(text)``. Null or no edits leave a row as it is;
+    ``n_encoded`` counts the pre-tokens encoded for the edits."""
+    python_batches(state.sparkSession)
+    listed_apart = edits is not None
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        codec = load_codec(path, pattern)
+        texts, lens, counts, out = batch.column(1).to_pylist(), batch.column(2), batch.column(3), []
+        given = batch.column(4).to_pylist() if listed_apart else [None] * batch.num_rows
+        new_lens, new_counts = [], []
+        for k, (t, listed) in enumerate(zip(texts, given, strict=True)):
+            own = [(e["start"], e["length"], e["insert"] or "") for e in listed or []] if listed_apart else edits_of(t)
+            n, c = lens[k].values.to_numpy(), counts[k].values.to_numpy()
+            before, seen = int(c.sum()), 0
+            if own:
+                tree = TokenTree.kept(t, n.tolist(), c.tolist(), codec)
+                for e in own:
+                    tree.edit(*e)
+                texts[k], seen = tree.text(), tree.encoded
+                pieces = tree.pieces()
+                n, c = [len(p) for p, _ in pieces], [x for _, x in pieces]
+            new_lens.append(n)
+            new_counts.append(c)
+            out.append((before, len(own), int(sum(c)) if own else before, seen))
+        cols = [batch.column(0), pa.array(texts, pa.string()), _lists(new_lens), _lists(new_counts), *(pa.array([r[i] for r in out], pa.int64()) for i in range(4))]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "lens", "counts", "n_tokens_before", "n_edits", "n_tokens", "n_encoded"])
+
+    rows = state.select("doc_id", "text", "lens", "counts")
+    if edits is not None:
+        rows = rows.join(edits.select("doc_id", "edits"), "doc_id", "left")
+    return map_batches(rows, run, f"{STATE}, n_tokens_before long, n_edits long, n_tokens long, n_encoded long")
+
+
+def count_after_edits(docs: DataFrame, path: str, pattern: str, edits_of: Callable[[str], list[Edit]] | None = redactions, text: str = "text") -> DataFrame:
+    """doc_id, n_tokens_before, n_edits, n_tokens, n_pretokens, n_encoded for each row.
+
+    The trees are written to the shared folder and edited from there. Edits come from
+    ``edits_of(text)`` or, where that is None, from the column ``edits``, by doc_id. Null text is
+    empty, null edits are none; other columns are ignored."""
+    state = cut(keep(docs, path, pattern, text), "token-trees", compression="zstd")
+    done = update(state, path, pattern, docs.select("doc_id", "edits").dropDuplicates(["doc_id"]) if edits_of is None else None, edits_of or redactions)
+    return done.select("doc_id", "n_tokens_before", "n_edits", "n_tokens", F.size("lens").cast("long").alias("n_pretokens"), "n_encoded")

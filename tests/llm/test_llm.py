@@ -572,6 +572,50 @@ def test_kneser_ney_sums_to_one(spark):
     assert abs(total - 1) < 1e-4
 
 
+def test_kneser_ney_sums_to_one_with_few_grams(spark, monkeypatch):
+    """What a bound on the grams leaves out goes to the lower orders, in every language."""
+    monkeypatch.setattr(langid, "MAX_GRAMS", 60)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs, 40)
+    known = sorted({int(v) for r in docs.select("text").limit(60).collect() for v in langid.symbols(r.text or "")} | {ord("ж")})
+    for before in ("the ", "de l", "zzz", ""):
+        x = langid.symbols(before)
+        total = np.zeros(len(model.langs))
+        uniform = np.full(len(model.langs), 1.0 / (len(model.grams[1]) + 1))
+        seen = 0
+        for c in known:
+            h = langid.gram_hashes(np.append(x, np.uint64(c)))
+            ctx = [None, *(np.array([h[n - 1][-2]]) for n in range(1, langid.ORDER + 1))]
+            hit = h[1][-1] in model.grams[1]
+            seen += hit
+            total += 2 ** model.log2p([g[-1:] for g in h], ctx)[0] if hit else 0
+        # symbols of the model, and one for all others: each gets the uniform part through all orders
+        h = langid.gram_hashes(np.append(x, np.uint64(0x10FFFF)))
+        ctx = [None, *(np.array([h[n - 1][-2]]) for n in range(1, langid.ORDER + 1))]
+        other = 2 ** model.log2p([g[-1:] for g in h], ctx)[0]
+        assert seen == len(model.grams[1]) and np.allclose(total + other, 1, atol=1e-6), (before, total + other, uniform)
+
+
+def test_token_trees_are_kept(spark, odd, none):
+    """Edits on the kept table, twice, against encoding anew; rows without edits stay."""
+    rng = random.Random(2)
+    state = tokencount.keep(odd, PATH, PATTERN)
+    texts = {r.doc_id: r.text for r in state.collect()}
+    for turn in range(2):
+        listed = [(i, [(rng.randint(0, 80), rng.randint(0, 9), rng.choice(["", " x", "日本", "\n\n1234 "])) for _ in range(rng.randint(0, 4))]) for i in texts if i % 3]
+        edits = spark.createDataFrame(listed, "doc_id long, edits array<struct<start:int,length:int,insert:string>>")
+        state = spark.createDataFrame(tokencount.update(state, PATH, PATTERN, edits).collect(), f"{tokencount.STATE}, n_tokens_before long, n_edits long, n_tokens long, n_encoded long")
+        for i, own in listed:
+            for start, length, insert in own:
+                at = min(start, len(texts[i]))
+                texts[i] = texts[i][:at] + insert + texts[i][min(len(texts[i]), at + length) :]
+        for r in state.collect():
+            pieces = codec().split(texts[r.doc_id])
+            assert r.text == texts[r.doc_id] and r.lens == [len(p) for p in pieces] and r.counts == [len(codec().encode(p)) for p in pieces], turn
+            assert r.n_tokens == sum(r.counts) and (r.doc_id % 3 or r.n_encoded == 0)
+    assert tokencount.keep(none, PATH, PATTERN).count() == 0
+
+
 def test_url_rules(spark, none):
     pages = [
         (1, "http://a.example.com/en/7x", None), (2, "https://Example.NET/de/81?q", ""), (3, "https://example.net/de/9", ""), (4, "http://x.org/es/1", ""), (5, None, "x"), (6, "no scheme", ""),

@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, components, decontam, langid, linededup, maxent, neardup, quality, queries, suffixdedup, tokencount, urlfilter
+from lodestone.llm import bpe, components, decontam, induced, langid, linededup, maxent, neardup, quality, queries, suffixdedup, tokencount, urlfilter
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -299,6 +299,30 @@ def test_suffix_dedup(spark, odd, none, monkeypatch):
     assert suffixdedup.digests(none).count() == 0
 
 
+def test_induced_sorting():
+    """Queues that spill, suffixes in order, and the spans that brute force finds."""
+    rng = random.Random(3)
+    for limit in (4, 1 << 16):
+        queue, items = induced.DiskQueue(limit), [(rng.randint(0, 30), k) for k in range(200)]
+        for x in items:
+            queue.push(x)
+        assert [queue.pop() for _ in items] == sorted(items) and queue.peek() is None
+        for n in (0, 1, 2, 7, 60, 300):
+            text = [rng.randint(0, 2) for _ in range(n)]
+            assert induced.suffix_array(text, limit) == sorted(range(n), key=lambda i: text[i:])
+        pieces = [bytes(rng.choice(b"ab c") for _ in range(rng.randint(3, 20))) for _ in range(8)]
+        docs = [(rng.randint(0, 9), b"".join(rng.choice(pieces) for _ in range(rng.randint(0, 6)))) for _ in range(14)]
+        width, want = 9, {}
+        for k, (d, body) in enumerate(docs):
+            gone = bytearray(len(body))
+            for i in range(len(body) - width + 1):
+                if any(e < d and body[i : i + width] in other for e, other in docs):
+                    gone[i : i + width] = b"\1" * width
+            if any(gone):
+                want[k] = [m.span() for m in re.finditer(b"\1+", bytes(gone))]
+        assert induced.repeated(docs, width, limit) == want and want
+
+
 @pytest.mark.parametrize("threshold", [0.7, 0.8, 0.85, 0.9])
 def test_chance_of_missing_a_pair(threshold):
     depth, trees = neardup.depth_and_trees(threshold)

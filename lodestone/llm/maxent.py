@@ -38,9 +38,9 @@ END = np.uint64(0)
 #: the gradients of whole blocks, so partitions add up in the first rows only.
 FIXED, BLOCKS = CLASSES + 2, 64
 #: Cells of a partition that makes gradients, and contexts whose classes are computed at once.
-PART_CELLS, CHUNK = 1_000_000, 50_000
+PART_CELLS, CHUNK = 500_000, 8_000
 #: Tokens gathered before counts are passed on.
-FLUSH = 2_000_000
+FLUSH = 3_000_000
 
 
 def tokens(text: str) -> np.ndarray:
@@ -214,7 +214,8 @@ def gradient(m: Model, cell: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     g = [np.zeros(s, np.float32) for s in (m.w.shape, m.w.shape, m.u.shape, m.u.shape)]
     klass, width = m.vocab.klass, m.vocab.words + 1
     order = np.argsort(cell, kind="stable")
-    cell, c = cell[order], c[order].astype(np.float64)
+    cell, c = cell[order], c[order]
+    del order
     split = int(np.searchsorted(cell, 0))
     rest, y, count = cell[split:] // CLASSES, cell[split:] % CLASSES, c[split:]
     ctx, first = np.unique(rest, return_index=True)
@@ -222,7 +223,7 @@ def gradient(m: Model, cell: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     for low in range(0, len(ctx), CHUNK):
         own = ctx[low : low + CHUNK]
         one, two = own // (CLASSES + 1), own % (CLASSES + 1)
-        p = np.exp(m.class_logp(one, two)).astype(np.float64)
+        p = np.exp(m.class_logp(one, two))
         a, b = first[low], ends[min(low + CHUNK, len(ctx)) - 1]
         where = np.repeat(np.arange(len(own)), ends[low : low + CHUNK] - first[low : low + CHUNK])
         seen = np.zeros_like(p)
@@ -259,6 +260,15 @@ def parts_of_gradient(m: Model, cell: np.ndarray, c: np.ndarray, mine: np.ndarra
         yield "u", k + 1, np.stack((g[2][k + 1], g[3][k + 1])).tobytes()
 
 
+def moved(old: np.ndarray, slope: np.ndarray, bend: np.ndarray, rate: float) -> np.ndarray:
+    """Weights after a bounded step along the slope over the curvature; the slope's memory is used."""
+    slope /= bend + 1.0
+    np.clip(slope, -3, 3, out=slope)
+    slope *= rate
+    slope += old
+    return np.clip(slope, -30, 30, out=slope)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """part, cell, c: rows sorted by part as packed arrays of up to PART_CELLS cells."""
     part, held, size = None, [], 0
@@ -322,7 +332,7 @@ def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
 
         rows = map_batches(cells, run, "which string, k int, g binary").collect()
         now.destroy()
-        g = [np.zeros(s) for s in (model.w.shape, model.w.shape, model.u.shape, model.u.shape)]
+        g = [np.zeros(s, np.float32) for s in (model.w.shape, model.w.shape, model.u.shape, model.u.shape)]
         for r in rows:
             x = np.frombuffer(r["g"], np.float32).reshape(2, -1)
             a, b = (g[2], g[3]) if r["which"] == "u" else (g[0], g[1])
@@ -332,7 +342,8 @@ def fit(train: DataFrame, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
         # every context has one class before: their rows add up to the bias
         g[0][0], g[1][0], g[2][0], g[3][0] = g[0][1:FIXED].sum(0), g[1][1:FIXED].sum(0), g[2][1:].sum(0), g[3][1:].sum(0)
         # each position moves four rows of w and two of u at once: smaller steps keep the sum stable
-        model = Model(vocab, *(np.clip(old + rate * np.clip(a / (b + 1.0), -3, 3), -30, 30).astype(np.float32) for old, a, b, rate in ((model.w, g[0], g[1], 0.28), (model.u, g[2], g[3], 0.5))))
+        model = Model(vocab, moved(model.w, g[0], g[1], 0.28), moved(model.u, g[2], g[3], 0.5))
+        del rows, g
     return model, counts
 
 

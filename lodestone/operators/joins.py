@@ -114,13 +114,17 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def near_statements(items: DataFrame, ratio: float = 0.75, least: int = 8) -> DataFrame:
+def near_statements(items: DataFrame, ratio: float = 0.75, least: int = 8, children: DataFrame | None = None) -> DataFrame:
     """Pairs of statements of one type with a matching ratio of at least ``ratio``: items (id,
-    type, statement, sources). White space and closing marks are ignored; shared sources exclude.
+    type, statement, sources, and status if it is there: deprecated ones do not count). White space
+    and closing marks are ignored; shared sources exclude, and so does a common ordered parent
+    (children: parent, id).
 
     Blocks: two texts with such a ratio share most characters, so they fall in the same or the
     next length band; within it a shared rare word pair is not required."""
     t = F.regexp_replace(F.regexp_replace("statement", "[\\s\\u3000]+", ""), "[。．.]+$", "")
+    if "status" in items.columns:
+        items = items.where(F.coalesce("status", F.lit("")) != "deprecated")
     n = items.withColumn("_t", t).withColumn("_n", F.length("_t")).where(F.col("_n") >= least)
     # the ratio is at most 2 * shorter / (shorter + longer): lengths differ by a bounded factor
     factor = (2 - ratio) / ratio
@@ -129,9 +133,39 @@ def near_statements(items: DataFrame, ratio: float = 0.75, least: int = 8) -> Da
     right = n.select(F.col("id").alias("b"), "type", band.alias("_band"), F.col("_t").alias("_tb"), F.col("_n").alias("_nb"), F.col("sources").alias("_sb"))
     pairs = left.join(right, ["type", "_band"]).where((F.col("a") < F.col("b")) & (F.least("_na", "_nb") >= ratio * F.greatest("_na", "_nb")))
     pairs = pairs.where((F.size("_sa") > 0) & (F.size("_sb") > 0) & ~F.coalesce(F.arrays_overlap("_sa", "_sb"), F.lit(False)))
+    if children is not None:
+        a, b = (children.select("parent", F.col("id").alias(c)) for c in "ab")
+        pairs = pairs.join(a.join(b, "parent").select("a", "b").distinct(), ["a", "b"], "left_anti")
     return pairs.withColumn("ratio", similarity("_ta", "_tb")).where(F.col("ratio") >= ratio).select("type", "a", "b", "ratio")
 
 
+#: Words of the run that a contained text is looked up by, and the most short items that are compared
+#: with every document.
+RUN, SHORT_ITEMS = 6, 10_000
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id of documents (doc_id, text) that hold an item (item_id, item) verbatim.
+
+    An item of more than RUN + 1 words is looked up by the RUN words after its first one: they are
+    whole words of the document too, wherever the item begins. Shorter items are bounded in number
+    and are compared with every document."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    rows = items.where("item is not null").select("item_id", "item", words("item").alias("w"))
+    long_ = rows.where(F.size("w") > RUN + 1).select("item_id", "item", F.xxhash64(F.array_join(F.slice("w", 2, RUN), " ")).alias("run"))
+    d = docs.where("text is not null").withColumn("w", words("text"))
+    runs = F.when(F.size("w") >= RUN, F.transform(F.sequence(F.lit(1), F.size("w") - RUN + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, RUN), " "))))
+    hits = d.select("doc_id", F.explode(F.array_distinct(runs)).alias("run")).join(long_.select("item_id", "run"), "run").select("doc_id", "item_id").distinct()
+    found = hits.join(long_.select("item_id", "item"), "item_id").join(docs, "doc_id").where(F.contains("text", F.col("item"))).select("doc_id", "item_id")
+    short = rows.where(F.size("w") <= RUN + 1).select("item_id", "item")
+    n = short.limit(SHORT_ITEMS + 1).count()
+    if n > SHORT_ITEMS:
+        raise ValueError(f"more than {SHORT_ITEMS} items of {RUN + 1} words or fewer")
+    if n:
+        found = found.union(docs.join(F.broadcast(short), F.contains(F.col("text"), F.col("item"))).select("doc_id", "item_id"))
+    return found
+
+
 def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rn = 1").drop("_rn")

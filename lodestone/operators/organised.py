@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.build import TARGET, filled, orient
-from lodestone.operators.checks import finding
+from lodestone.operators.checks import coverage_gate, finding
 
 #: Kinds of a declaration out of scope, slots that a draft leaves, the length of a
 #: drafted statement, how often a heading must repeat, and the shape of anchors in code.
@@ -231,3 +231,29 @@ def metrics(records: DataFrame, anchors: DataFrame, scope: DataFrame) -> DataFra
 def subset(findings: DataFrame, path: str) -> DataFrame:
     """The findings of one file: those whose target lies in it."""
     return findings.where((F.col("target") == path) | F.col("target").startswith(f"{path}#"))
+
+
+def gate(records: DataFrame, refs: DataFrame, anchors: DataFrame, scope: DataFrame, ledger: DataFrame, new: DataFrame, assign: DataFrame, facts: DataFrame, attributes: DataFrame, endpoints: DataFrame, needed: DataFrame) -> DataFrame:
+    """All findings of a round in one table: coverage, shape, vocabulary, concepts, pairs, requirements,
+    wording and images. With ``metrics`` this is the report of a gate; ``subset`` is that of one file."""
+    types = item_types(records, ledger, facts)
+    parts = [
+        coverage_gate(anchors, records, scope),
+        shape_findings(records, scope),
+        vocabulary_findings(records, refs, facts, attributes, endpoints),
+        concept_findings(records, refs, ledger, new, assign, facts),
+        pair_findings(records, refs, types, endpoints),
+        requirement_findings(records, refs, types, facts, needed, attributes, endpoints),
+        wording_findings(records, records.select("file").limit(0)),
+        image_findings(scope, anchors),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def freeze(files: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """The manifest of a frozen round: file, hash (first 12 digits) and the amendments (file, reason) of
+    the manifest before, which stay."""
+    pinned = files.select("file", F.substring(F.sha2("content", 256), 1, 12).alias("hash"))
+    if previous is None:
+        return pinned.withColumn("amendment", F.lit(None).cast("string"))
+    return pinned.join(previous.select("file", "amendment"), "file", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text, vectors
-from lodestone.operators import predicates, search
+from lodestone.operators import joins, predicates, search
 from lodestone.queries.registry import query
 
 _COS = "coalesce(list_inner_product(a.embedding::double[], b.embedding::double[]) / nullif(sqrt(list_inner_product(a.embedding::double[], a.embedding::double[])) * sqrt(list_inner_product(b.embedding::double[], b.embedding::double[])), 0), 0)"
@@ -131,10 +131,5 @@ def reingest_decision(t, spark):
 
 @query("select doc_id, item_id from documents, benchmark where contains(documents.text, benchmark.text)")
 def benchmark_containment(t, spark):
-    """Documents that hold an item verbatim. Items go to the documents in blocks of a stated size:
-    the test set is bounded and its count is checked."""
-    items = t("benchmark")
-    if items.count() > 100_000:
-        raise ValueError("too many items for a containment scan; use the llm operator")
-    d = t("documents").select("doc_id", "text")
-    return d.join(F.broadcast(items.withColumnRenamed("text", "item")), F.contains(F.col("text"), F.col("item"))).select("doc_id", "item_id")
+    """Documents that hold an item verbatim: joined on a run of words inside the item, then compared."""
+    return joins.contained(t("documents").select("doc_id", "text"), t("benchmark").select("item_id", F.col("text").alias("item")))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.operators import build, organised
-from lodestone.queries.registry import query
+from lodestone.plans import shapes
+from lodestone.queries.registry import ORACLE, query
+from lodestone.streaming import metering
 
 FACTS = [("account-fact", "account", "acc"), ("person-fact", "person", "per"), ("method-fact", "method", "met"), ("module-fact", "module", "mod"), ("issue-fact", "open-issue", "iss")]
 #: owner, name, kind, multi, append, values, extensible, label, column
@@ -397,3 +399,58 @@ def gate_metrics(t, spark):
     anchors = t("orders").where(k % 3 != 0).select(F.concat(F.lit("f"), k % 40).alias("file"), F.concat(F.lit("a"), k).alias("anchor"))
     anchors = anchors.union(spark.range(45).select(F.concat(F.lit("f"), "id"), F.lit("extra")))
     return organised.metrics(_records(t), anchors, _scope(t))
+
+
+def _counted(*names: str) -> str:
+    return " union all ".join(f"select code, level, target from ({ORACLE[n]})" for n in names)
+
+
+_GATE = _counted("gate_vocabulary", "gate_pairs", "gate_requirements")
+
+
+@query(f"select code, level, count(*)::bigint as n from ({_GATE} union all select code, level, target from ({ORACLE['gate_concepts']}) where code <> 'G002' or target like 'f%') where code not in ('G001', 'G004') group by 1, 2")
+def gate_report(t, spark):
+    """The whole gate in one report, counted by code."""
+    facts, attributes, ends = _words(spark)
+    new, assign = _proposal(t)
+    records = _records(t).withColumns({"extra": F.array().cast(_STRINGS), "refs": F.array().cast("array<struct<rel:string,to:string>>")})
+    anchors = records.select("file", "anchor", F.array().cast(_STRINGS).alias("images"))
+    scope = anchors.select("file", "anchor", F.lit("対象外").alias("kind"), F.lit("why").alias("reason")).limit(0)
+    needed = spark.createDataFrame([("person", "owns")], "item_type string, rel string")
+    out = organised.gate(records, _refs(t), anchors, scope, _first(_ledger(t)), new, assign, facts, attributes, ends, needed)
+    return out.where("code not in ('G006')").groupBy("code", "level").agg(F.count("*").alias("n"))
+
+
+@query("""select 'f' || page_id as file, substr(sha256(html), 1, 12) as hash, case when page_id % 5 = 0 then 'why ' || page_id end as amendment from pages""")
+def frozen_manifest(t, spark):
+    """Hashes of a frozen round, with the amendments of the manifest before."""
+    files = t("pages").select(F.concat(F.lit("f"), "page_id").alias("file"), F.col("html").alias("content"), "page_id")
+    before = files.where("page_id % 5 = 0").select("file", F.concat(F.lit("why "), "page_id").alias("amendment"))
+    return organised.freeze(files, before)
+
+
+@query("""with m as (select 'p' || p_partkey as path, sha256(p_name) as hash, 'r00' || (1 + p_partkey % 3) as round from part where p_partkey % 4 <> 0), p as (select 'p' || p_partkey as path, sha256(p_name || case when p_partkey % 6 = 0 then '!' else '' end) as hash from part)
+ select p.path, p.hash, 'r004' as round from p left join m using (path) where m.hash is distinct from p.hash""")
+def next_rounds(t, spark):
+    """Sources that go to a new round."""
+    p = F.col("p_partkey")
+    rows = t("part").select(p.alias("k"), F.concat(F.lit("p"), p).alias("path"), F.sha2("p_name", 256).alias("was"), F.sha2(F.concat("p_name", F.when(p % 6 == 0, "!").otherwise("")), 256).alias("now"))
+    manifest = rows.where("k % 4 <> 0").select("path", F.col("was").alias("hash"), F.concat(F.lit("r00"), 1 + F.col("k") % 3).alias("round"))
+    return metering.next_rounds(manifest, rows.select("path", F.col("now").alias("hash")))
+
+
+SHAPE = {
+    "code": "G000", "known": ["k", "name", "list", "kind"], "unknown": "G008",
+    "required": [{"keys": ["k"], "code": "G006"}, {"keys": ["name", "kind"], "together": True, "code": "G006", "level": "warn"}],
+    "keys": {"kind": {"values": ["a", "b"], "code": "G011"}}, "kinds": {"list": {"kind": "list", "code": "G000"}},
+}
+
+
+@query("""with e as (select event_id as i, event_id % 12 as r from events)
+ select 'G000' as code, 'error' as level, i as target from e where r in (1, 2) union all select 'G006', 'error', i from e where r = 3 union all select 'G006', 'warn', i from e where r in (4, 5)
+ union all select 'G011', 'error', i from e where r in (5, 6) union all select 'G000', 'error', i from e where r = 7 union all select 'G008', 'warn', i from e where r = 8""")
+def declared_shapes(t, spark):
+    """Records against a declared shape."""
+    r = F.col("event_id") % 12
+    body = F.when(r == 1, "[1]").when(r == 2, "{broken").when(r == 3, '{"k": ""}').when(r == 4, '{"k": 1, "name": "x"}').when(r == 5, '{"k": 1, "kind": "z"}').when(r == 6, '{"k": 1, "name": "x", "kind": "z"}').when(r == 7, '{"k": 1, "list": {"x": 1}}').when(r == 8, '{"k": 1, "memo": 2}').when(r == 9, '{"k": 1, "list": [1], "name": "x", "kind": "a"}').otherwise(F.col("props"))
+    return shapes.shape_findings(t("events").select(F.col("event_id").alias("target"), body.alias("body")), SHAPE).select("code", "level", "target")

@@ -74,9 +74,11 @@ def snippet(t, spark):
 
 @query()
 def near_statement_pairs(t, spark):
-    """Benchmark statements that say nearly the same (matching ratio, tested on a fixture)."""
-    d = t("benchmark").select(F.col("item_id").alias("id"), F.lit("item").alias("type"), F.col("text").alias("statement"), F.array(F.col("item_id").cast("string")).alias("sources"))
-    return joins.near_statements(d)
+    """Benchmark statements and reworded ones that say nearly the same (tested on a fixture)."""
+    d = t("benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("statement"))
+    again = d.select((F.col("id") + 1_000_000).alias("id"), F.regexp_replace("statement", r"\b(the|of|and|de|la|der|die) ", "").alias("statement"))
+    both = d.union(again).select("id", F.concat(F.lit("type"), F.col("id") % 10).alias("type"), "statement", F.array(F.col("id").cast("string")).alias("sources"), F.when(F.col("id") % 17 == 0, "deprecated").otherwise("review").alias("status"))
+    return joins.near_statements(both)
 
 
 @query()

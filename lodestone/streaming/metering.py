@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -63,17 +63,32 @@ def token_bucket_batch(events: DataFrame, rate: float, cap: float, cost: float =
     return d.repartition(n, "tenant").sortWithinPartitions("tenant", "t", "k").mapInPandas(run, "k long, tenant long, accepted boolean")
 
 
+def stored(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has a table, in any store that Spark can reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return fs.exists(place) and any(s.getPath().getName().endswith(".parquet") for s in fs.listStatus(place))
+
+
+def next_rounds(manifest: DataFrame, present: DataFrame) -> DataFrame:
+    """path, hash, round of sources (path, hash) that are new or changed since their last round
+    (manifest: path, hash, round): each goes to the round after the latest of all; frozen rounds are
+    never written again."""
+    last = manifest.groupBy("path").agg(F.max_by("hash", "round").alias("_h"))
+    number = F.coalesce(F.max(F.substring("round", 2, 9).cast("int")), F.lit(0)) + 1
+    following = manifest.agg(F.concat(F.lit("r"), F.lpad(number.cast("string"), 3, "0")).alias("round"))
+    changed = present.join(last, "path", "left").where(~F.col("hash").eqNullSafe(F.col("_h"))).drop("_h")
+    return changed.join(F.broadcast(following))  # one row
+
+
 def ingest_once(stream: DataFrame, path: str, checkpoint: str, key: str = "doc_id"):
     """Append documents whose (key, hash) is not stored yet; a repeated batch changes nothing."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         hashed = batch.withColumn("h", F.sha2("text", 256)).dropDuplicates([key, "h"])
-        try:
+        if stored(spark, path):  # the first batch has nothing to compare with
             hashed = hashed.join(spark.read.parquet(path).select(key, "h"), [key, "h"], "left_anti")
-        except Exception as e:  # the first batch has nothing to read
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         hashed.write.mode("append").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -80,4 +80,17 @@ judged as (select lines.*, keys.k is not null and doc_id <> m as gone from lines
 select doc_id, count(*)::bigint as n_lines, (count(*) filter (where gone))::bigint as n_dropped,
   sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from judged group by doc_id""",
+    # canonical links and redirects with whole urls in double quotes, as web pages write them; a
+    # block reaches every url that links lead to, in either direction
+    "op5_url_filters": r"""
+with recursive rules(verdict, rule, host, start) as (values ('block', 'com/en/', 'com', '/en/'), ('allow', 'example.com/en/7', 'example.com', '/en/7'), ('allow', 'net/de/', 'net', '/de/'), ('block', 'example.net/de/8', 'example.net', '/de/8'), ('block', 'org/es/', 'org', '/es/')),
+links as (select url, unnest(regexp_extract_all(html, '<link rel="canonical" href="([^"]+)"', 1) || regexp_extract_all(html, '<meta http-equiv="refresh" content="[0-9]+; *url=([^"]+)"', 1)) as target from pages where url is not null),
+urls as (select url from pages union select target from links),
+parts as (select url, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1), '') as path, coalesce(regexp_extract(url, '^.*?://[^?#]*[?]([^#]*)', 1), '') as query from urls),
+nodes as (select *, case when host <> '' then regexp_replace(host, ':(80|443)$', '') || case when path = '' then '/' else path end || coalesce('?' || nullif(array_to_string(list_filter(string_split(query, '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[a-z]+|gclid|fbclid|dclid|msclkid|mc_cid|mc_eid|igshid|yclid|_ga)(=|$)')), '&'), ''), '') end as node from parts),
+judged as (select n.*, (select arg_max(r.rule, length(r.rule)) from rules r where (n.host = r.host or n.host like '%.' || r.host) and starts_with(n.path, r.start)) as rule from nodes n),
+edges as (select a.node as x, b.node as y from links l join nodes a on a.url = l.url join nodes b on b.url = l.target where a.node <> b.node),
+either as (select x, y from edges union select y, x from edges),
+bad(node) as (select distinct node from judged j join rules r on r.rule = j.rule where r.verdict = 'block' and node in (select x from either) union select y from bad join either on x = bad.node)
+select page_id, host, path, j.rule, coalesce((select verdict from rules r where r.rule = j.rule), case when node in (select node from bad) then 'block' else 'allow' end) as verdict from pages p join judged j on j.url is not distinct from p.url""",
 }

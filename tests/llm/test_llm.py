@@ -706,17 +706,60 @@ def test_url_components_against_brute_force(spark):
 
 
 def test_pipeline_stages(spark):
+    """Each stage against brute force on what the one before it kept."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(90)
+    rows = [tuple(r) for r in base.collect()]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("length(text) > 60").orderBy("item_id").first().text
+    words = rows[0][1].split()
+    again = " ".join([*words[:-1], "changed"]) if len(words) > 60 else rows[0][1]
+    line = "a line that is longer than twenty letters"
+    rows += [(90_000 + k, f"{line}\n{r[1]}", *r[2:]) for k, r in enumerate(rows[5:9])] + [(91_000, again, *rows[0][2:]), (91_001, f"{rows[3][1]}\n{item}", *rows[3][2:]), (91_002, None, "en", "s", 0), (91_003, "", None, "s", 0)]
+    docs = spark.createDataFrame(rows, base.schema)
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+
+    def leaks(text):
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        have = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for r in items:
+            v = re.findall(r"[^\W_]+", r.text.lower())
+            n = min(5, len(v))
+            own = {tuple(v[i : i + n]) for i in range(len(v) - n + 1)} if n else set()
+            if own and len(own & (have if n == 5 else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)})) >= 0.8 * len(own):
+                return True
+        return False
+
     kept = docs
-    seen = {r.doc_id for r in docs.collect()}
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id: r.text for r in kept.collect()}
         kept = stage(spark, kept, SF)
-        assert kept.columns == docs.columns
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes
         kept = spark.createDataFrame(kept.collect(), docs.schema)
-        now = {r.doc_id for r in kept.collect()}
-        assert now <= seen and now
-        seen = now
-    out = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
-    assert {r.doc_id for r in out.collect()} == seen
+        now = {r.doc_id: r.text for r in kept.collect()}
+        pairs = sorted(before.items())
+        if name == "quality rules":
+            judged = {r.doc_id for r in quality.judge(docs).where("kept").collect()}
+            assert now == {i: t for i, t in pairs if i in judged} and not {91_002, 91_003} & now.keys()
+        elif name == "line dedup":
+            assert [(i, now[i]) for i in sorted(now)] == [(i, t) for i, _, t in line_dedup(pairs)]
+            assert all(r.n_chars == len(r.text) for r in kept.collect())
+        elif name == "near dedup":
+            assert set(now) == {i for i, _, c in near_brute(pairs, 5, 80) if i == c} and 91_000 not in now
+        else:
+            assert set(now) == {i for i, t in pairs if not leaks(t)} and 91_001 not in now
+    out = {r.doc_id: r for r in corpus_pipeline.STAGES[-1][1](spark, kept, SF).collect()}
+    assert set(out) == set(now) and all(out[i].n_tokens == len(codec().encode(t)) and out[i].decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for i, t in now.items())
+
+
+def test_url_oracle(spark):
+    """The SQL of the query, on the table and on pages with links between them."""
+    import duckdb
+
+    con = duckdb.connect()
+    html = ['<link rel="canonical" href="http://x.org/es/1">', "", '<link rel="canonical" href="http://a.io/1?utm_source=x">', '<meta http-equiv="refresh" content="0; url=http://b.io/2">']
+    urls = ["http://a.io/1", "https://c.io/9?id=1", "http://b.io/2#top", "http://d.io/3", "http://e.example.com/en/7", "no url", None, "http://x.org/es/5"]
+    rows = [(k, u, html[k % 4]) for k, u in enumerate(urls)] + [(20, "http://e.example.com/en/71", html[0])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").toPandas()  # noqa: F841
+    got = urlfilter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(queries.ORACLE["op5_url_filters"]).fetchall())

@@ -71,3 +71,25 @@ def test_folders_and_pages(spark, tmp_path):
     assert [(r.a, r.b) for r in pairs.collect()] == [(1, 2)]
     none = joins.near_statements(spark.createDataFrame([(1, "t", "a long statement here", ["a"]), (2, "t", "a long statement there", ["b"])], "id int, type string, statement string, sources array<string>"), children=spark.createDataFrame([("p", 1), ("p", 2)], "parent string, id int"))
     assert none.count() == 0 and spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_stores_are_read_back(spark, tmp_path):
+    from lodestone.sources import stores
+
+    (tmp_path / "a.json").write_text(json.dumps([{"id": "x", "type": "t", "status": "draft", "n": 1, "ok": True, "tags": ["a", 2], "none": None}, {"type": "r", "from": "x", "to": "y", "order": 3}, "stray"]))
+    (tmp_path / "b.json").write_text("{broken")
+    (tmp_path / "c.json").write_text('{"id": 1}')
+    (tmp_path / "d.json").write_text("null")
+    items, relations, findings = stores.load_store(spark, str(tmp_path))
+    r = items.first()
+    assert (r.id, r.attrs, r.lists) == ("x", {"n": "1", "ok": "true"}, {"tags": ["a", "2"]}) and items.count() == 1
+    assert [(x["from"], x["to"], x.ord) for x in relations.collect()] == [("x", "y", 3)]
+    assert sorted(x.target.rsplit("/", 1)[1] for x in findings.collect()) == ["a.json#3", "b.json#0", "c.json#0"]
+
+
+def test_printed_tables_are_read_back(spark):
+    from lodestone.sources import stores
+
+    rows = [["a", "x|y\nz"], ["b", ""]]
+    text = render.markdown("T", ["id", "note"], rows, 2) + "\n```\n| no | table |\n| --- | --- |\n```\n"
+    assert list(stores.markdown_tables(text)) == [("T", ["id", "note"], rows)]

@@ -113,8 +113,7 @@ def record_merge_full(t, spark):
  select user_id, string_agg(event_type, ',' order by coalesce(r, 9), first_at) as kinds from f left join d on v = event_type group by 1""")
 def multi_union(t, spark):
     """Union in declared order, others by first appearance."""
-    seen = t("events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("at"))
-    out = seen.groupBy("user_id").agg(merge.ordered(["at"], F.col("event_type"), "v"))
+    out = merge.distinct_in_order(t("events"), ["user_id"], ["event_id"], F.col("event_type"), "v")
     return out.select("user_id", F.concat_ws(",", merge.declared_union(F.col("v"), ["click", "error", "purchase"])).alias("kinds"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import chunking, text
 from lodestone.operators import joins
 from lodestone.queries.registry import query
+from lodestone.sources import readers
 
 
 def _html_sql(col: str) -> str:
@@ -99,3 +100,10 @@ def link_forms(t, spark):
     """Digits masked, cells escaped, short hashes."""
     u = F.col("url")
     return t("pages").select("page_id", text.mask_digits(u).alias("shape"), text.escape_markdown_cell(u).alias("cell"), text.short_hash(u).alias("short_hash"))
+
+
+@query()
+def parsed_pages(t, spark):
+    """Pages through the html reader: sections with their headings (tested on a fixture)."""
+    files = t("pages").where("html is not null").select(F.concat(F.lit("p"), "page_id", F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return readers.parse_files(files).select("file", "anchor", "heading", "kind", "code", F.sha2("text", 256).alias("text_hash"))

@@ -316,8 +316,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: str = "0.8", text: s
 
     Links are pairs with Jaccard similarity of at least ``threshold`` (exact fraction) of their
     distinct k-word shingles; component_id is the smallest doc_id reachable. Rows without words
-    (null, empty) have no shingles and stand alone. Rows with equal doc_id share a component only
-    through their texts and keep their own n_shingles."""
+    (null, empty) have no shingles and stand alone. A doc_id is taken to name one text: rows of one id
+    with different texts keep their own n_shingles but may be linked through each other."""
     python_batches(docs.sparkSession)
     share = Fraction(threshold)
     depth, trees = depth_and_trees(float(share))

@@ -8,6 +8,8 @@ target; a block reaches all nodes of its component but those that an allow rule
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,12 @@ _TAGS = {"link": r"(?is)<link\b[^>]*>", "meta": r"(?is)<meta\b[^>]*>", "base": r
 ENTITIES = (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
 
 
+def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is named once: as a plain expression it would be copied to every place
+    where ``fn`` uses it, and copies of copies multiply."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def host_of(url: Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, _URL, 1), UPPER, LOWER), F.lit(""))
 
@@ -86,33 +94,41 @@ def _attribute(tag: Column, name: str) -> Column:
     found = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", 1)
     one = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*'([^']*)'""", 1)
     bare = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*([^\s"'>]+)""", 1)
-    return _decoded(F.when(found != "", found).when(one != "", one).otherwise(bare))
+    return _decoded(_let(found, lambda f: F.when(f != "", f).otherwise(_let(one, lambda o: F.when(o != "", o).otherwise(bare)))))
 
 
 def resolve(base: Column, link: Column) -> Column:
     """``link`` as a whole url, read on a page with the url ``base``: whole urls, //host, /path,
     ?query and relative paths with . and .. segments. Null for a bare fragment, an empty link, a
     scheme without a host and a base without a host."""
+    return _let(base, lambda b: _let(link, lambda x: _resolved(b, x)))
+
+
+def _resolved(base: Column, link: Column) -> Column:
     root = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"(?s)^(.*?:)//", 1)
     folder = F.when(path_of(base) == "", F.lit("/")).otherwise(F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1))
-    bare = F.regexp_extract(link, r"(?s)^([^?#]*)", 1)
     rest = F.regexp_extract(link, r"(?s)^[^?#]*(.*)$", 1)
-    whole = F.when(bare.startswith("/"), bare).otherwise(F.concat(folder, bare))
-    whole = F.regexp_replace(whole, r"(?:/\.)+(?=/|$)", "")
-    steps = F.aggregate(
-        F.split(whole, "/", -1),
-        F.array().cast("array<string>"),
-        lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(a)).otherwise(F.concat(a, F.array(x))),
-    )
-    path = F.array_join(steps, "/")
-    path = F.when(whole.rlike(r"/\.\.$"), F.concat(path, F.lit("/"))).otherwise(path)
+
+    def walked(whole: Column) -> Column:
+        steps = F.aggregate(
+            F.split(whole, "/", -1),
+            F.array().cast("array<string>"),
+            lambda a, x: F.when(x == "..", F.when(F.size(a) > 1, F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(1)))).otherwise(a)).otherwise(F.concat(a, F.array(x))),
+        )
+        path = F.concat(F.array_join(steps, "/"), F.when(whole.rlike(r"/\.\.$"), F.lit("/")).otherwise(F.lit("")))
+        return _let(path, lambda p: F.when(p.startswith("/"), p).otherwise(F.concat(F.lit("/"), p)))
+
+    def on_host(bare: Column) -> Column:
+        whole = F.when(bare.startswith("/"), bare).otherwise(F.concat(folder, bare))
+        path = _let(F.regexp_replace(whole, r"(?:/\.)+(?=/|$)", ""), walked)
+        return F.when(bare == "", F.concat(root, path_of(base), rest)).otherwise(F.concat(root, path, rest))
+
     return (
         F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), link)
         .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (link == "") | link.startswith("#") | (root == ""), F.lit(None))
         .when(link.startswith("//"), F.concat(scheme, link))
-        .when(bare == "", F.concat(root, path_of(base), rest))
-        .otherwise(F.concat(root, F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)), rest))
+        .otherwise(_let(F.regexp_extract(link, r"(?s)^([^?#]*)", 1), on_host))
     )
 
 
@@ -126,8 +142,10 @@ def link_edges(pages: DataFrame) -> DataFrame:
     refresh = F.filter("meta", lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
     redirects = F.transform(refresh, lambda t: F.regexp_extract(_attribute(t, "content"), r"""(?is)\burl\s*=\s*["']?([^"']+)""", 1))
     base = F.coalesce(resolve(F.col("url"), _attribute(F.get("base", F.lit(0)), "href")), F.col("url"))
-    rows = rows.select("url", base.alias("base"), F.explode(F.array_distinct(F.concat(canonicals, redirects))).alias("link"))
-    return rows.select(F.col("url").alias("src"), resolve(F.col("base"), F.btrim("link")).alias("dst")).where("dst is not null").distinct()
+    # resolved and filtered below the explode: filters on its rows are not copied past it
+    targets = F.transform(F.array_distinct(F.concat(canonicals, redirects)), lambda x: resolve(F.col("base"), F.btrim(x)))
+    rows = rows.withColumn("base", base).select(F.col("url").alias("src"), F.explode(F.filter(targets, lambda t: t.isNotNull())).alias("dst"))
+    return rows.distinct()
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]] | DataFrame, edges: DataFrame | None = None) -> DataFrame:

@@ -26,41 +26,38 @@ from lodestone.llm.base import map_batches, python_batches, text_of
 
 #: Pieces of up to so many bytes are leaves: their merges are applied directly, and remembered.
 LEAF_BYTES = 6
-#: Distinct short pieces, and leaves and seams, that a worker remembers; emptied when full, so a
-#: worker's memory is bounded (about 60 MB in all).
-CACHE_PIECES, CACHE_PARTS = 120_000, 60_000
-
-
-class _Pieces(dict):
-    """Piece -> token ids, filled on demand."""
-
-    def __init__(self, codec: Codec) -> None:
-        super().__init__()
-        self.codec = codec
-
-    def __missing__(self, piece: str) -> tuple[int, ...]:
-        ids = tuple(self.codec.encode_piece(piece.encode("utf-8", "surrogatepass")))
-        if len(piece) <= 48:
-            if len(self) >= CACHE_PIECES:
-                self.clear()
-            self[piece] = ids
-        return ids
+#: Short pieces, and leaves and seams, of one generation of a worker's caches, which hold two: a
+#: worker's memory is bounded (about 100 MB for pieces, 60 MB for the rest).
+CACHE_PIECES, CACHE_PARTS = 200_000, 60_000
 
 
 class _Memo(dict):
-    """Results of ``fn`` by argument; emptied when full."""
+    """Results of ``fn`` by argument, filled on demand. When ``most`` are held they become the older
+    generation, and the one before is dropped; what is asked for again moves to the younger. So
+    frequent keys stay, where emptying the whole would lose them each time."""
 
-    def __init__(self, fn: Callable) -> None:
+    def __init__(self, fn: Callable, most: int) -> None:
         super().__init__()
-        self.fn = fn
+        self.fn, self.most, self.older = fn, most, {}
 
     def __missing__(self, key):
-        if len(self) >= CACHE_PARTS:
+        out = self.older.get(key)
+        if out is None:
+            out = self.fn(key)
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        out = self[key] = self.fn(key)
+        self[key] = out
         return out
 
 
+class _Pieces(_Memo):
+    """Piece -> token ids; long pieces are not remembered."""
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        return super().__missing__(piece) if len(piece) <= 48 else self.fn(piece)
+
+
 #: Letters, numbers and white space below U+0250, where ``re`` with plain classes does the same
 #: as the general pattern, several times as fast.
 LATIN_LETTERS, LATIN_NUMBERS, LATIN_SPACE = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \\t-\\r\u0085\u00a0"
@@ -83,9 +80,9 @@ class Codec:
         self.vocab = {i: b for b, i in ranks.items()}
         self.pattern, self.latin = regex.compile(pattern), latin_pattern(pattern)
         self.beyond = re.compile("[^\0-\u024f]")
-        self.pieces = _Pieces(self)
-        self.leaves = _Memo(self.merge)
-        self.seams = _Memo(lambda pair: self.merge(self.vocab[pair[0]] + self.vocab[pair[1]]))
+        self.pieces = _Pieces(lambda piece: tuple(self.encode_piece(piece.encode("utf-8", "surrogatepass"))), CACHE_PIECES)
+        self.leaves = _Memo(self.merge, CACHE_PARTS)
+        self.seams = _Memo(lambda pair: self.merge(self.vocab[pair[0]] + self.vocab[pair[1]]), CACHE_PARTS)
 
     def merge(self, data: bytes) -> list[int]:
         """Apply the merges by rank: the leaf of the tree."""

@@ -640,6 +640,17 @@ def test_token_trees_are_kept(spark, odd, none):
     assert tokencount.keep(none, PATH, PATTERN).count() == 0
 
 
+def test_frequent_pieces_stay_remembered(monkeypatch):
+    """Caches that fill up drop what is old, not what is in use, and stay bounded."""
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 8)
+    c, calls = bpe.Codec(codec().ranks, PATTERN), collections.Counter()
+    plain = c.encode_piece
+    c.encode_piece = lambda data: calls.update([data]) or plain(data)
+    text = "".join(f" Zqfrequentzq Wx{chr(97 + k % 26)}{chr(97 + k // 26)}rareword" for k in range(200))
+    assert c.encode(text) == codec().encode(text) and c.decode(c.encode(text)) == text.encode()
+    assert calls[b" Zqfrequentzq"] == 1 and len(c.pieces) + len(c.pieces.older) <= 16
+
+
 def test_url_rules(spark, none):
     pages = [
         (1, "http://a.example.com/en/7x", None), (2, "https://Example.NET/de/81?q", ""), (3, "https://example.net/de/9", ""), (4, "http://x.org/es/1", ""), (5, None, "x"), (6, "no scheme", ""),

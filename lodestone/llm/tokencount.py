@@ -31,6 +31,8 @@ REDACTIONS = (
     (re.compile(r"https?://[^\s<>\"]+"), "<url>"),
     (re.compile(r"\d{4,}"), "<number>"),
 )
+#: What a text holds if such a match occurs; the pattern is not tried on other texts.
+SIGNS = {"<email>": "@", "<url>": "://"}
 
 
 class TokenTree:
@@ -175,7 +177,7 @@ def redactions(text: str) -> list[Edit]:
     """Edits that mask addresses, links and long numbers, the last first so positions hold."""
     found: list[Edit] = []
     end = 0
-    spans = sorted((m.start(), m.end(), by) for pattern, by in REDACTIONS for m in pattern.finditer(text))
+    spans = sorted((m.start(), m.end(), by) for pattern, by in REDACTIONS if SIGNS.get(by, "") in text for m in pattern.finditer(text))
     for a, b, by in spans:
         if a >= end:
             found.append((a, b - a, by))
@@ -198,14 +200,18 @@ def keep(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataFr
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         codec = load_codec(path, pattern)
         split = [codec.split(t.as_py()) for t in batch.column(1)]
-        counts = [[len(codec.pieces[p]) for p in pieces] for pieces in split]
+        counts = [list(map(len, map(codec.pieces.__getitem__, pieces))) for pieces in split]
         yield pa.RecordBatch.from_arrays([*batch.columns, _lists([list(map(len, p)) for p in split]), _lists(counts)], names=["doc_id", "text", "lens", "counts"])
 
     return map_batches(docs.select("doc_id", text_of(docs, text).alias("text")), run, STATE)
 
 
-def update(state: DataFrame, path: str, pattern: str, edits: DataFrame | None = None, edits_of: Callable[[str], list[Edit]] = redactions) -> DataFrame:
-    """The table after edits, with n_tokens_before, n_edits, n_tokens, n_encoded for each row.
+FIGURES = "n_tokens_before long, n_edits long, n_tokens long, n_encoded long"
+
+
+def update(state: DataFrame, path: str, pattern: str, edits: DataFrame | None = None, edits_of: Callable[[str], list[Edit]] = redactions, whole: bool = True) -> DataFrame:
+    """The table after edits, with n_tokens_before, n_edits, n_tokens, n_encoded for each row; unless
+    ``whole``, only doc_id, these figures and n_pretokens, and no trees leave the workers.
 
     ``edits``: doc_id and edits array<struct<start:int,length:int,insert:string>>, applied in order, one
     row a document; without it they are ``edits_of(text)``. Null or no edits leave a row as it is;
@@ -222,23 +228,30 @@ def update(state: DataFrame, path: str, pattern: str, edits: DataFrame | None =
             own = [(e["start"], e["length"], e["insert"] or "") for e in listed or []] if listed_apart else edits_of(t)
             n, c = lens[k].values.to_numpy(), counts[k].values.to_numpy()
             before, seen = int(c.sum()), 0
+            after, size = before, len(n)
             if own:
                 tree = TokenTree.kept(t, n.tolist(), c.tolist(), codec)
                 for e in own:
                     tree.edit(*e)
-                texts[k], seen = tree.text(), tree.encoded
-                pieces = tree.pieces()
-                n, c = [len(p) for p, _ in pieces], [x for _, x in pieces]
-            new_lens.append(n)
-            new_counts.append(c)
-            out.append((before, len(own), int(sum(c)) if own else before, seen))
-        cols = [batch.column(0), pa.array(texts, pa.string()), _lists(new_lens), _lists(new_counts), *(pa.array([r[i] for r in out], pa.int64()) for i in range(4))]
-        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", "lens", "counts", "n_tokens_before", "n_edits", "n_tokens", "n_encoded"])
+                after, size, seen = tree.n_tokens, sum(map(len, tree.leaves)), tree.encoded
+                if whole:
+                    texts[k], pieces = tree.text(), tree.pieces()
+                    n, c = [len(p) for p, _ in pieces], [x for _, x in pieces]
+            if whole:
+                new_lens.append(n)
+                new_counts.append(c)
+            out.append((before, len(own), after, seen, size))
+        figures = [pa.array([r[i] for r in out], pa.int64()) for i in range(5)]
+        names = ["n_tokens_before", "n_edits", "n_tokens", "n_encoded"]
+        if whole:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), _lists(new_lens), _lists(new_counts), *figures[:4]], names=["doc_id", "text", "lens", "counts", *names])
+        else:
+            yield pa.RecordBatch.from_arrays([batch.column(0), *figures], names=["doc_id", *names, "n_pretokens"])
 
     rows = state.select("doc_id", "text", "lens", "counts")
     if edits is not None:
         rows = rows.join(edits.select("doc_id", "edits"), "doc_id", "left")
-    return map_batches(rows, run, f"{STATE}, n_tokens_before long, n_edits long, n_tokens long, n_encoded long")
+    return map_batches(rows, run, f"{STATE}, {FIGURES}" if whole else f"doc_id long, {FIGURES}, n_pretokens long")
 
 
 def count_after_edits(docs: DataFrame, path: str, pattern: str, edits_of: Callable[[str], list[Edit]] | None = redactions, text: str = "text") -> DataFrame:
@@ -248,5 +261,5 @@ def count_after_edits(docs: DataFrame, path: str, pattern: str, edits_of: Callab
     ``edits_of(text)`` or, where that is None, from the column ``edits``, by doc_id. Null text is
     empty, null edits are none; other columns are ignored."""
     state = cut(keep(docs, path, pattern, text), "token-trees", compression="zstd")
-    done = update(state, path, pattern, docs.select("doc_id", "edits").dropDuplicates(["doc_id"]) if edits_of is None else None, edits_of or redactions)
-    return done.select("doc_id", "n_tokens_before", "n_edits", "n_tokens", F.size("lens").cast("long").alias("n_pretokens"), "n_encoded")
+    done = update(state, path, pattern, docs.select("doc_id", "edits").dropDuplicates(["doc_id"]) if edits_of is None else None, edits_of or redactions, whole=False)
+    return done.select("doc_id", "n_tokens_before", "n_edits", "n_tokens", "n_pretokens", "n_encoded")

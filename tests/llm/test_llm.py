@@ -640,6 +640,18 @@ def test_token_trees_are_kept(spark, odd, none):
     assert tokencount.keep(none, PATH, PATTERN).count() == 0
 
 
+def test_counts_bring_no_trees_back(spark, odd):
+    """The figures are those of the table after the edits, and the trees stay in the workers."""
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame([(70, "mail a.b@c.de now, see http://x.org/1 or 12345"), (71, "a@b :// 123 ١٢٣٤"), (72, "x@y.z@q.r https://")], "doc_id long, text string"))
+    got = tokencount.count_after_edits(docs, PATH, PATTERN)
+    want = tokencount.update(tokencount.keep(docs, PATH, PATTERN), PATH, PATTERN).withColumn("n_pretokens", F.size("lens").cast("long")).select(got.columns)
+    assert sorted(got.collect()) == sorted(want.collect()) and {r.doc_id: r.n_edits for r in got.collect()}[70] == 3
+    assert "lens" in want._jdf.queryExecution().optimizedPlan().toString() and "size(lens" not in got._jdf.queryExecution().optimizedPlan().toString()
+    for t in ("a@b.c", "http://x", "12345", "x@y.z@q.r https://w 1234", "no", "@", "://"):
+        spans = sorted((m.start(), m.end(), by) for pattern, by in tokencount.REDACTIONS for m in pattern.finditer(t))
+        assert tokencount.redactions(t) == [(a, b - a, by) for a, b, by in spans][::-1]
+
+
 def test_frequent_pieces_stay_remembered(monkeypatch):
     """Caches that fill up drop what is old, not what is in use, and stay bounded."""
     monkeypatch.setattr(bpe, "CACHE_PIECES", 8)

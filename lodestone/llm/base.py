@@ -83,21 +83,11 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
-_WORDS: dict[bytes, int] = {}
-
-
 def word_hashes(text: str) -> np.ndarray:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` (as bytes.split() finds them) with A-Z
-    lower-cased. Hashes of words seen are remembered, up to a bound."""
-    if len(_WORDS) > 300_000:
-        _WORDS.clear()
-    get, codes = _WORDS.get, []
-    for w in ascii_lower_bytes(text).split():
-        c = get(w)
-        if c is None:
-            c = _WORDS[w] = xxhash.xxh3_64_intdigest(w)
-        codes.append(c)
-    return np.array(codes, np.uint64)
+    lower-cased. Words are hashed each time: that is faster than looking them up, and holds nothing."""
+    words = ascii_lower_bytes(text).split()
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:

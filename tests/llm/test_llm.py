@@ -652,6 +652,24 @@ def test_counts_bring_no_trees_back(spark, odd):
         assert tokencount.redactions(t) == [(a, b - a, by) for a, b, by in spans][::-1]
 
 
+def test_word_hashes_hold_nothing():
+    import tracemalloc
+
+    import xxhash
+
+    from lodestone.llm.base import word_hashes
+
+    words = [f"Wört{k}" for k in range(5000)]
+    want = np.array([xxhash.xxh3_64_intdigest(w.encode().lower()) for w in words], np.uint64)
+    text = " \n".join(words)
+    tracemalloc.start()
+    got = word_hashes(text)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert got.dtype == np.uint64 and (got == want).all() and len(word_hashes("")) == 0 and len(word_hashes("  ")) == 0
+    assert held < 100_000  # the hashes alone are 40,000 bytes
+
+
 def test_frequent_pieces_stay_remembered(monkeypatch):
     """Caches that fill up drop what is old, not what is in use, and stay bounded."""
     monkeypatch.setattr(bpe, "CACHE_PIECES", 8)

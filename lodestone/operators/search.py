@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
+#: Rows of the index and queries that meet in a task, queries multiplied at once, tasks, and units of a score.
+INDEX_BLOCK, QUERY_BLOCK, STEP, MOST_TASKS, SCALE = 16_384, 2_048, 256, 2_000, 1e6
 
 
 def top(scored: DataFrame, k: int) -> DataFrame:
@@ -61,12 +66,74 @@ def queue_depth(queue: DataFrame, tenant: str, since: str) -> DataFrame:
     return by.join(F.broadcast(by.agg(F.max("waiting").alias("longest"))))  # one row
 
 
-def top_by_query(index: DataFrame, queries: DataFrame, score: Column, k: int, key: str = "vec_id") -> DataFrame:
-    """query, key, score of the ``k`` best rows of ``index`` for each row of ``queries``, a stated
-    set that goes to the index. A partial top-k is taken before the shuffle."""
-    pairs = index.join(F.broadcast(queries)).select("query", key, score.alias("score"))
-    best = pairs.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col(key).alias("id")))), 1, k).alias("best"))
-    return best.select("query", F.explode("best").alias("b")).select("query", F.col("b.id").alias(key), (-F.col("b.s")).alias("score"))
+def _matrix(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, start and length (-1 for null) of each row's vector."""
+    lists = table.column(column).combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    held = np.maximum(size, 0)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(held) - held, size
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows, summed from left to right as SQL does."""
+    return np.cumsum(a * b, axis=1)[:, -1]
+
+
+def _block(index: pa.Table, queries: pa.Table, k: int, key: str) -> pa.Table:
+    """The ``k`` best of ``index`` for each of ``queries``, STEP queries at a time. Products come from
+    a matrix product; those that are next to where rounding turns are summed again in order."""
+    index = index.take(pc.sort_indices(index.column(key)))
+    held, first, size = _matrix(index, "v")
+    asked, ask_first, ask_size = _matrix(queries, "qv")
+    n, rows, places, scores = index.num_rows, [], [], []
+    for dim in np.unique(ask_size):
+        own, d = np.flatnonzero(ask_size == dim), max(int(dim), 1)
+        m, fits = np.zeros((n, d)), np.flatnonzero(size == dim)  # a vector of another length scores 0
+        q = np.zeros((len(own), d))
+        if dim > 0:
+            m[fits] = held[first[fits, None] + np.arange(d)]
+            q = asked[ask_first[own, None] + np.arange(d)]
+        norm, q_norm = np.sqrt(_dots(m, m)), np.sqrt(_dots(q, q))
+        for at in range(0, len(own), STEP):
+            part, whole = q[at : at + STEP], q_norm[at : at + STEP, None] * norm
+            with np.errstate(divide="ignore", invalid="ignore"):
+                y = np.where(whole == 0, 0.0, part @ m.T / whole) * SCALE
+                near = np.nonzero(np.abs(np.abs(y) % 1 - 0.5) < 1e-4)
+                for i in range(0, len(near[0]), 1 << 16):
+                    r, c = near[0][i : i + (1 << 16)], near[1][i : i + (1 << 16)]
+                    y[r, c] = np.where(whole[r, c] == 0, 0.0, _dots(part[r], m[c]) / whole[r, c]) * SCALE
+            y = np.copysign(np.floor(np.abs(y) + 0.5), y)
+            order = (-np.where(np.isnan(y), 2 * SCALE, y)).astype(np.int64) * n + np.arange(n)  # no number comes first, as in SQL
+            best = np.argpartition(order, min(k, n) - 1, axis=1)[:, : min(k, n)]
+            rows.append(np.repeat(own[at : at + STEP], best.shape[1]))
+            places.append(best.ravel())
+            scores.append((np.take_along_axis(y, best, 1) / SCALE).ravel())
+    return pa.table({"query": queries.column("query").take(pa.array(np.concatenate(rows))), key: index.column(key).take(pa.array(np.concatenate(places))), "score": np.concatenate(scores)})
+
+
+def top_by_query(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
+    """query, key, score (cosine, six decimals) of the ``k`` best rows of ``index`` (key, v) for each row
+    of ``queries`` (query, qv), ties by key: every pair is scored. Both are dealt into blocks by hash and
+    each block of queries meets each block of the index in a task of its own, which holds these
+    two and STEP rows of their product, and gives ``k`` rows a query."""
+    parts, blocks = max(1, -(-index.count() // INDEX_BLOCK)), max(1, -(-queries.count() // QUERY_BLOCK))
+    whole = lambda c: F.when(~F.exists(c, lambda x: x.isNull()), F.col(c))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    tasks = min(2 * parts * blocks, MOST_TASKS)
+    left = index.select(key, whole("v").alias("v"), deal(key, parts).alias("_p"), each(blocks).alias("_b")).repartition(tasks, "_p", "_b")
+    right = queries.select("query", whole("qv").alias("qv"), deal("query", blocks).alias("_b"), each(parts).alias("_p")).repartition(tasks, "_p", "_b")
+    types = {f.name: f.dataType.simpleString() for f in (*index.schema, *queries.schema)}
+    schema = f"query {types['query']}, `{key}` {types[key]}, score double"
+
+    def run(own: pa.Table, asked: pa.Table) -> pa.Table:
+        if not own.num_rows or not asked.num_rows:
+            return pa.table({"query": asked.column("query").slice(0, 0), key: own.column(key).slice(0, 0), "score": pa.array([], pa.float64())})
+        return _block(own, asked, k, key)
+
+    best = left.groupBy("_p", "_b").cogroup(right.groupBy("_p", "_b")).applyInArrow(run, schema)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last(key)))
+    return best.withColumn("_r", rank).where(F.col("_r") <= k).drop("_r")
 
 
 def agreement(old: DataFrame, new: DataFrame, k: int, key: str = "vec_id") -> DataFrame:

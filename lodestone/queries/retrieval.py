@@ -81,11 +81,10 @@ _SIM = "round(coalesce(list_inner_product(a.{0}, b.{0}) / nullif(sqrt(list_inner
 def reindex_agreement(t, spark):
     """Mean overlap of the ten nearest under whole vectors and under their int8 codes, for every
     fiftieth vector as a query."""
-    e = t("embeddings")
-    e = e.withColumn("c", vectors.quantize(F.col("embedding"), vectors.scale(F.col("embedding"))).cast("array<double>")).withColumn("v", F.col("embedding").cast("array<double>"))
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"), F.col("c").alias("qc"))
-    near = lambda own, other: search.top_by_query(e, q, F.round(vectors.cosine(F.col(own), F.col(other)), 6), 10)
-    return search.agreement(near("v", "qv"), near("c", "qc"), 10).select(F.round("agreement", 6).alias("agreement"))
+    e = t("embeddings").select("vec_id", F.col("embedding").alias("v"))
+    c = e.select("vec_id", vectors.quantize(F.col("v"), vectors.scale(F.col("v"))).alias("v"))
+    near = lambda own: search.top_by_query(own, own.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("qv")), 10)
+    return search.agreement(near(e), near(c), 10).select(F.round("agreement", 6).alias("agreement"))
 
 
 @query("""select event_id, (props::json->>'k')::bigint as k from events where event_type in ('click', 'view') and (props::json->>'k')::bigint in (1, 2, 3, 5, 8, 13)""")

@@ -93,6 +93,39 @@ def test_rerank_and_decision(spark):
     assert [r.id for r in search.rerank(ranked, scores, 2).orderBy("pos").collect()] == [2, 1, 3]
 
 
+def test_top_by_query_in_blocks(spark, monkeypatch):
+    """Every pair is scored, over several blocks; copies, zero, null, short and long vectors too."""
+    rng = random.Random(8)
+    vecs = [[float(rng.randint(-3, 3)) for _ in range(4)] for _ in range(90)] + [[1.0, 2.0, 0.0, 1.0]] * 40 + [[0.0] * 4, None, [], [1.0], [1.0, None, 1.0, 1.0]]
+    rows = list(enumerate(vecs))
+    rng.shuffle(rows)
+    monkeypatch.setattr(search, "INDEX_BLOCK", 30)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 9)
+    monkeypatch.setattr(search, "STEP", 4)
+    index = spark.createDataFrame(rows, "vec_id long, v array<float>")
+    queries = index.where("vec_id % 5 = 0 or vec_id > 128").select(F.col("vec_id").alias("query"), F.col("v").alias("qv"))
+    found = {}
+    for r in search.top_by_query(index, queries, 10).collect():
+        found.setdefault(r.query, []).append((-r.score, r.vec_id))
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a or None in b:
+            return 0.0
+        norm = sum(x * x for x in a) ** 0.5 * sum(x * x for x in b) ** 0.5
+        return round(sum(x * y for x, y in zip(a, b, strict=True)) / norm, 6) if norm else 0.0
+
+    want = {i: sorted((-cosine(v, w), j) for j, w in enumerate(vecs))[:10] for i, v in enumerate(vecs) if i % 5 == 0 or i > 128}
+    assert {q: [j for _, j in sorted(x)] for q, x in found.items()} == {q: [j for _, j in x] for q, x in want.items()}
+
+
+def test_reindex_agreement_makes_no_table_of_pairs(spark, capsys):
+    from lodestone.queries import QUERIES
+
+    QUERIES["reindex_agreement"](spark, "/root/testdata/sf0.001").explain()
+    plan = capsys.readouterr().out
+    assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan and "collect_list" not in plan
+
+
 def test_chunks_cover_text():
     body = "# T\n" + "\n\n".join("word " * 300 for _ in range(8)) + "\n## U\nshort tail"
     parts = list(chunking.split_text(body))

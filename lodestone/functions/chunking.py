@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import bisect
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Tokens of a chunk, carried over from the one before, at most, and of a tail that stays alone.
 TARGET, OVERLAP, LONGEST, SHORTEST = 512, 64, 768, 48
+#: Rows of a Python batch, and characters of chunks after which a batch of them is given out.
+BATCH_ROWS, GIVEN_CHARS = 512, 1 << 20
 _WIDE = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿ｦ-ﾟ]")
 _HEADING = re.compile(r"^(#{1,6})\s+(.+?)\s*$", re.MULTILINE)
 _BREAK = re.compile(r"\n\s*\n")
@@ -28,9 +32,7 @@ class Ruler:
     """Token estimates of any part of a text from running counts of wide characters."""
 
     def __init__(self, text: str) -> None:
-        self.n, self.wide = len(text), [0]
-        for m in map(_WIDE.match, text):
-            self.wide.append(self.wide[-1] + (m is not None))
+        self.n, self.wide = len(text), array("q", accumulate((m is not None for m in map(_WIDE.match, text)), initial=0))
 
     def tokens(self, a: int, b: int) -> int:
         wide = self.wide[b] - self.wide[a]
@@ -93,14 +95,34 @@ def split_text(text: str) -> Iterator[tuple[str, int, int, str]]:
     yield from out
 
 
-def chunk(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, seq_no, heading_path, char_start, char_end, body, n_tokens; null text has no chunk."""
+_COLUMNS = {"seq_no": pa.int64(), "heading_path": pa.string(), "char_start": pa.int64(), "char_end": pa.int64(), "body": pa.string(), "n_tokens": pa.int64()}
+
+
+def chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> chunks, in batches of about GIVEN_CHARS characters at most."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = [(k, i, h, a, b, body, estimate(body)) for k, s in zip(pdf[key], pdf["text"], strict=True) for i, (h, a, b, body) in enumerate(split_text(s))]
-            yield pd.DataFrame(rows, columns=[key, "seq_no", "heading_path", "char_start", "char_end", "body", "n_tokens"])
+    def given(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        own = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), _COLUMNS.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *own], names=[batch.schema.names[0], *_COLUMNS])
 
+    for batch in batches:
+        at, rows, size = [], [], 0
+        for k, s in enumerate(batch.column(1)):
+            for i, (h, a, b, body) in enumerate(split_text(s.as_py())):
+                at.append(k)
+                rows.append((i, h, a, b, body, estimate(body)))
+                size += len(body)
+                if size >= GIVEN_CHARS:
+                    yield given(batch, at, rows)
+                    at, rows, size = [], [], 0
+        if rows:
+            yield given(batch, at, rows)
+
+
+def chunk(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, seq_no, heading_path, char_start, char_end, body, n_tokens; null text has no chunk. A worker
+    holds a batch of texts, the chunks of one of them, and GIVEN_CHARS characters of the others'."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, seq_no long, heading_path string, char_start long, char_end long, body string, n_tokens long"
-    return docs.select(key, F.coalesce(text, F.lit("")).alias("text")).mapInPandas(run, schema)
+    return docs.select(key, F.coalesce(text, F.lit("")).alias("text")).mapInArrow(chunk_batches, schema)

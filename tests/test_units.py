@@ -4,6 +4,7 @@ from datetime import date, timedelta
 from difflib import SequenceMatcher
 
 import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,6 +158,20 @@ def test_chunks_cover_text():
     assert list(chunking.split_text("")) == [] == list(chunking.split_text(" \n "))
 
 
+def test_chunks_are_given_out_in_pieces(spark, monkeypatch):
+    """Many and long texts: no batch of a worker's answer is much more than its limit, and the chunks
+    are those of each text alone."""
+    texts = {i: "\n\n".join(f"word{j} " * 200 for j in range(i % 40)) for i in range(600)} | {600: None}
+    want = [(k, i, h, a, b, p, chunking.estimate(p)) for k, s in texts.items() for i, (h, a, b, p) in enumerate(chunking.split_text(s or ""))]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    assert [tuple(r) for r in chunking.chunk(docs, "doc_id", "text").orderBy("doc_id", "seq_no").collect()] == want
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == str(chunking.BATCH_ROWS)
+    monkeypatch.setattr(chunking, "GIVEN_CHARS", 20_000)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(texts), "text": [s or "" for s in texts.values()]})
+    parts = list(chunking.chunk_batches(iter([batch])))
+    assert sum(p.num_rows for p in parts) == len(want) and max(sum(map(len, p.column("body").to_pylist())) for p in parts) < 20_000 + 4 * chunking.LONGEST
+
+
 def test_chunk_ends():
     """A rest within the longest size is one chunk; a short last one joins the one before it."""
     assert len(list(chunking.split_text("a" * 2400))) == 1  # 672 tokens

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestone.__main__ import main
@@ -93,3 +94,12 @@ def test_printed_tables_are_read_back(spark):
     rows = [["a", "x|y\nz"], ["b", ""]]
     text = render.markdown("T", ["id", "note"], rows, 2) + "\n```\n| no | table |\n| --- | --- |\n```\n"
     assert list(stores.markdown_tables(text)) == [("T", ["id", "note"], rows)]
+
+
+@pytest.mark.parametrize("name", ["findings_references"])
+def test_references_are_joined_once(spark, capsys, name):
+    """The findings read the joined references, not the line items again for each rule."""
+    from lodestone.queries import QUERIES
+
+    QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+    assert "lineitem" not in capsys.readouterr().out

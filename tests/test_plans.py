@@ -96,7 +96,7 @@ def test_printed_tables_are_read_back(spark):
     assert list(stores.markdown_tables(text)) == [("T", ["id", "note"], rows)]
 
 
-@pytest.mark.parametrize("name", ["findings_references"])
+@pytest.mark.parametrize("name", ["findings_references", "gate_report"])
 def test_references_are_joined_once(spark, capsys, name):
     """The findings read the joined references, not the line items again for each rule."""
     from lodestone.queries import QUERIES
